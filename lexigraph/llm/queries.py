@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, itq, lm, mixing, pieces, pii, quality, topk
+from . import chat, itq, lm, mixing, neardup, pieces, pii, quality, repeats, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op6_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_documents(table(spark, sf_dir, "documents"), words=4)
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -61,8 +69,14 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_personal_data, op3_mixing, op4_language_model, op7_top_k, op8_chat, op9_sentence_pieces, op10_near_vectors)}
+    return {f.__name__: f for f in (op1_quality, op2_personal_data, op3_mixing, op4_language_model, op5_repeated_strings, op6_near_documents, op7_top_k, op8_chat, op9_sentence_pieces, op10_near_vectors, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
