@@ -96,7 +96,8 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     joined = keyed.join(plan, (F.col("_key") == F.col("_rank")) & F.col("doc_id").eqNullSafe(F.col("_id")))
     words = F.concat(F.sequence(F.lit(1), F.greatest(F.col("_passes"), F.lit(1))).cast("array<long>"), F.array(F.lit(0).cast("long")))
     rows = joined.withColumn("_pass", F.explode(words)).where(F.when(F.col("_pass") == 0, F.col("_rest") > 0).otherwise(F.col("_passes") > 0))
-    cut_text = F.regexp_extract("text", F.concat(F.lit(r"^((?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("_rest").cast("string"), F.lit("})")), 1)
+    behind = F.element_at(F.split("text", r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]+", (F.col("_rest") + 1).cast("int")), -1)
+    cut_text = F.regexp_replace(F.expr("text").substr(F.lit(1), F.length("text") - F.length(behind)), r"[\x20\x09-\x0D]+$", "")
     text = F.when((F.col("_pass") == 0) & (F.col("_rest") < F.col("_size")), cut_text).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in documents.columns:
