@@ -63,9 +63,10 @@ def _inverse(share: Column, slope: Column) -> Column:
 
 
 def mix(documents: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
-    """doc_id, source, rank, size, source_size, target, taken, passes, rest, position, range-sorted by position.
+    """doc_id, source, rank, size, source_size, target, slope, start, taken, passes, rest, position.
 
-    taken = passes * size + rest words; position is null where nothing is taken.
+    taken = passes * size + rest words; start is the words before the document in its source's order;
+    position is that of its first pass, null where nothing is taken.
     `bucket_rows` sets only how finely prefix sums are divided, never the result.
     """
     sized = cut(sizes(documents), "mix-sizes")
@@ -82,24 +83,32 @@ def mix(documents: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
     placed = placed.withColumn("start", F.col("start") + F.col("bucket_start")).withColumn("passes", F.when(F.col("size") > 0, F.floor(words / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     placed = placed.withColumn("rest", F.greatest(F.lit(0), F.least(F.col("size"), words - F.col("passes") * F.col("source_size") - F.col("start"))).cast("long"))
     placed = placed.withColumn("taken", F.col("passes") * F.col("size") + F.col("rest"))
-    share = F.least(F.lit(1.0), F.col("start") / F.greatest(F.col("target"), F.lit(1.0)))
-    placed = placed.withColumn("position", F.when(F.col("taken") > 0, _inverse(share, F.col("slope"))))
-    return placed.select("doc_id", "source", "rank", "size", "source_size", "target", "taken", "passes", "rest", "position").repartitionByRange("position", "rank").sortWithinPartitions("position", "rank")
+    placed = placed.withColumn("position", F.when(F.col("taken") > 0, position(F.col("start"))))
+    return placed.select("doc_id", "source", "rank", "size", "source_size", "target", "slope", "start", "taken", "passes", "rest", "position")
+
+
+def position(demand: Column) -> Column:
+    """Training time at which a source's mix has taken `demand` words."""
+    return _inverse(F.least(F.lit(1.0), demand / F.greatest(F.col("target"), F.lit(1.0))), F.col("slope"))
+
+
+def in_training_order(rows: DataFrame) -> DataFrame:
+    """Range-sorted by position."""
+    return rows.repartitionByRange("position", "rank").sortWithinPartitions("position", "rank")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
-    """The mix as documents: a row for each pass; where a source's target ends inside a document, the words up to there."""
-    if "position" in documents.columns:
-        documents = documents.drop("position")
-    plan = mix(documents).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("rank").alias("_rank"), F.col("size").alias("_size"), F.col("passes").alias("_passes"), F.col("rest").alias("_rest")).distinct()
-    keyed = documents.withColumn("_key", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(plan, (F.col("_key") == F.col("_rank")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    words = F.concat(F.sequence(F.lit(1), F.greatest(F.col("_passes"), F.lit(1))).cast("array<long>"), F.array(F.lit(0).cast("long")))
-    rows = joined.withColumn("_pass", F.explode(words)).where(F.when(F.col("_pass") == 0, F.col("_rest") > 0).otherwise(F.col("_passes") > 0))
-    behind = F.element_at(F.split("text", r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]+", (F.col("_rest") + 1).cast("int")), -1)
-    cut_text = F.regexp_replace(F.expr("text").substr(F.lit(1), F.length("text") - F.length(behind)), r"[\x20\x09-\x0D]+$", "")
-    text = F.when((F.col("_pass") == 0) & (F.col("_rest") < F.col("_size")), cut_text).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    """The mix as documents in training order: a row for each pass; where a source's target ends inside a document, the words up to there."""
+    plan = mix(documents).where("taken > 0").drop("source", "taken", "position").withColumnRenamed("doc_id", "id").distinct()
+    passes = F.sequence(F.lit(0).cast("long"), F.col("passes") - (F.col("rest") == 0).cast("long"))
+    plan = plan.withColumn("pass", F.explode(passes)).withColumn("position", position(F.col("pass") * F.col("source_size") + F.col("start")))
+    plan = plan.select("id", "rank", "position", F.when((F.col("pass") == F.col("passes")) & (F.col("rest") < F.col("size")), F.col("rest")).alias("words"))
+    own = documents.select(F.struct(*documents.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("key_id"))
+    rows = in_training_order(own.join(plan, (F.col("key") == F.col("rank")) & F.col("key_id").eqNullSafe(F.col("id"))).select("row", "rank", "position", "words"))
+    rows = rows.select("row.*", F.col("words").alias("__words"))
+    behind = F.element_at(F.split("text", r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]+", (F.col("__words") + 1).cast("int")), -1)
+    cut_text = F.regexp_replace(F.col("text").substr(F.lit(1), F.length("text") - F.length(behind)), r"[\x20\x09-\x0D]+$", "")
+    rows = rows.withColumn("text", F.when(F.col("__words").isNotNull(), cut_text).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return rows.select(*documents.columns)
