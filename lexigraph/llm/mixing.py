@@ -62,7 +62,7 @@ def _inverse(share: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, share).otherwise((F.sqrt(straight * straight + F.lit(4.0) * slope * share) - straight) / F.when(slope == 0, F.lit(1.0)).otherwise(F.lit(2.0) * slope))
 
 
-def mix(documents: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
+def mix(documents: DataFrame, bucket_rows: int = 4096) -> DataFrame:
     """doc_id, source, rank, size, source_size, target, slope, start, taken, passes, rest, position.
 
     taken = passes * size + rest words; start is the words before the document in its source's order;
