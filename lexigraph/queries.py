@@ -304,7 +304,8 @@ STOP = {"en": ["the", "of", "and", "to", "is"], "fr": ["le", "la", "les", "et",
 def language_confusion(spark, sf):
     """Confusion matrix of the stop-word vote; the vote is taken inside a document's own token array."""
     d = docs(spark, sf).select("lang", F.transform(T.words(), lambda x: F.lower(F.regexp_replace(x, "^▁", ""))).alias("w"))
-    votes = F.array(*(F.struct((-F.size(F.filter("w", lambda x, ws=ws: x.isin(ws)))).alias("n"), F.lit(k).alias("label")) for k, ws in STOP.items()))
+    hits = lambda ws: F.size(F.filter("w", lambda x: x.isin(ws)))
+    votes = F.array(*(F.struct((-hits(ws)).alias("n"), F.lit(k).alias("label")) for k, ws in STOP.items()))
     best = F.array_min(votes)
     return d.select(F.col("lang").alias("truth"), F.when(best["n"] < 0, best["label"]).otherwise("none").alias("predicted")).groupBy("truth", "predicted").agg(F.count("*").alias("n"))
 
