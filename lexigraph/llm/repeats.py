@@ -7,9 +7,10 @@ anywhere else, in its own text too.
    bytes, the one with the smallest hash is the window's anchor.  Equal windows
    have equal anchors at equal places, so only windows whose anchor occurs twice
    can repeat; the rest of the corpus is done.  This filter loses nothing.
-2. An anchor's context is every byte a window with that anchor can cover.  A
-   context seen twice is covered whole; one copy of each distinct context of a
-   repeated anchor goes on.
+2. An anchor's context is the bytes of the windows that have it.  A context seen
+   twice is covered whole.  One copy of each other distinct context of a repeated
+   anchor goes on, if it shares the 300 bytes with another that all its windows to
+   the right, or all those to the left, have in common.
 3. Contexts are dealt to shards by anchor.  A shard builds the suffix array of
    its contexts by Larsson-Sadakane refinement, Kasai's common prefixes (all
    contexts stepping together), and finds the windows of `length` bytes that
@@ -66,14 +67,14 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows of a text."""
+def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of all windows of a text, and the first and last window of each."""
     width = length // 2
     span = length - width + 1
     if len(text) < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.empty(0, np.int64) for _ in range(4))
     data = np.frombuffer(text, np.uint8)
-    places, hashes = [], []
+    found = []
     mask = np.uint64((1 << 20) - 1)
     for lo in range(0, len(data) - length + 1, PIECE):
         h = rolling(data[lo : lo + PIECE + length - 1], width)
@@ -84,22 +85,18 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
         table = key.reshape(-1, span)
         ahead = np.minimum.accumulate(table, 1).ravel()
         behind = np.minimum.accumulate(table[:, ::-1], 1)[:, ::-1].ravel()
-        least = np.minimum(behind[: m - span + 1], ahead[span - 1 : m])
-        at = np.unique((least & mask).astype(np.int64))
-        places.append(at + lo)
-        hashes.append(h[at].view(np.int64))
-    place, first = np.unique(np.concatenate(places), return_index=True)
-    return place, np.concatenate(hashes)[first]
-
-
-def context(text: bytes, place: int, length: int) -> bytes:
-    reach = length - length // 2
-    return text[max(0, place - reach) : place + length]
+        at = (np.minimum(behind[: m - span + 1], ahead[span - 1 : m]) & mask).astype(np.int64)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # places don't go back
+        found.append((at[first] + lo, h[at[first]].view(np.int64), first + lo, np.append(first[1:], len(at)) - 1 + lo))
+    place, hashes, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+    new = np.flatnonzero(np.append(True, place[1:] != place[:-1]))  # an anchor may go over the end of a piece
+    return place[new], hashes[new], first[new], last[np.append(new[1:], len(place)) - 1]
 
 
 def occurrences(documents: DataFrame, length: int) -> DataFrame:
-    """k1, k2 (the row), place, anchor, context (hash), span (its bytes)."""
+    """k1, k2 (the row), place, anchor, start and span (of its context), context, right and left (hashes)."""
     reach = length - length // 2
+    half = reach // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -107,22 +104,23 @@ def occurrences(documents: DataFrame, length: int) -> DataFrame:
         for whole in batches:
             for lo in range(0, len(whole), 400):
                 batch = whole.slice(lo, 400)
-                row, place, anchor, ctx, span = [], [], [], [], []
+                row, found, hashes = [], [], []
                 for i, text in enumerate(batch.column("text").to_pylist()):
                     text = (text or "").encode()
-                    at, h = anchors(text, length)
-                    row += [i] * len(at)
-                    place.append(at)
-                    anchor.append(h)
-                    for p in at.tolist():
-                        c = context(text, p, length)
-                        ctx.append(xxhash.xxh3_64_intdigest(c, min(p, reach)))
-                        span.append(len(c))
+                    own = anchors(text, length)
+                    row += [i] * len(own[0])
+                    found.append(own)
+                    for p, a, b in zip(own[0].tolist(), own[2].tolist(), own[3].tolist(), strict=True):
+                        right = xxhash.xxh3_64_intdigest(text[p : p + length - half]) if b >= p - half else 0
+                        left = xxhash.xxh3_64_intdigest(text[p - half : p + length - reach]) if a <= p - half else 0
+                        hashes.append((xxhash.xxh3_64_intdigest(text[a : b + length], p - a), right, left))
                 if row:
                     rows = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([batch.column("k1").take(rows), batch.column("k2").take(rows), pa.array(np.concatenate(place)), pa.array(np.concatenate(anchor)), pa.array(np.array(ctx, np.uint64).view(np.int64)), pa.array(span, pa.int32())], ["k1", "k2", "place", "anchor", "context", "span"])
+                    place, anchor, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+                    three = np.array(hashes, np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column("k1").take(rows), batch.column("k2").take(rows), pa.array(place), pa.array(anchor), pa.array(first), pa.array((last - first + length).astype(np.int32)), *(pa.array(np.ascontiguousarray(three[:, k])) for k in range(3))], ["k1", "k2", "place", "anchor", "start", "span", "context", "right", "left"])
 
-    return documents.mapInArrow(run, "k1 long, k2 long, place long, anchor long, context long, span int")
+    return documents.mapInArrow(run, "k1 long, k2 long, place long, anchor long, start long, span int, context long, right long, left long")
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,20 +226,24 @@ def merge_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
 
 def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int = 1500, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if `with_text`."""
-    reach = length - length // 2
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
     found = occurrences(keyed.where(F.octet_length("text") >= length).select("text", "k1", "k2"), length)
     twice = cut(found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("several")).where("n > 1").select("anchor", "several"), "anchors")
     seen = cut(found.join(twice, "anchor"), "occurrences")
-    contexts = cut(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.max("span").alias("span"), F.first("several").alias("several"), F.min(F.struct("k1", "k2", "place")).alias("one")), "contexts")
+    contexts = cut(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.max("span").alias("span"), F.first("several").alias("several"), F.first("right").alias("right"), F.first("left").alias("left"), F.min(F.struct("k1", "k2", "place", "start")).alias("one")), "contexts")
     whole = contexts.where((F.col("n") > 1) & (F.col("span") >= length)).select("anchor", "context", F.lit(0).alias("lo"), F.col("span").alias("hi"))
 
-    apart = contexts.where(F.col("several") & (F.col("span") >= length))
+    several = contexts.where("several")
+    alike = []
+    for side in ("right", "left"):  # 0: no window on this side
+        shared = several.where(F.col(side) != 0).groupBy("anchor", side).agg(F.count("*").alias("c")).where("c > 1").select("anchor", side)
+        alike.append(several.join(shared, ["anchor", side], "left_semi").select("anchor", "context"))
+    apart = cut(several.join(alike[0].unionByName(alike[1]).distinct(), ["anchor", "context"], "left_semi").select("anchor", "context", "span", "one"), "apart")
     shards = max(1, -(-apart.count() // shard_contexts))
     hot = apart.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > shard_contexts).select("anchor", F.ceil(F.col("size") / shard_contexts).cast("int").alias("parts"))
-    spread = apart.select("anchor", "context", "one.*").join(hot, "anchor", "left")
+    spread = apart.select("anchor", "context", "span", "one.*").join(hot, "anchor", "left")
     shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.xxhash64("anchor", F.pmod("context", F.col("parts"))))
-    wanted = spread.withColumn("shard", shard).groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "anchor", "context", "place", F.col("parts").isNotNull().alias("hot"))).alias("wanted"))
+    wanted = spread.withColumn("shard", shard).groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "anchor", "context", "place", "start", "span", F.col("parts").isNotNull().alias("hot"))).alias("wanted"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "anchor", "context", "hot", "left", "bytes"]
@@ -249,7 +251,7 @@ def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int
             for lo in range(0, len(whole), 200):
                 batch = whole.slice(lo, 200)
                 texts = [t.encode() for t in batch.column("text").to_pylist()]
-                rows = [(w["shard"], w["anchor"], w["context"], w["hot"], min(w["place"], reach), context(text, w["place"], length)) for text, wanted in zip(texts, batch.column("wanted").to_pylist(), strict=True) for w in wanted]
+                rows = [(w["shard"], w["anchor"], w["context"], w["hot"], w["place"] - w["start"], text[w["start"] : w["start"] + w["span"]]) for text, wanted in zip(texts, batch.column("wanted").to_pylist(), strict=True) for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], names)
 
     sliced = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(slices, "shard long, anchor long, context long, hot boolean, left int, bytes binary")
@@ -302,8 +304,7 @@ def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int
     across = covered.where("range is not null").select("range", "keys", "owners").repartition("range").sortWithinPartitions("range").mapInArrow(merge, "anchor long, context long, lo int, hi int")
     # all windows of a context share its middle, so their union is one stretch
     stretch = cut(whole.unionByName(near).unionByName(across).groupBy("anchor", "context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "stretches")
-    begin = F.col("place") - F.least(F.col("place"), F.lit(reach))
-    hits = seen.join(stretch, ["anchor", "context"]).select("k1", "k2", (begin + F.col("lo")).cast("int").alias("lo"), (begin + F.col("hi")).cast("int").alias("hi"))
+    hits = seen.join(stretch, ["anchor", "context"]).select("k1", "k2", (F.col("start") + F.col("lo")).cast("int").alias("lo"), (F.col("start") + F.col("hi")).cast("int").alias("hi"))
     spans = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
