@@ -99,11 +99,12 @@ def in_training_order(rows: DataFrame) -> DataFrame:
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix as documents in training order: a row for each pass; where a source's target ends inside a document, the words up to there."""
-    plan = mix(documents).where("taken > 0").drop("source", "taken", "position").withColumnRenamed("doc_id", "id").distinct()
+    plan = mix(documents).where("taken > 0").drop("source", "taken", "position").withColumnRenamed("doc_id", "id")
     passes = F.sequence(F.lit(0).cast("long"), F.col("passes") - (F.col("rest") == 0).cast("long"))
     plan = plan.withColumn("pass", F.explode(passes)).withColumn("position", position(F.col("pass") * F.col("source_size") + F.col("start")))
     plan = plan.select("id", "rank", "position", F.when((F.col("pass") == F.col("passes")) & (F.col("rest") < F.col("size")), F.col("rest")).alias("words"))
     own = documents.select(F.struct(*documents.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("key_id"))
+    own = own.dropDuplicates(["key", "key_id"])  # rows of one id and text have a place in the plan each, and one set of columns
     rows = in_training_order(own.join(plan, (F.col("key") == F.col("rank")) & F.col("key_id").eqNullSafe(F.col("id"))).select("row", "rank", "position", "words"))
     rows = rows.select("row.*", F.col("words").alias("__words"))
     behind = F.element_at(F.split("text", r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]+", (F.col("__words") + 1).cast("int")), -1)

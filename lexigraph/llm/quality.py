@@ -71,6 +71,7 @@ class ByteNet:
         for i, t in enumerate(texts):
             n = len(t) + 1
             own = np.arange(at, at + n, HALF)
+            own[0] -= self.taps - 1  # so that the text before ends where its padding does
             starts.append(own)
             owner.append(np.full(len(own), i))
             parts.append(t + pad)
