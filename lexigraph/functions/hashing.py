@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 # The mixing constants of the identity hashes.
 MIX_ONE = np.uint64(0xFF51AFD7ED558CCD)
@@ -53,17 +54,17 @@ def hash_paths(paths: list[list[int]]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def text_hash(texts: pd.Series) -> pd.Series:
     return pd.Series(hash_texts(texts.tolist()).view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def path_hash(paths: pd.Series) -> pd.Series:
     return pd.Series(hash_paths([list(p) for p in paths]).view(np.int64))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def edge_hash(flavour: pd.Series, i: pd.Series, j: pd.Series) -> pd.Series:
     first = mix(flavour.to_numpy(np.int64).view(np.uint64))
     return pd.Series(combine(combine(first, i.to_numpy(np.int64).view(np.uint64)), j.to_numpy(np.int64).view(np.uint64)).view(np.int64))
