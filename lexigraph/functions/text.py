@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # White space, brackets and punctuation of the tokeniser, and the link, citation and year patterns.
@@ -30,15 +30,28 @@ TOKEN = f"[{SPACES}]*(?:[0-9]+|[{_MARKS}]|[^0-9{_MARKS}{SPACES}]+)"
 LEADING = f"^[{SPACES}]+"
 
 
-def pieces(text: str = "text") -> Column:
-    """Tokens with their leading white space, in order; null text has none."""
-    return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
+def words(text: str = "text") -> Column:
+    """Graph words: tokens, marked where white space stands before them, the first one never; null text has none.
 
+    All steps take the whole text at once: white space becomes one blank each,
+    line feeds (no longer in use) are put around tokens, blanks become marks, and
+    the text is split.
+    """
+    plain = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACES}]+", " "))
+    apart = F.regexp_replace(plain, f"( ?[0-9]+| ?[{_MARKS}]|(?= ))", "\n$1\n")
+    parts = F.split(F.btrim(F.replace(apart, F.lit(" "), F.lit("▁")), F.lit("\n")), "\n+")
+    return F.when(plain != "", parts).otherwise(F.array().cast("array<string>"))
 
-def words(text: str = "text") -> Column:
-    """Graph words: tokens, marked where white space stands before them, the first one never."""
-    plain = lambda x: F.regexp_replace(x, LEADING, "")
-    return F.transform(pieces(text), lambda x, i: F.when((i > 0) & x.rlike(LEADING), F.concat(F.lit("▁"), plain(x))).otherwise(plain(x)))
+
+def unmarked(word: Column) -> Column:
+    """A word without its mark."""
+    return F.when(word.startswith("▁"), F.substr(word, F.lit(2))).otherwise(word)
+
+
+def spread(documents: DataFrame) -> DataFrame:
+    """Documents in as many partitions as the cluster has cores, if their files can't be split so far (few row groups); a larger corpus stays as it is."""
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    return documents.repartition(cores) if documents.rdd.getNumPartitions() < cores else documents
 
 
 def matches(pattern: str, text: str = "text") -> Column:

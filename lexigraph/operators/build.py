@@ -20,23 +20,30 @@ BEGIN, END = "__beg_text__", "__end_text__"
 def tokens(documents: DataFrame) -> DataFrame:
     """doc_id, pos (from 1), word, plain."""
     rows = documents.select("doc_id", F.posexplode(T.words()).alias("at", "word"))
-    return rows.select("doc_id", (F.col("at") + 1).alias("pos"), "word", F.regexp_replace("word", "^▁", "").alias("plain"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("pos"), "word", T.unmarked(F.col("word")).alias("plain"))
 
 
 def word_nodes(documents: DataFrame) -> DataFrame:
-    """name, text, word_cnt, text_cnt of word nodes."""
-    per = documents.select("doc_id", F.explode(T.words()).alias("text")).groupBy("text", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("text").agg(F.sum("n").alias("word_cnt"), F.count("*").alias("text_cnt")).select(F.lit("word_token").alias("name"), "text", "word_cnt", "text_cnt")
+    """name, text, word_cnt, text_cnt of word nodes.
+
+    A text gives its words and, apart, its distinct words, so that both counts are
+    plain sums by word and no pair of word and text is shuffled.
+    """
+    w = documents.select(T.words().alias("w"))
+    both = F.array(F.struct(F.lit(1).alias("n"), F.lit(0).alias("texts"), F.col("w").alias("w")), F.struct(F.lit(0).alias("n"), F.lit(1).alias("texts"), F.array_distinct("w").alias("w")))
+    rows = w.select(F.inline(both)).select("n", "texts", F.explode("w").alias("text"))
+    return rows.groupBy("text").agg(F.sum("n").alias("word_cnt"), F.sum("texts").alias("text_cnt")).select(F.lit("word_token").alias("name"), "text", "word_cnt", "text_cnt")
 
 
 def neighbour_edges(documents: DataFrame, distance: int = 1, ends: bool = True) -> DataFrame:
     """i, j, count: words `distance` apart, and the ends of each text."""
-    w = documents.select(T.words().alias("w")).where(F.size("w") > 0)
+    w = documents.select(T.words().alias("w"))
     ahead = F.slice("w", distance + 1, F.greatest(F.size("w") - distance, F.lit(0)))
     pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - distance, F.lit(0))), ahead, lambda a, b: F.struct(a.alias("i"), b.alias("j")))
     if ends and distance == 1:
-        pairs = F.concat(F.array(F.struct(F.lit(BEGIN).alias("i"), F.element_at("w", 1).alias("j"))), pairs, F.array(F.struct(F.element_at("w", -1).alias("i"), F.lit(END).alias("j"))))
-    return w.select(F.inline(pairs)).groupBy("i", "j").agg(F.count("*").alias("count"))
+        pairs = F.concat(F.array(F.struct(F.lit(BEGIN).alias("i"), F.get("w", F.lit(0)).alias("j"))), pairs, F.array(F.struct(F.get("w", F.size("w") - 1).alias("i"), F.lit(END).alias("j"))))
+    # no filter on the size: it would be pushed below and find the words twice
+    return w.select(F.inline(F.when(F.size("w") > 0, pairs))).groupBy("i", "j").agg(F.count("*").alias("count"))
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

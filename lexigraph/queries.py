@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return T.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def graph(spark: SparkSession, sf: str) -> Graph:
@@ -81,8 +81,8 @@ THE, THE_NEXT = select_sql("a", "the"), step_sql("b", "a", "next_e")
 
 @query(f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT word) AS n_words FROM tok GROUP BY doc_id")
 def token_counts(spark, sf):
-    w = docs(spark, sf).select("doc_id", T.words().alias("w")).where(F.size("w") > 0)
-    return w.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_words"))
+    w = docs(spark, sf).select("doc_id", T.words().alias("w"))
+    return w.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_words")).where("n_tokens > 0")
 
 
 @query(f"WITH {TOKENS}, {NODES} SELECT text, word_cnt, text_cnt FROM node")
@@ -277,7 +277,7 @@ def pattern_sql(pattern: str) -> str:
 
 
 def tag_runs(spark, sf, pattern: str) -> DataFrame:
-    plain = docs(spark, sf).select("doc_id", F.transform(T.words(), lambda x: F.regexp_replace(x, "^▁", "")).alias("w")).where(F.size("w") > 0)
+    plain = docs(spark, sf).select("doc_id", F.transform(T.words(), T.unmarked).alias("w")).where(F.size("w") > 0)
     tags = plain.select("doc_id", F.expr(f"transform(transform(w, plain -> {T.part_of_speech_sql()}), tag -> {LETTER})").alias("t"))
     return tags.select("doc_id", F.array_join("t", "").alias("text")).select("doc_id", F.size(T.matches(pattern)).cast("long").alias("n"))
 
@@ -303,7 +303,7 @@ STOP = {"en": ["the", "of", "and", "to", "is"], "fr": ["le", "la", "les", "et",
 )
 def language_confusion(spark, sf):
     """Confusion matrix of the stop-word vote; the vote is taken inside a document's own token array."""
-    d = docs(spark, sf).select("lang", F.transform(T.words(), lambda x: F.lower(F.regexp_replace(x, "^▁", ""))).alias("w"))
+    d = docs(spark, sf).select("lang", F.transform(T.words(), lambda x: F.lower(T.unmarked(x))).alias("w"))
     hits = lambda ws: F.size(F.filter("w", lambda x: x.isin(ws)))
     votes = F.array(*(F.struct((-hits(ws)).alias("n"), F.lit(k).alias("label")) for k, ws in STOP.items()))
     best = F.array_min(votes)
