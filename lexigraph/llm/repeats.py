@@ -93,6 +93,19 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return place[new], hashes[new], first[new], last[np.append(new[1:], len(place)) - 1]
 
 
+def anchor_counts(documents: DataFrame, length: int) -> DataFrame:
+    """anchor, n: the hashes of all anchors, counted by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [anchors((text or "").encode(), length)[1] for text in batch.column("text").to_pylist()]
+            if found:
+                hashes, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], ["anchor", "n"])
+
+    return documents.select("text").mapInArrow(run, "anchor long, n long")
+
+
 def occurrences(documents: DataFrame, length: int) -> DataFrame:
     """k1, k2 (the row), place, anchor, start and span (of its context), context, right and left (hashes)."""
     reach = length - length // 2
@@ -123,13 +136,19 @@ def occurrences(documents: DataFrame, length: int) -> DataFrame:
     return documents.mapInArrow(run, "k1 long, k2 long, place long, anchor long, start long, span int, context long, right long, left long")
 
 
+def packed(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first highest; zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key = np.zeros(len(data), np.uint64)
+    for k in range(8):
+        key = (key << np.uint64(8)) | padded[k : k + len(data)]
+    return key
+
+
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks by Larsson-Sadakane refinement, starting from eight bytes; only unsorted groups are sorted again."""
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    key = packed(data)
     order = np.argsort(key, kind="stable")
     ranked = key[order]
     head = np.append(True, ranked[1:] != ranked[:-1])
@@ -155,25 +174,26 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
-    """Kasai: the common prefix, `most` at most, of each suffix and the one before it in order; contexts step together."""
+    """Kasai: the common prefix, `most` at most, of each suffix and the one before it in order; contexts step together, eight bytes at a time."""
     out = np.zeros(len(data), np.int32)
-    padded = np.concatenate([data.astype(np.int16), np.arange(-1, -2, -1, dtype=np.int16)])
     n = len(data)
+    key = np.append(packed(data), np.uint64(0))
+    bounds = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
     h = np.zeros(len(starts), np.int64)
     for t in range(int(sizes.max())):
         lane = np.flatnonzero(sizes > t)
         i = starts[lane] + t
         before = rank[i] - 1
         j = np.where(before >= 0, order[np.maximum(before, 0)], i)
-        now = np.maximum(h[lane] - 1, 0)
-        now[before < 0] = 0
-        going = np.flatnonzero((before >= 0) & (now < most))
+        room = np.where(before >= 0, np.minimum(n - np.maximum(i, j), most), 0)
+        now = np.minimum(np.maximum(h[lane] - 1, 0), room)
+        going = np.flatnonzero(now < room)
         while len(going):
-            same = padded[np.minimum(i[going] + now[going], n)] == padded[np.minimum(j[going] + now[going], n)]
-            same &= (i[going] + now[going] < n) & (j[going] + now[going] < n)
-            going = going[same]
-            now[going] += 1
-            going = going[now[going] < most]
+            at = now[going]
+            differ = key[i[going] + at] ^ key[j[going] + at]
+            same = 8 - np.searchsorted(bounds, differ, side="right")  # bytes equal from the front
+            now[going] = np.minimum(at + same, room[going])
+            going = going[(same == 8) & (now[going] < room[going])]
         out[rank[i]] = now
         h[lane] = now
     return out
@@ -193,9 +213,12 @@ def shard_cover(texts: list[bytes], lefts: np.ndarray, anchor: np.ndarray, lengt
     begin = np.arange(windows.sum()) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
     group = classes[rank[starts[owner] + begin]]
     # the same place before the same anchor: else one window of a text would meet itself in two contexts
-    where = np.stack([group, np.unique(anchor, return_inverse=True)[1][owner], lefts[owner] - begin], 1)
-    _, back, count = np.unique(where, axis=0, return_inverse=True, return_counts=True)
-    hit = count[back.ravel()] > 1
+    place = lefts[owner] - begin
+    same_anchor = np.unique(anchor, return_inverse=True)[1]
+    low = place.min(initial=0)
+    where = (group * len(texts) + same_anchor[owner]) * (place.max(initial=0) - low + 1) + place - low
+    _, back, count = np.unique(where, return_inverse=True, return_counts=True)
+    hit = count[back] > 1
     first, last = np.full(len(texts), -1), np.full(len(texts), -1)
     np.maximum.at(last, owner[hit], begin[hit])
     low = np.full(len(texts), length * 2)
@@ -211,50 +234,56 @@ def window_keys(text: bytes, left: int, anchor: int, length: int) -> tuple[np.nd
     return h, place
 
 
+def united(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted runs of distinct keys as one, by binary search, with a mark on each key that was met more than once."""
+    (a, a_twice), (b, b_twice) = one, two
+    at = np.searchsorted(b, a)
+    both = at < len(b)
+    both[both] = b[at[both]] == a[both]
+    twice = b_twice.copy()
+    twice[at[both]] = True
+    return np.insert(b, at[~both], a[~both]), np.insert(twice, at[~both], a_twice[~both])
+
+
 def merge_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
-    """For each sorted run of keys, which of its keys another run has too, by binary search."""
-    out = [np.zeros(len(r), bool) for r in runs]
-    for i, a in enumerate(runs):
-        for j in range(i + 1, len(runs)):
-            at = np.searchsorted(runs[j], a)
-            ok = at < len(runs[j])
-            ok[ok] = runs[j][at[ok]] == a[ok]
-            out[i] |= ok
-            out[j][at[ok]] = True
-    return out
+    """For each sorted run of distinct keys, which of its keys another run has too; runs merge two by two, so work grows with the logarithm of their number."""
+    level = [(r, np.zeros(len(r), bool)) for r in runs]
+    while len(level) > 1:
+        level = [united(*level[k : k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+    keys, twice = level[0]
+    return [twice[np.searchsorted(keys, r)] for r in runs]
 
 
 def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int = 1500, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if `with_text`."""
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
-    found = occurrences(keyed.where(F.octet_length("text") >= length).select("text", "k1", "k2"), length)
-    twice = cut(found.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("several")).where("n > 1").select("anchor", "several"), "anchors")
-    seen = cut(found.join(twice, "anchor"), "occurrences")
-    contexts = cut(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.max("span").alias("span"), F.first("several").alias("several"), F.first("right").alias("right"), F.first("left").alias("left"), F.min(F.struct("k1", "k2", "place", "start")).alias("one")), "contexts")
+    long = keyed.where(F.octet_length("text") >= length)
+    twice = cut(anchor_counts(long, length).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
+    seen = cut(occurrences(long.select("text", "k1", "k2"), length).join(twice, "anchor", "left_semi"), "occurrences")
+    contexts = cut(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.max("span").alias("span"), F.first("right").alias("right"), F.first("left").alias("left"), F.min(F.struct("k1", "k2", "place", "start")).alias("one")), "contexts")
     whole = contexts.where((F.col("n") > 1) & (F.col("span") >= length)).select("anchor", "context", F.lit(0).alias("lo"), F.col("span").alias("hi"))
 
-    several = contexts.where("several")
     alike = []
     for side in ("right", "left"):  # 0: no window on this side
-        shared = several.where(F.col(side) != 0).groupBy("anchor", side).agg(F.count("*").alias("c")).where("c > 1").select("anchor", side)
-        alike.append(several.join(shared, ["anchor", side], "left_semi").select("anchor", "context"))
-    apart = cut(several.join(alike[0].unionByName(alike[1]).distinct(), ["anchor", "context"], "left_semi").select("anchor", "context", "span", "one"), "apart")
+        shared = contexts.where(F.col(side) != 0).groupBy("anchor", side).agg(F.count("*").alias("c")).where("c > 1").select("anchor", side)
+        alike.append(contexts.join(shared, ["anchor", side], "left_semi").select("anchor", "context"))
+    apart = cut(contexts.join(alike[0].unionByName(alike[1]).distinct(), ["anchor", "context"], "left_semi").select("anchor", "context", "span", "one"), "apart")
     shards = max(1, -(-apart.count() // shard_contexts))
     hot = apart.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > shard_contexts).select("anchor", F.ceil(F.col("size") / shard_contexts).cast("int").alias("parts"))
     spread = apart.select("anchor", "context", "span", "one.*").join(hot, "anchor", "left")
     shard = F.when(F.col("parts").isNull(), F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.xxhash64("anchor", F.pmod("context", F.col("parts"))))
-    wanted = spread.withColumn("shard", shard).groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "anchor", "context", "place", "start", "span", F.col("parts").isNotNull().alias("hot"))).alias("wanted"))
+    wanted = spread.withColumn("shard", shard).groupBy("k1", "k2").agg(F.collect_list(F.struct("shard", "anchor", "context", "place", "start", "span", F.coalesce("parts", F.lit(0)).alias("parts"))).alias("wanted"))
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["shard", "anchor", "context", "hot", "left", "bytes"]
+        names = ["shard", "anchor", "context", "parts", "left", "bytes"]
         for whole in batches:
             for lo in range(0, len(whole), 200):
                 batch = whole.slice(lo, 200)
                 texts = [t.encode() for t in batch.column("text").to_pylist()]
-                rows = [(w["shard"], w["anchor"], w["context"], w["hot"], w["place"] - w["start"], text[w["start"] : w["start"] + w["span"]]) for text, wanted in zip(texts, batch.column("wanted").to_pylist(), strict=True) for w in wanted]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], names)
+                rows = [(w["shard"], w["anchor"], w["context"], w["parts"], w["place"] - w["start"], text[w["start"] : w["start"] + w["span"]]) for text, wanted in zip(texts, batch.column("wanted").to_pylist(), strict=True) for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
 
-    sliced = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(slices, "shard long, anchor long, context long, hot boolean, left int, bytes binary")
+    sliced = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(slices, "shard long, anchor long, context long, parts int, left int, bytes binary")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, "shard"):
@@ -264,7 +293,7 @@ def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int
             ctx = np.array([r["context"] for r in rows], np.int64)
             some = np.flatnonzero(last >= 0)
             runs: list[tuple] = []
-            if rows[0]["hot"]:
+            if rows[0]["parts"]:
                 runs = sorted_runs(rows, hit)
             n = len(some) + len(runs)
             fill = [None] * len(runs)
@@ -285,10 +314,11 @@ def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int
         owner["window"] = np.where(hit, -1, np.concatenate([np.arange(s) for s in sizes]))
         table, one = np.unique(table, return_index=True)
         owner = owner[one]
-        edges = np.searchsorted(table["string"], np.arange(1, 64, dtype=np.uint64) << np.uint64(58))
+        bits = max(6, (rows[0]["parts"] - 1).bit_length())  # a range then holds about as many windows as a shard, over all shards
+        edges = np.searchsorted(table["string"], np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
         cuts = zip([0, *edges], [*edges, len(table)], strict=True)
         spread_by = rows[0]["anchor"]
-        return [((spread_by * 64 + k) & ((1 << 63) - 1), table[a:b].tobytes(), owner[a:b].tobytes()) for k, (a, b) in enumerate(cuts) if b > a]
+        return [(((spread_by << bits) + k) & ((1 << 63) - 1), table[a:b].tobytes(), owner[a:b].tobytes()) for k, (a, b) in enumerate(cuts) if b > a]
 
     covered = cut(sliced.repartition("shard").sortWithinPartitions("shard").mapInArrow(cover, "anchor long, context long, lo int, hi int, range long, keys binary, owners binary"), "covered")
     near = covered.where("anchor is not null").select("anchor", "context", "lo", "hi")
