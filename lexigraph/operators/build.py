@@ -46,6 +46,12 @@ def neighbour_edges(documents: DataFrame, distance: int = 1, ends: bool = True)
     return w.select(F.inline(F.when(F.size("w") > 0, pairs))).groupBy("i", "j").agg(F.count("*").alias("count"))
 
 
+def document_edges(documents: DataFrame) -> DataFrame:
+    """i (word), j (doc_id as text), count; null texts and ids give none."""
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("j"), F.explode(T.words()).alias("i"))
+    return rows.groupBy("i", "j").agg(F.count("*").alias("count")).select("i", "j", "count")
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "count")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexigraph.functions import text as T
 from lexigraph.operators import build as B
 from lexigraph.operators import nodeset as N
+from lexigraph.operators import phrases as P
 from lexigraph.plans.flow import Flow, Graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,22 +264,19 @@ def to_pos_edges(spark, sf):
     return B.tokens(docs(spark, sf)).select(F.col("word").alias("i"), F.expr(T.part_of_speech_sql()).alias("j")).groupBy("i", "j").agg(F.count("*").alias("count"))
 
 
-# A document's tags as letters: J adjective, N noun, V verb, M modal, T to or adverb, O other.
-LETTER = f"""CASE WHEN tag = 'JJ' THEN 'J' WHEN tag IN ('NN', 'NNS', 'NNP') THEN 'N' WHEN tag IN ('VB', 'VBD', 'VBG') THEN 'V'
-  WHEN tag = 'MD' THEN 'M' WHEN tag IN ('TO', 'RB') THEN 'T' ELSE 'O' END"""
 #: Terms are runs of adjectives and nouns that end in a noun; verbs may have a modal before and more verbs behind.
 TERM, VERB = "[JN]*N", "M?V[VT]*"
 
 
 def pattern_sql(pattern: str) -> str:
     return f"""WITH {TOKENS}, tagged AS (SELECT doc_id, pos, {T.part_of_speech_sql()} AS tag FROM tok),
-    tags AS (SELECT doc_id, string_agg({LETTER}, '' ORDER BY pos) AS tags FROM tagged GROUP BY doc_id)
+    tags AS (SELECT doc_id, string_agg({T.LETTER}, '' ORDER BY pos) AS tags FROM tagged GROUP BY doc_id)
     SELECT doc_id, CAST(len(regexp_extract_all(tags, '{pattern}', 0)) AS BIGINT) AS n FROM tags"""
 
 
 def tag_runs(spark, sf, pattern: str) -> DataFrame:
     plain = docs(spark, sf).select("doc_id", F.transform(T.words(), T.unmarked).alias("w")).where(F.size("w") > 0)
-    tags = plain.select("doc_id", F.expr(f"transform(transform(w, plain -> {T.part_of_speech_sql()}), tag -> {LETTER})").alias("t"))
+    tags = plain.select("doc_id", F.expr(f"transform(transform(w, plain -> {T.part_of_speech_sql()}), tag -> {T.LETTER})").alias("t"))
     return tags.select("doc_id", F.array_join("t", "").alias("text")).select("doc_id", F.size(T.matches(pattern)).cast("long").alias("n"))
 
 
@@ -292,6 +290,49 @@ def verb_counts(spark, sf):
     return tag_runs(spark, sf, VERB)
 
 
+TERMS_SQL = f"""{TOKENS}, tagged AS (SELECT doc_id, pos, plain, {T.part_of_speech_sql()} AS tag FROM tok),
+  line AS (SELECT doc_id, string_agg(chr(10) || {T.LETTER} || plain, '' ORDER BY pos) AS l FROM tagged GROUP BY doc_id),
+  run AS (SELECT doc_id, regexp_extract(unnest(regexp_split_to_array(l, '\n[^JN\n][^\n]*')), '(?s)^.*\nN[^\n]*', 0) AS r FROM line),
+  term AS (SELECT text, count(*) AS word_cnt, count(DISTINCT doc_id) AS text_cnt FROM (SELECT doc_id, trim(regexp_replace(r, '\n[JN]', ' ', 'g')) AS text FROM run WHERE r <> '') GROUP BY text)"""
+
+
+@query(f"WITH {TERMS_SQL} SELECT text, word_cnt, text_cnt FROM term")
+def term_nodes(spark, sf):
+    return P.term_nodes(docs(spark, sf))
+
+
+@query(f"WITH {TERMS_SQL} SELECT text AS i, string_split(text, ' ')[-1] AS j, word_cnt AS count FROM term WHERE text LIKE '% %'")
+def root_edges(spark, sf):
+    return P.root_edges(P.term_nodes(docs(spark, sf)))
+
+
+@query(f"""WITH {TERMS_SQL}, parts AS (SELECT text, word_cnt, string_split(text, ' ') AS p FROM term WHERE text LIKE '% %'),
+  ends AS (SELECT text, word_cnt, unnest(list_transform(range(2, len(p) + 1), lambda x: array_to_string(p[x:], ' '))) AS j FROM parts)
+  SELECT e.text AS i, arg_max(e.j, length(e.j)) AS j, any_value(e.word_cnt) AS count FROM ends e JOIN term t ON t.text = e.j GROUP BY e.text""")
+def taxonomy_edges(spark, sf):
+    return P.taxonomy_edges(P.term_nodes(docs(spark, sf)))
+
+
+@query(f"SELECT text, count(*) AS word_cnt, count(DISTINCT doc_id) AS text_cnt FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{q(T.SENTENCE)}', 0)) AS text FROM documents) GROUP BY text")
+def sentence_nodes(spark, sf):
+    return P.sentence_nodes(docs(spark, sf))
+
+
+DOC_EDGES = "de AS (SELECT word AS i, CAST(doc_id AS VARCHAR) AS j, count(*) AS count FROM tok GROUP BY word, doc_id)"
+
+
+@query(f"WITH {TOKENS}, {DOC_EDGES} SELECT i, j, count FROM de")
+def doc_edges(spark, sf):
+    return B.document_edges(docs(spark, sf))
+
+
+@query(f"WITH {TOKENS}, {NODES}, {DOC_EDGES}, doc_e AS (SELECT i, j, count, count / (sum(count) OVER (PARTITION BY i) + 1e-6) AS prob FROM de), {THE}, {step_sql('b', 'a', 'doc_e')} SELECT {SHOWN} FROM b")
+def word_documents(spark, sf):
+    """Documents by their share of a word."""
+    d = docs(spark, sf)
+    return shown(Flow(Graph(B.word_nodes(d), {"to-doc": B.with_prob(B.document_edges(d))})).select(["the"]).traverse("to-doc").result())
+
+
 # Frequent words that tell the languages apart.
 STOP = {"en": ["the", "of", "and", "to", "is"], "fr": ["le", "la", "les", "et", "des"], "de": ["der", "die", "und", "das", "ist"], "es": ["el", "los", "que", "del", "las"]}
 

@@ -2,6 +2,7 @@ import numpy as np
 
 from lexigraph.functions import hashing
 from lexigraph.operators import build, nodeset
+from lexigraph.operators import phrases as P
 from lexigraph.plans.flow import Flow, Graph
 
 
@@ -67,3 +68,22 @@ def test_registered_queries_match_sql(spark):
         got = sorted(tuple(str(r[c]) for c in cols) for r in rows.collect())
         want = sorted(tuple(str(x) for x in r) for r in con.execute(f"SELECT {', '.join(cols)} FROM ({queries.SQL[name]})").fetchall())
         assert got == want, name
+
+
+def test_terms_and_taxonomy(spark):
+    texts = [(1, "big old dog of old dog and dog", "en"), (2, None, "en"), (None, "", None), (3, "old dog. the old dog is big", "en"), (3, "word " * 30_000, "en")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    terms = P.term_nodes(rows)
+    got = {r.text: (r.word_cnt, r.text_cnt) for r in terms.collect()}
+    long = " ".join(["word"] * 30_000)
+    assert got == {"big old dog": (1, 1), "old dog": (3, 2), "dog": (1, 1), "big": (1, 1), long: (1, 1)}
+    short = terms.where("length(text) < 100")
+    assert {(r.i, r.j, r["count"]) for r in P.root_edges(short).collect()} == {("big old dog", "dog", 1), ("old dog", "dog", 3)}
+    assert {(r.i, r.j, r["count"]) for r in P.taxonomy_edges(short).collect()} == {("big old dog", "old dog", 1), ("old dog", "dog", 3)}
+    none = rows.where("false")
+    assert P.term_nodes(none).count() == P.sentence_nodes(none).count() == P.taxonomy_edges(P.term_nodes(none)).count() == 0
+
+
+def test_document_edges(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (1, "a"), (2, None), (None, "a")], "doc_id long, text string")
+    assert {(r.i, r.j, r["count"]) for r in build.document_edges(rows).collect()} == {("a", "1", 2), ("▁b", "1", 1), ("▁a", "1", 1)}
