@@ -7,10 +7,14 @@ node, and a node of at most `leaf` documents is compared exhaustively, on full
 sets.  A pair of similarity s misses all root nodes with probability
 (1 - s) ** (trees * branch), far below one in a billion at 0.8.
 
-A node that is still large at `depth` holds documents that agree in nearly
-everything.  It is dealt to blocks of about `leaf` documents, and the node's
-`leaders` (its first documents by hash) are compared with every block, so that
-its documents meet through the leaders as well as inside blocks.
+A node that is still large at `depth` holds documents that agree in much.  It is
+dealt to blocks of about `leaf` documents, and the node's `leaders` (its first
+documents by hash, and those with the most frequent minima) are compared with
+every block.  That links most of what is alike, but not all, so the
+nodes whose members then are in several components are gone through again: they
+branch on while that makes fewer pairs, and what stays is compared in all pairs
+of blocks but those inside the node's largest component.  So every two members
+of a node are compared there or in nodes below it, or are linked already.
 
 Documents with one set are one representative; leaves with the same members,
 as other trees find them, are compared once; a leaf's links leave it as a star.
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, cut, groups
@@ -86,31 +90,89 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, mins array<long>")
 
 
-def leaves(sets: DataFrame, trees: int, branch: int, leaf: int, depth: int, leaders: int) -> DataFrame:
-    """members: the distinct groups of representatives to compare.  sets: rep, mins."""
+def pick(k: int) -> Column:
+    """The k-th coordinate by which a node branches."""
+    return F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int") + 1
+
+
+def branches() -> Column:
+    """The nodes below a row's node that its minima choose."""
+    return F.array(*(F.xxhash64("node", pick(k), F.element_at("mins", pick(k))) for k in (1, 2)))
+
+
+def members_of(rows: DataFrame) -> DataFrame:
+    """leaf, members: the distinct groups of two representatives or more.  rows: node, rep."""
+    members = rows.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members")).where(F.size("members") > 1)
+    return members.select("members").distinct().select(F.xxhash64("members").alias("leaf"), "members")
+
+
+def leaves(sets: DataFrame, trees: int, branch: int, leaf: int, depth: int, leaders: int) -> tuple[DataFrame, DataFrame]:
+    """The groups of representatives to compare first, and node, rep of the nodes still large.  sets: rep, mins."""
     roots = F.transform(F.sequence(F.lit(0), F.lit(trees * branch - 1)), lambda i: F.xxhash64(i, F.element_at("mins", i + 1)))
     level = cut(sets.select("rep", F.explode(roots).alias("node")), "nodes")
     found = []
     for at in range(depth):
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
         met = cut(level.join(sizes, "node"), "nodes")
+        if at == 0:  # how frequent the minima of a representative are
+            heat = met.groupBy("rep").agg(F.sum(F.floor(4 * F.log2("size"))).alias("heat"))
         found.append(met.where(F.col("size") <= leaf).select("node", "rep"))
         large = met.where(F.col("size") > leaf)
         if at + 1 < depth:
-            pick = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int") + 1
-            chosen = large.join(sets, "rep").select("rep", F.explode(F.array(*(F.xxhash64("node", pick(k), F.element_at("mins", pick(k))) for k in (1, 2)))).alias("node"))
-            level = chosen.distinct()
+            level = large.join(sets, "rep").select("rep", F.explode(branches()).alias("node")).distinct()
     place = F.xxhash64("node", "rep")
     parts = F.ceil(F.col("size") / leaf).cast("int")
-    heads = large.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(place, "rep"))).where(F.col("r") <= leaders)
+    first = lambda rows, *order: rows.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(*order))).where(F.col("r") <= leaders).select("node", "rep", "size")
+    heads = first(large, place, "rep").unionByName(first(large.join(heat, "rep"), F.desc("heat"), place, "rep")).distinct().withColumn("parts", parts)
     block = lambda part: F.xxhash64("node", part, F.lit("block"))
     found.append(large.select(block(F.pmod(F.xxhash64("rep", "node"), parts).cast("int")).alias("node"), "rep"))
-    found.append(heads.select("node", "rep", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select(block(F.col("part")).alias("node"), "rep"))
+    found.append(heads.select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(block(F.col("part")).alias("node"), "rep"))
     rows = found[0]
     for more in found[1:]:
         rows = rows.unionByName(more)
-    members = rows.groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members")).where(F.size("members") > 1)
-    return members.select("members").distinct().select(F.xxhash64("members").alias("leaf"), "members")
+    return members_of(rows), large.select("node", "rep")
+
+
+def rest(large: DataFrame, parts: DataFrame, sets: DataFrame, block: int, further: int = 6) -> DataFrame | None:
+    """Groups where any two members of a large node meet that are in different components, or below it; None without such nodes.
+
+    large: node, rep; parts: node, component of representatives linked so far.
+    """
+    label = parts.select(F.col("node").alias("rep"), "component")
+
+    def apart(level: DataFrame) -> DataFrame:
+        """Rows of the nodes with several components, with the largest (main), its size and the node's."""
+        named = level.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        each = named.groupBy("node", "component").agg(F.count("*").alias("n"))
+        main = each.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).where("top.n < size")
+        return cut(named.join(main.select("node", "size", F.col("top.n").alias("main_n"), F.col("top.component").alias("main")), "node"), "apart")
+
+    level, ready = apart(large.withColumn("parent", F.lit(0).cast("long"))), []
+    if level.isEmpty():
+        return None
+    for _ in range(further):
+        ready.append(level.where(F.col("size") <= block))
+        wide = level.where(F.col("size") > block)
+        if wide.isEmpty():
+            level = wide
+            break
+        below = apart(wide.select("node", "rep").join(sets, "rep").select("rep", F.col("node").alias("parent"), F.explode(branches()).alias("node")).distinct())
+        # rows times those outside the main component: what the pairs of blocks of a node cost, in its branches and in itself
+        after = below.groupBy("parent").agg(F.sum(F.col("size") - F.col("main_n")).alias("after"))
+        stay = wide.select("node", "size", "main_n").distinct().join(after.withColumnRenamed("parent", "node"), "node", "left").where(2 * F.coalesce("after", F.lit(0)) >= F.col("size") * (F.col("size") - F.col("main_n"))).select("node")
+        stay = cut(stay, "stay")
+        ready.append(wide.join(stay, "node", "left_semi"))
+        level = below.join(stay.withColumnRenamed("node", "parent"), "parent", "left_anti")
+    rows = level
+    for more in ready:
+        rows = rows.unionByName(more)
+    count = lambda n: F.ceil(n / block).cast("int")
+    rows = rows.withColumn("inner", F.col("component") == F.col("main")).withColumn("mains", count(F.col("main_n"))).withColumn("parts", F.col("mains") + count(F.col("size") - F.col("main_n")))
+    own = F.when(F.col("inner"), F.pmod(F.xxhash64("rep", "node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep", "node"), F.col("parts") - F.col("mains"))).cast("int")
+    # a block meets all others but that two of the main component don't meet; its own members meet on the way
+    others = F.sequence(F.when(F.col("inner"), F.col("mains")).otherwise(F.lit(0)), F.col("parts") - 1)
+    rows = rows.withColumn("own", own).select("node", "rep", "own", F.explode(others).alias("other")).where("own != other")
+    return members_of(rows.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep"))
 
 
 def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,12 +197,8 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     return np.nonzero(np.triu((100 * common >= percent * union) & (union > 0), 1))
 
 
-def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, branch: int = 2, leaf: int = 48, depth: int = 2, leaders: int = 6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for every document."""
-    marks = cut(sketches(documents, words), "sketches")
-    some = marks.where("n_shingles > 0 and doc_id is not null")
-    sets = cut(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mins")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.mins").alias("mins")), "sets")
-    groups_to_compare = cut(leaves(sets.select("rep", "mins"), trees, branch, leaf, depth, leaders), "leaves")
+def links_of(documents: DataFrame, groups_to_compare: DataFrame, words: int, percent: int) -> DataFrame:
+    """a, b: the links inside each group, as stars.  groups_to_compare: leaf, members."""
     wanted = groups_to_compare.select("leaf", F.explode("members").alias("doc_id"))
     # a representative's text travels to each of its leaves; rows with one doc_id all do
     texts = documents.select("doc_id", "text").join(wanted, "doc_id")
@@ -158,8 +216,20 @@ def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, tree
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    links = texts.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "a long, b long")
-    parts = components(links)
+    return texts.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "a long, b long")
+
+
+def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, branch: int = 2, leaf: int = 48, depth: int = 2, leaders: int = 6, block: int = 192) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for every document."""
+    marks = cut(sketches(documents, words), "sketches")
+    some = marks.where("n_shingles > 0 and doc_id is not null")
+    sets = cut(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mins")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.mins").alias("mins")), "sets")
+    first, large = leaves(sets.select("rep", "mins"), trees, branch, leaf, depth, leaders)
+    parts = components(links_of(documents, cut(first, "leaves"), words, percent))
+    more = rest(large, parts, sets.select("rep", "mins"), block)
+    if more is not None:
+        links = links_of(documents, cut(more, "leaves"), words, percent)
+        parts = components(links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     of_set = cut(sets.select("h1", "h2", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("set_component")), "classes")
     out = marks.select("doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("set_component", "doc_id")).otherwise(F.col("doc_id"))

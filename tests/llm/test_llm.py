@@ -103,6 +103,28 @@ def test_near_documents(spark, docs):
     assert neardup.near_documents(empty(spark)).count() == 0
 
 
+def test_near_documents_in_large_nodes(spark):
+    """A star (copies near their base alone) and a chain, each in nodes far above a leaf."""
+    rng = np.random.default_rng(7)
+    words = np.array([f"w{i}" for i in range(2200)])
+    base = words[:400]
+    texts = [" ".join(base)]
+    for i in range(150):
+        copy = base.copy()
+        copy[np.arange(8) * 50 + rng.integers(5, 45, 8)] = [f"e{i}-{k}" for k in range(8)]
+        texts.append(" ".join(copy))
+    texts += [" ".join(words[400 + 35 * i : 800 + 35 * i]) for i in range(40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = np.array([[100 * len(a & b) >= 80 * len(a | b) for b in sets] for a in sets])
+    assert near[1:151, 1:151].sum() == 150 and near[0, :151].all() and not near[151:, 151:].all()
+    want = np.arange(len(texts))
+    for _ in texts:
+        want = np.where(near, want[None, :], len(texts)).min(1)
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_documents(table, leaf=2, leaders=1, block=16).collect()}
+    assert got == dict(enumerate(want.tolist())) and set(got.values()) == {0, 151}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(400)] + [(400, None), (401, [float("nan")] * 8)]
