@@ -1,23 +1,20 @@
-"""Language-model scoring by deleted interpolation.
+"""Language-model scoring by deleted interpolation over the whole vocabulary.
 
-Tokens are the lower-cased words of a text and one end.  Each of the `classes`
-most frequent words is a class of its own, all others share one.  The class of
-a token after the class before it mixes three maximum-likelihood estimates,
+Tokens are the lower-cased words of a text and one end.  A token w after the token
+h before it (an end before the first) mixes three estimates,
 
-    P(C | h) = a * c(h C) / c(h) + b * c(C) / N + (1 - a - b) / number of classes
+    P(w | h) = a * c(h w) / c(h) + b * c(w) / N + (1 - a - b) / (V + 1)
 
-where a and b belong to the bucket of h, the power of two of its count.  A word
-of the shared class mixes its share of that class and an even share, which
-unknown words have too:
+where a and b belong to the bucket of h, the power of two of its count; an unknown
+h has no first part and the others share its weight.  Unknown words share the even
+part.  The weights are learned by expectation-maximisation on held-out counts:
+those of a third of the training rows, with the estimates taken from the other two
+thirds, grouped by bucket and by estimates within a quarter of an octave.
 
-    P(w | C) = (1 - m) * c(w) / c(C) + m / (V + 1)
-
-All weights are learned by expectation-maximisation on held-out counts: those of
-a third of the training rows, with the estimates taken from the other two thirds.
-
-The pair table is bounded by a parameter, (classes + 2) squared cells, which is
-what makes sending it to the tasks safe.  Word counts have no such bound and
-stay distributed: scoring joins the words outside the `top` most frequent by hash.
+Counts of words and of pairs of words are one distributed table that grows with the
+text; tasks sum what they have read before it moves.  For scoring, texts are taken in
+chunks of about `chunk` tokens; each chunk's distinct words and pairs are joined with
+their counts and meet the chunk again.  Only bucket weights and totals are sent to tasks.
 
 Cases: null text is empty and has the end alone; null doc_id is hashed as the
 empty text; repeated rows count and are scored each; without training rows every
@@ -26,7 +23,6 @@ word is unknown; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -37,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks, cut, fold
 
-#: Hash of the end token; words hash to their XXH64 digest.
-END = 0x656E64
+#: Hash of the end token, and the token before in rows that count a word alone; words hash to their XXH64 digest.
+END, ALONE = 0x656E64, 0x616C6F6E65
 
 
 def _hash(words) -> np.ndarray:
@@ -47,115 +43,81 @@ def _hash(words) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64).view(np.int64)
 
 
-def word_counts(documents: DataFrame) -> DataFrame:
-    """word (hash), n, fit: counts over the training rows, and over those that aren't held out for the weights."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[Counter] = [Counter(), Counter()]
-        ends = [0, 0]
-
-        def out(last: bool) -> Iterator[pa.RecordBatch]:
-            words = list(seen[0] | seen[1])
-            h = _hash(words)
-            counts = [np.fromiter(map(c.__getitem__, words), np.int64, len(words)) for c in seen]
-            if last and any(ends):
-                h, counts = np.append(h, END), [np.append(c, e) for c, e in zip(counts, ends, strict=True)]
-            for i in range(0, len(h), 1 << 16):
-                part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(h[part]), pa.array(counts[0][part] + counts[1][part]), pa.array(counts[0][part])], ["word", "n", "fit"])
-
-        for batch, texts in blocks(batches):
-            for held, text in zip(batch.column("held").to_pylist(), texts, strict=True):
-                seen[held].update(text.lower().split())
-                ends[held] += 1
-            if len(seen[0]) + len(seen[1]) > 500_000:
-                yield from out(False)
-                seen = [Counter(), Counter()]
-        yield from out(True)
-
-    rows = documents.where(fold("doc_id", 7) != 2).select("text", (fold("doc_id", 3) == 0).cast("int").alias("held"))
-    return rows.mapInArrow(run, "word long, n long, fit long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
-
-
 class Vocabulary:
-    """Words of a task as codes, with their hash, class and count; emptied when it has grown large."""
+    """Words of a task as codes with their hash; the end is code 0.  Emptied when it has grown large."""
 
-    def __init__(self, classes: np.ndarray, top: np.ndarray | None = None, top_n: np.ndarray | None = None):
-        self.classes, self.top, self.top_n = classes, top, top_n
-        self.rare, self.end, self.width = len(classes), len(classes) + 1, len(classes) + 2
-        self._empty()
+    def __init__(self):
+        self.empty()
 
-    def _empty(self) -> None:
+    def empty(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.hash, self.cls, self.n = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.hash = np.array([END], np.int64)
 
-    def _find(self, table: np.ndarray, values: np.ndarray, hashes: np.ndarray, other: int) -> np.ndarray:
-        if not len(table):
-            return np.full(len(hashes), other)
-        at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-        return np.where(table[at] == hashes, values[at], other)
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes of all words one after another, words by text, and the class sequence with an end before and behind each text."""
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of codes, before << 32 | after, of all tokens one after another, and tokens by text."""
         words = [t.lower().split() for t in texts]
         flat = list(chain.from_iterable(words))
-        if len(self.code) > 500_000:
-            self._empty()
         new = list(set(flat).difference(self.code))
         if new:
-            h = _hash(new)
-            self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-            self.hash = np.append(self.hash, h)
-            self.cls = np.append(self.cls, self._find(self.classes, np.arange(len(self.classes)), h, self.rare))
-            if self.top is not None:
-                self.n = np.append(self.n, self._find(self.top, self.top_n, h, -1))
-        codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        sequence = np.full(len(flat) + 2 * len(sizes), self.end)
-        sequence[np.arange(len(flat)) + 2 * np.repeat(np.arange(len(sizes)), sizes) + 1] = self.cls[codes]
-        return codes, sizes, sequence
-
-    @staticmethod
-    def events(sizes: np.ndarray) -> np.ndarray:
-        """Places of the sequence that are events: all but each text's leading end."""
-        mask = np.ones(int(sizes.sum()) + 2 * len(sizes), bool)
-        mask[np.cumsum(sizes + 2) - sizes - 2] = False
-        return np.flatnonzero(mask)
-
-
-def pair_counts(documents: DataFrame, classes: np.ndarray) -> DataFrame:
-    """pair (class before * width + class), n, fit over the training rows.  classes: sorted hashes."""
-    shared = documents.sparkSession.sparkContext.broadcast(classes)
+            self.code.update(zip(new, range(len(self.hash), len(self.hash) + len(new)), strict=True))
+            self.hash = np.append(self.hash, _hash(new))
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        after = np.zeros(int(sizes.sum()), np.int64)
+        is_word = np.ones(len(after), bool)
+        is_word[np.cumsum(sizes) - 1] = False
+        after[is_word] = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+        # a text's last token is the end, which also stands before the next text's first
+        return np.append(0, after[:-1]) << 32 | after, sizes
+
+
+def training(documents: DataFrame) -> DataFrame:
+    """text, held of the training rows; held rows learn the weights."""
+    return documents.where(fold("doc_id", 7) != 2).select("text", (fold("doc_id", 3) == 0).cast("int").alias("held"))
+
+
+def gram_counts(documents: DataFrame) -> DataFrame:
+    """before, word (hashes), n, fit: counts of pairs, and of words (before is ALONE), over the training rows and over those not held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Vocabulary(shared.value)
-        tables = [np.zeros(words.width * words.width, np.int32) for _ in range(2)]
-        waiting: list[np.ndarray] = []
+        words = Vocabulary()
+        # distinct pairs with both counts, sums of what came before; and pairs that wait to be added
+        pairs, sums, waiting = np.empty(0, np.int64), np.empty((2, 0), np.int64), []
 
         def add() -> None:
-            if waiting:
-                # pairs of held-out texts come as negative numbers
-                pairs = np.concatenate(waiting)
-                for side, own in ((0, pairs[pairs >= 0]), (1, ~pairs[pairs < 0])):
-                    tables[side] += np.bincount(own, minlength=len(tables[side])).astype(np.int32)
-                waiting.clear()
+            nonlocal pairs, sums
+            if not waiting:
+                return
+            held = np.concatenate([h for _, h in waiting])
+            every, at, counts = np.unique(np.concatenate([p for p, _ in waiting]), return_inverse=True, return_counts=True)
+            fit = np.bincount(at[~held], minlength=len(every))
+            waiting.clear()
+            merged, at = np.unique(np.concatenate([pairs, every]), return_inverse=True)
+            new = [np.bincount(at, np.concatenate([old, more]), len(merged)).astype(np.int64) for old, more in zip(sums, (counts, fit), strict=True)]
+            pairs, sums = merged, np.stack(new)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal pairs, sums
+            add()
+            alone = [np.bincount(pairs & 0xFFFFFFFF, x, len(words.hash)).astype(np.int64) for x in sums]
+            some = np.flatnonzero(alone[0])
+            columns = [np.append(words.hash[pairs >> 32], np.full(len(some), ALONE)), np.append(words.hash[pairs & 0xFFFFFFFF], words.hash[some])]
+            columns += [np.append(x, y[some]) for x, y in zip(sums, alone, strict=True)]
+            for i in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], ["before", "word", "n", "fit"])
+            pairs, sums = np.empty(0, np.int64), np.empty((2, 0), np.int64)
+            words.empty()
 
         for batch, texts in blocks(batches):
-            _, sizes, seq = words.read(texts)
-            at = words.events(sizes)
-            pair = seq[at - 1] * words.width + seq[at]
-            held = np.repeat(np.array(batch.column("held").to_pylist()) > 0, sizes + 1)
-            waiting.append(np.where(held, ~pair, pair))
-            if sum(map(len, waiting)) > 1_000_000:
+            pair, sizes = words.read(texts)
+            waiting.append((pair, np.repeat(np.array(batch.column("held").to_pylist()) > 0, sizes)))
+            if sum(len(p) for p, _ in waiting) > 1_000_000:
                 add()
-        add()
-        some = np.flatnonzero(tables[0] | tables[1])
-        for i in range(0, len(some), 1 << 16):
-            p = some[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(p.astype(np.int64)), pa.array((tables[0][p] + tables[1][p]).astype(np.int64)), pa.array(tables[0][p].astype(np.int64))], ["pair", "n", "fit"])
+            if len(pairs) > 3_000_000 or len(words.hash) > 500_000:
+                yield from out()
+        yield from out()
 
-    rows = documents.where(fold("doc_id", 7) != 2).select("text", (fold("doc_id", 3) == 0).cast("int").alias("held"))
-    return rows.mapInArrow(run, "pair long, n long, fit long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
+    rows = training(documents).mapInArrow(run, "before long, word long, n long, fit long")
+    return rows.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("fit").alias("fit"))
 
 
 def interpolate(estimates: np.ndarray, held: np.ndarray, bucket: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -178,77 +140,85 @@ def buckets_of(context: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(context + 1)).astype(int)
 
 
-def score_documents(documents: DataFrame, classes: int = 1022, top: int = 200_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+def held_events(grams: DataFrame, n_fit: int) -> DataFrame:
+    """bucket, two, one, held: held-out counts of pairs, grouped by the bucket of the token before and by nearly equal estimates."""
+    words = grams.where(F.col("before") == ALONE)
+    events = grams.where((F.col("before") != ALONE) & (F.col("n") > F.col("fit"))).select("before", "word", "fit", (F.col("n") - F.col("fit")).alias("held"))
+    events = events.join(words.select(F.col("word").alias("before"), F.col("fit").alias("context")), "before").join(words.select("word", F.col("fit").alias("own")), "word")
+    step = lambda p: F.when(p > 0, F.floor(4 * F.log2(p))).otherwise(-1000)
+    events = events.select(F.ceil(F.log2(F.col("context") + 1)).cast("int").alias("bucket"), (F.col("fit") / F.greatest("context", F.lit(1))).alias("two"), (F.col("own") / F.lit(max(n_fit, 1))).alias("one"), "held")
+    mean = lambda c: (F.sum(F.col(c) * F.col("held")) / F.sum("held")).alias(c)
+    return events.groupBy("bucket", step(F.col("two")).alias("s2"), step(F.col("one")).alias("s1")).agg(mean("two"), mean("one"), F.sum("held").alias("held")).drop("s1", "s2")
 
-    classes: words with a class of their own; top: words whose counts are sent to the tasks.  Both
-    bound what is broadcast; words beyond them are joined.
+
+def chunks(documents: DataFrame, chunk: int) -> DataFrame:
+    """A row for each chunk (docs, sizes, places: the slots of its tokens' pairs, of their tokens before and after), and one for each slot.
+
+    A slot is a distinct word or pair of the chunk, as before and word.
     """
-    spark = documents.sparkSession
-    counts = cut(word_counts(documents), "lm-words")
-    n_all, n_fit, known = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("fit"), F.lit(0)), F.count("*")).first()
-    frequent = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(top).toArrow()
-    ends = counts.where(F.col("word") == END).select("n", "fit").first() or (0, 0)
-    top_words, top_n, top_fit = (frequent[c].to_numpy() for c in ("word", "n", "fit"))
-    order = np.argsort(top_words[:classes])
-    words, own_n, own_fit = (x[:classes][order] for x in (top_words, top_n, top_fit))
-    width, rare, end = len(words) + 2, len(words), len(words) + 1
-    by_class = np.array([*own_n, n_all - own_n.sum() - ends[0], ends[0]], float)
-    fit_class = np.array([*own_fit, n_fit - own_fit.sum() - ends[1], ends[1]], float)
-    pairs = pair_counts(documents, words).toArrow()
-    pair, n, fit = (pairs[c].to_numpy() for c in ("pair", "n", "fit"))
-    order = np.argsort(pair)
-    pair, n, fit = pair[order], n[order], fit[order]
-    before, after = pair // width, pair % width
-    estimates = np.stack([fit / np.maximum(fit_class[before], 1), fit_class[after] / max(n_fit, 1), np.full(len(fit), 1 / width)], 1)
-    lam = interpolate(estimates, n - fit, buckets_of(fit_class)[before])[buckets_of(by_class)]
-    # words of the shared class, by their count in the part that estimates come from
-    others = counts.join(F.broadcast(spark.createDataFrame([(w,) for w in words.tolist()], "word long")), "word", "left_anti").where(F.col("word") != END)
-    rare_counts = others.groupBy("fit").agg(F.sum(F.col("n") - F.col("fit")).alias("held"), F.count("*").alias("types")).orderBy("fit").toPandas()
-    even = 1 / (rare_counts.loc[rare_counts["fit"] > 0, "types"].sum() + 1)
-    share = rare_counts["fit"].to_numpy(float) / max(fit_class[rare], 1)
-    mu = float(interpolate(np.stack([share, np.full(len(share), even)], 1), rare_counts["held"].to_numpy(float), np.zeros(len(share), int))[0, 1])
-    model = spark.sparkContext.broadcast({"classes": words, "pair": pair.astype(np.int32), "two": (n / np.maximum(by_class[before], 1)).astype(np.float32), "one": by_class / max(n_all, 1), "lam": lam})
-    order = np.argsort(top_words)
-    table = spark.sparkContext.broadcast((top_words[order], top_n[order]))
-    norm, end_count, rare_total = n_all + known + 1, ends[0], max(float(by_class[rare]), 1.0)
-    rare_types = known - len(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        words = Vocabulary(m["classes"], *table.value)
+        words, waiting, first = Vocabulary(), [], None
+        schema = pa.schema([("chunk", pa.int64()), ("slot", pa.int32()), ("before", pa.int64()), ("word", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.binary())])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            pairs, place = np.unique(np.concatenate([p for p, _, _ in waiting]), return_inverse=True)
+            codes, ends = np.unique(np.concatenate([pairs >> 32, pairs & 0xFFFFFFFF]), return_inverse=True)
+            places = np.concatenate([place, ends]).astype(np.int32).tobytes()
+            docs, sizes = [d for _, _, own in waiting for d in own], np.concatenate([s for _, s, _ in waiting])
+            yield pa.RecordBatch.from_pylist([{"chunk": first, "docs": docs, "sizes": sizes.tolist(), "places": places}], schema)
+            before = np.append(np.full(len(codes), ALONE), words.hash[pairs >> 32])
+            after = np.append(words.hash[codes], words.hash[pairs & 0xFFFFFFFF])
+            for i in range(0, len(before), 1 << 16):
+                b, a = before[i : i + (1 << 16)], after[i : i + (1 << 16)]
+                none = [pa.nulls(len(b), schema.field(c).type) for c in ("docs", "sizes", "places")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), first)), pa.array(np.arange(i, i + len(b), dtype=np.int32)), pa.array(b), pa.array(a), *none], schema=schema)
+            waiting.clear()
+            words.empty()
+
         for batch, texts in blocks(batches):
-            codes, sizes, seq = words.read(texts)
-            at = words.events(sizes)
-            before, after = seq[at - 1], seq[at]
-            first = np.cumsum(sizes + 1) - sizes - 1
-            is_word = np.ones(len(at), bool)
-            is_word[first + sizes] = False
-            c, h = np.full(len(at), end_count), np.zeros(len(at), np.int64)
-            c[is_word], h[is_word] = words.n[codes], words.hash[codes]
-            pair = (before * words.width + after).astype(np.int32)
-            two = np.zeros(len(pair))
-            if len(m["pair"]):
-                place = np.minimum(np.searchsorted(m["pair"], pair), len(m["pair"]) - 1)
-                two = np.where(m["pair"][place] == pair, m["two"][place], 0.0)
-            lam = m["lam"][before]
-            of_class = lam[:, 0] * two + lam[:, 1] * m["one"][after] + lam[:, 2] / words.width
-            p = np.where(after == words.rare, of_class * ((1 - mu) * np.maximum(c, 0) / rare_total + mu / (rare_types + 1)), of_class)
-            away = c < 0  # words beyond the table: joined later
-            base = np.where(away, 0.0, np.log10((np.maximum(c, 0) + 1) / norm))
-            score = np.where(away, 0.0, np.log10(p))
-            text = np.repeat(np.arange(len(sizes)), sizes + 1)
-            offsets = pa.array(np.append(0, np.cumsum(np.bincount(text[away], minlength=len(sizes)))).astype(np.int32))
-            cols = [pa.array(sizes + 1), pa.array(np.add.reduceat((c > 0).astype(np.int64), first)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(score, first))]
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[away], of_class[away].astype(np.float32))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("row_id"), *cols, *lists], ["doc_id", "row_id", "n_tokens", "n_known", "base_score", "score", "far", "main"])
-
-    numbered = documents.select("doc_id", "text", F.monotonically_increasing_id().alias("row_id"))
-    near = cut(numbered.mapInArrow(run, "doc_id long, row_id long, n_tokens long, n_known long, base_score double, score double, far array<long>, main array<float>"), "lm-scored")
-    far = near.where(F.size("far") > 0).select("row_id", F.inline(F.arrays_zip("far", "main")))
-    met = far.join(counts.select(F.col("word").alias("far"), "n"), "far", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    p = F.col("main").cast("double") * (F.col("n") * F.lit((1 - mu) / rare_total) + F.lit(mu / (rare_types + 1)))
-    more = met.groupBy("row_id").agg(F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum(F.log10((F.col("n") + 1) / F.lit(float(norm)))).alias("more_base"), F.sum(F.log10(p)).alias("more_score"))
-    joined = near.drop("far", "main").join(more, "row_id", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return joined.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", plus("n_known", "more_known").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), plus("base_score", "more_base").alias("base_score"), plus("score", "more_score").alias("score"))
+            if not waiting:
+                first = batch.column("row_id")[0].as_py()
+            waiting.append((*words.read(texts), batch.column("doc_id").to_pylist()))
+            if sum(len(p) for p, _, _ in waiting) > chunk:
+                yield from out()
+        if waiting:
+            yield from out()
+
+    numbered = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row_id"))
+    return numbered.mapInArrow(run, "chunk long, slot int, before long, word long, docs array<long>, sizes array<long>, places binary")
+
+
+def score_documents(documents: DataFrame, classes: int = 1022, top: int = 200_000, chunk: int = 1_000_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    chunk: tokens that are scored together.  classes and top bounded an earlier model and have no effect.
+    """
+    grams = cut(gram_counts(documents), "lm-grams")
+    n_all, n_fit, known = grams.where(F.col("before") == ALONE).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("fit"), F.lit(0)), F.count("*")).first()
+    events = held_events(grams, n_fit).orderBy("bucket", "two", "one").toPandas()
+    even = 1 / (known + 1)
+    weights = interpolate(np.stack([events["two"].to_numpy(float), events["one"].to_numpy(float), np.full(len(events), even)], 1), events["held"].to_numpy(float), events["bucket"].to_numpy(int))
+    weights[0, 0] = 0  # nothing is known to follow an unknown token
+    weights[0] /= weights[0].sum()
+    norm = n_all + known + 1
+
+    def score(chunk_row: pa.Table, slots: pa.Table) -> pa.Table:
+        docs, sizes = chunk_row.column("docs")[0].values, chunk_row.column("sizes")[0].values.to_numpy()
+        n = np.zeros(len(slots), np.int64)
+        n[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+        places = np.frombuffer(chunk_row.column("places")[0].as_py(), np.int32)
+        place, (before, after) = places[: sizes.sum()], places[sizes.sum() :].reshape(2, -1)
+        pair, context, own = n[len(n) - len(before) :], n[before], n[after]
+        w = weights[buckets_of(context)]
+        p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * own / max(n_all, 1) + w[:, 2] * even
+        starts = np.cumsum(sizes) - sizes
+        by_text = lambda x: pa.array(np.add.reduceat(x[place], starts))
+        columns = [docs, pa.array(sizes), by_text((own > 0).astype(np.int64)), by_text(np.log10((own + 1) / norm)), by_text(np.log10(p))]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    rows = cut(chunks(documents, chunk), "lm-chunks")
+    slots = rows.where("places is null").select("chunk", "slot", "before", "word").join(grams.select("before", "word", "n"), ["before", "word"], "left").select("chunk", "slot", F.coalesce("n", F.lit(0)).alias("n"))
+    whole = rows.where("places is not null").select(F.col("chunk").alias("id"), "docs", "sizes", "places")
+    scored = whole.groupBy("id").cogroup(slots.groupBy("chunk")).applyInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,7 +1,10 @@
 """The operators against brute force on small tables with odd rows."""
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -76,6 +79,31 @@ def test_language_model(spark, docs):
     assert lm.score_documents(empty(spark)).count() == 0
 
 
+def test_language_model_counts_all_pairs(spark):
+    """Counts by brute force, and pairs of rare words tell in a vocabulary larger than any table of frequent ones."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"c{k}" for k in rng.integers(0, 1500, 60)) + (" Zebra quokka" if i % 20 == 0 else "") for i in range(1000)]
+    texts[700:702] = ["zebra quokka", "quokka zebra never"]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    texts[held[0]], texts[held[1]] = "c1 zebra quokka c2", "c1 quokka zebra c2"
+    train = [t.lower().split() + [None] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    words = Counter(w for t in train for w in t)
+    pairs = Counter(p for t in train for p in zip([None, *t[:-1]], t, strict=True))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in lm.score_documents(table, chunk=5000).collect()}
+    total = sum(words.values())
+    assert len(rows) == 1000
+    for i, t in enumerate(texts):
+        own = [*t.lower().split(), None]
+        assert (rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == (len(own), sum(w in words for w in own), total)
+        assert abs(rows[i].base_score - sum(math.log10((words[w] + 1) / (total + len(words) + 1)) for w in own)) < 1e-6
+    assert rows[held[0]].score > rows[held[1]].score + 1
+    key = lambda w: lm.END if w is None else int(lm._hash([w.encode()])[0])
+    got = {(r.before, r.word): r.n for r in lm.gram_counts(table).collect()}
+    want = {(key(a), key(b)): n for (a, b), n in pairs.items()} | {(lm.ALONE, key(w)): n for w, n in words.items()}
+    assert got == want
+
+
 @pytest.mark.parametrize("shard", [1500, 2])
 def test_repeats_match_brute_force(spark, docs, shard):
     data = [(r.text or "").encode() for r in docs.collect()]
