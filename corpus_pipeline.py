@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexigraph.llm import mixing, neardup, pieces, pii, quality
 from lexigraph.llm.common import shared_folder
@@ -22,10 +23,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (five words, similarity 0.8); rows without an id stay."""
-    kept = neardup.near_documents(docs).where("kept and doc_id is not null").select("doc_id")
-    lone = docs.where("doc_id is null")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(lone).select(*docs.columns)
+    """One document of each near-duplicate group stays (five words, similarity 0.8); rows without an id stay, texts that share one do if they aren't near."""
+    found = neardup.near_texts(docs).where("doc_id is not null")
+    row = F.struct("doc_id", "text_hash").alias("row")
+    kept = found.where("group is not null").groupBy("group").agg(F.min(row).alias("row")).select("row.*").unionByName(found.where("group is null").select("doc_id", "text_hash"))
+    keyed = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    whole = keyed.join(kept.distinct(), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return whole.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,8 @@ as other trees find them, are compared once; a leaf's links leave it as a star.
 
 Cases: null and empty texts, and blank ones, have empty sets and link with
 nothing; fewer words than a shingle make one shingle of all; rows with one
-doc_id are one document; a null doc_id links with nothing and is kept, with
+doc_id and different sets are linked each by its own text, and groups are named
+by their smallest doc_id; a null doc_id links with nothing and is kept, with
 component null; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -68,8 +69,13 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(_mixed(acc))
 
 
+def _sum_of(shingles: np.ndarray) -> int:
+    """h1 of one set."""
+    return int(np.add.reduce(_mixed(shingles)).view(np.int64))
+
+
 def sketches(documents: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (the set), mins (its minimum on each coordinate)."""
+    """doc_id, text_hash, n_shingles, h1 and h2 (the set), mins (its minimum on each coordinate)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in blocks(batches):
@@ -85,9 +91,9 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
                 h2[some] = np.bitwise_xor.reduceat(_mixed(every * np.uint64(0xC2B2AE3D27D4EB4F)), starts)
                 for k in range(COORDINATES):
                     mins[some, k] = np.minimum.reduceat(every * MULTIPLIERS[k] + OFFSETS[k], starts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(list(mins.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "h1", "h2", "mins"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(sizes.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(list(mins.view(np.int64)), pa.list_(pa.int64()))], ["doc_id", "text_hash", "n_shingles", "h1", "h2", "mins"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, mins array<long>")
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, mins array<long>")
 
 
 def pick(k: int) -> Column:
@@ -197,17 +203,20 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
     return np.nonzero(np.triu((100 * common >= percent * union) & (union > 0), 1))
 
 
-def links_of(documents: DataFrame, groups_to_compare: DataFrame, words: int, percent: int) -> DataFrame:
+def links_of(documents: DataFrame, sets: DataFrame, groups_to_compare: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: the links inside each group, as stars.  groups_to_compare: leaf, members."""
-    wanted = groups_to_compare.select("leaf", F.explode("members").alias("doc_id"))
-    # a representative's text travels to each of its leaves; rows with one doc_id all do
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id")
+    wanted = groups_to_compare.select("leaf", F.explode("members").alias("rep")).join(sets.select("rep", "doc_id", "h1"), "rep")
+    # a representative's text travels to each of its leaves; rows with one doc_id all do, and those of other sets are left out there
+    texts = documents.select("doc_id", "text").join(wanted, "doc_id").drop("doc_id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, rows in groups(batches, "leaf"):
-            ids = np.array([r["doc_id"] for r in rows])
-            i, j = linked_pairs([shingle_set((r["text"] or "").encode(), words) for r in rows], percent)
+            own = [(r["rep"], x) for r in rows if _sum_of(x := shingle_set((r["text"] or "").encode(), words)) == r["h1"]]
+            if len(own) < 2:
+                continue
+            ids = np.array([r for r, _ in own])
+            i, j = linked_pairs([x for _, x in own], percent)
             x, y = stars(ids[i], ids[j]) if len(i) else ([], [])
             a.extend(x)
             b.extend(y)
@@ -219,19 +228,25 @@ def links_of(documents: DataFrame, groups_to_compare: DataFrame, words: int, per
     return texts.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "a long, b long")
 
 
-def near_documents(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, branch: int = 2, leaf: int = 48, depth: int = 2, leaders: int = 6, block: int = 192) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row for every document."""
+def near_texts(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, branch: int = 2, leaf: int = 48, depth: int = 2, leaders: int = 6, block: int = 192) -> DataFrame:
+    """doc_id, text_hash, n_shingles, group, component_id: a row for every document.  Rows of one group are linked; null: linked with nothing."""
     marks = cut(sketches(documents, words), "sketches")
     some = marks.where("n_shingles > 0 and doc_id is not null")
-    sets = cut(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mins")).alias("m")).select("h1", "h2", F.col("m.doc_id").alias("rep"), F.col("m.mins").alias("mins")), "sets")
+    sets = cut(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mins")).alias("m")).select("h1", "h2", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("doc_id"), F.col("m.mins").alias("mins")), "sets")
     first, large = leaves(sets.select("rep", "mins"), trees, branch, leaf, depth, leaders)
-    parts = components(links_of(documents, cut(first, "leaves"), words, percent))
+    parts = components(links_of(documents, sets, cut(first, "leaves"), words, percent))
     more = rest(large, parts, sets.select("rep", "mins"), block)
     if more is not None:
-        links = links_of(documents, cut(more, "leaves"), words, percent)
+        links = links_of(documents, sets, cut(more, "leaves"), words, percent)
         parts = components(links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    of_set = cut(sets.select("h1", "h2", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "rep").alias("set_component")), "classes")
-    out = marks.select("doc_id", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("set_component", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of_set = cut(sets.select("h1", "h2", "rep", "doc_id").join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", "doc_id", F.coalesce("component", "rep").alias("group")), "groups")
+    names = of_set.groupBy("group").agg(F.min("doc_id").alias("set_component"))
+    of_set = cut(of_set.drop("doc_id").join(names, "group"), "classes")
+    out = marks.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(of_set, ["h1", "h2"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(linked, F.col("group")).alias("group"), F.when(linked, F.col("set_component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_documents(documents: DataFrame, words: int = 5, **options: int) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row for every document.  options: as of near_texts."""
+    return near_texts(documents, words, **options).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from lexigraph.llm import chat, itq, lm, mixing, neardup, pieces, pii, quality, repeats, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, position int, row int"
@@ -153,6 +154,15 @@ def test_near_documents_in_large_nodes(spark):
     assert got == dict(enumerate(want.tolist())) and set(got.values()) == {0, 151}
 
 
+def test_dedup_stage_keeps_texts_that_share_an_id(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = (" ".join(f"{k}{x}" for x in rng.integers(0, 10_000, 100)) for k in "abc")
+    rows = [(1, a), (1, b), (2, b + " x"), (2, b + " x"), (3, c), (4, ""), (4, None), (5, a.upper()), (None, a)]
+    table = spark.createDataFrame([(i, t, None, None, None, 0, 0) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, table, "").collect())
+    assert got == Counter([(1, a), (1, b), (3, c), (4, ""), (4, None), (None, a)])
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(400)] + [(400, None), (401, [float("nan")] * 8)]
