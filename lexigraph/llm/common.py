@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,22 +18,53 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folder names of open scratch() blocks, innermost last.
+_SCRATCH: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir; where it is unset, a folder of our own if the session has one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), "lexigraph-checkpoints")
-    return folder.rstrip("/")
+    return f"{folder.rstrip('/')}/lexigraph/{spark.sparkContext.applicationId}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut inside are deleted at the end; write what is built from them before."""
+    _SCRATCH.append(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        remove(spark, f"{shared_folder(spark)}/{_SCRATCH.pop()}")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
+    """Write a table into the shared folder and read it back: lineage ends there, and a lost executor costs nothing.
+
+    It stays until the scratch() block around it ends, or forget() is called, as lazy results still read it.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lexigraph/{name}-{uuid.uuid4().hex}"
+    path = "/".join([shared_folder(spark), *_SCRATCH[-1:], f"{name}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete all tables that this application has cut."""
+    remove(spark, shared_folder(spark))
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

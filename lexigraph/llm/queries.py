@@ -31,7 +31,7 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=True)
 
 
 def op6_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,9 +202,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, start
 def shard_cover(texts: list[bytes], lefts: np.ndarray, anchor: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last covered window of each context (or -1), and a mask of the windows covered, by start."""
     sizes = np.array([len(t) for t in texts])
-    parts = [part for i, t in enumerate(texts) for part in (t, b"\xff" + i.to_bytes(4, "big"))]
+    # separators differ from each other and hold bytes that UTF-8 has not
+    parts = [part for i, t in enumerate(texts) for part in (t, bytes([0xFF, *(0xF8 + (i >> k & 7) for k in range(30, -1, -3))]))]
     data = np.frombuffer(b"".join(parts), np.uint8)
-    starts = np.concatenate([[0], np.cumsum(sizes + 5)[:-1]])
+    starts = np.concatenate([[0], np.cumsum(sizes + 12)[:-1]])
     order, rank = suffix_array(data)
     lcp = common_prefixes(data, order, rank, starts, sizes, length)
     classes = np.cumsum(lcp < length)  # in order: suffixes that share `length` bytes
@@ -255,7 +256,10 @@ def merge_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int = 1500, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if `with_text`."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether a byte goes), and the kept text if `with_text`.
+
+    The text is decoded from the kept bytes; a character of which only some bytes stay is left out there.
+    """
     keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
     long = keyed.where(F.octet_length("text") >= length)
     twice = cut(anchor_counts(long, length).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
@@ -263,11 +267,11 @@ def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int
     contexts = cut(seen.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.max("span").alias("span"), F.first("right").alias("right"), F.first("left").alias("left"), F.min(F.struct("k1", "k2", "place", "start")).alias("one")), "contexts")
     whole = contexts.where((F.col("n") > 1) & (F.col("span") >= length)).select("anchor", "context", F.lit(0).alias("lo"), F.col("span").alias("hi"))
 
-    alike = []
+    apart = contexts.select("anchor", "context", "span", "one", "right", "left")
     for side in ("right", "left"):  # 0: no window on this side
-        shared = contexts.where(F.col(side) != 0).groupBy("anchor", side).agg(F.count("*").alias("c")).where("c > 1").select("anchor", side)
-        alike.append(contexts.join(shared, ["anchor", side], "left_semi").select("anchor", "context"))
-    apart = cut(contexts.join(alike[0].unionByName(alike[1]).distinct(), ["anchor", "context"], "left_semi").select("anchor", "context", "span", "one"), "apart")
+        shared = contexts.where(F.col(side) != 0).groupBy("anchor", side).agg(F.count("*").alias(f"{side}_n")).where(f"{side}_n > 1")
+        apart = apart.join(shared, ["anchor", side], "left")
+    apart = cut(apart.where("right_n is not null or left_n is not null").select("anchor", "context", "span", "one"), "apart")
     shards = max(1, -(-apart.count() // shard_contexts))
     hot = apart.groupBy("anchor").agg(F.count("*").alias("size")).where(F.col("size") > shard_contexts).select("anchor", F.ceil(F.col("size") / shard_contexts).cast("int").alias("parts"))
     spread = apart.select("anchor", "context", "span", "one.*").join(hot, "anchor", "left")
@@ -276,14 +280,21 @@ def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["shard", "anchor", "context", "parts", "left", "bytes"]
+        done: set[tuple[int, int]] = set()
         for whole in batches:
             for lo in range(0, len(whole), 200):
                 batch = whole.slice(lo, 200)
+                # repeated rows lie in one task or few, and one of them is enough
+                keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
+                new = [i for i, k in enumerate(keys) if k not in done and not done.add(k)]
+                batch = batch.take(pa.array(new, pa.int64()))
+                if not new:
+                    continue
                 texts = [t.encode() for t in batch.column("text").to_pylist()]
                 rows = [(w["shard"], w["anchor"], w["context"], w["parts"], w["place"] - w["start"], text[w["start"] : w["start"] + w["span"]]) for text, wanted in zip(texts, batch.column("wanted").to_pylist(), strict=True) for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names)
 
-    sliced = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("text", "wanted").mapInArrow(slices, "shard long, anchor long, context long, parts int, left int, bytes binary")
+    sliced = keyed.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("k1", "k2", "text", "wanted").mapInArrow(slices, "shard long, anchor long, context long, parts int, left int, bytes binary")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, "shard"):
@@ -335,6 +346,8 @@ def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int
     # all windows of a context share its middle, so their union is one stretch
     stretch = cut(whole.unionByName(near).unionByName(across).groupBy("anchor", "context").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "stretches")
     hits = seen.join(stretch, ["anchor", "context"]).select("k1", "k2", (F.col("start") + F.col("lo")).cast("int").alias("lo"), (F.col("start") + F.col("hi")).cast("int").alias("hi"))
+    # repeated rows give one span many times: first one a start, so that a list holds a text's own spans alone
+    hits = hits.groupBy("k1", "k2", "lo").agg(F.max("hi").alias("hi"))
     spans = hits.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,9 +368,10 @@ def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int
                             end = hi
                     kept = b"".join([*kept, data[end:]])
                     out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
-                cols = [pa.array([x[i] for x in out], k) for i, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.string()))] + [pa.array([x[4] for x in out], pa.binary())] * with_text
+                cols = [pa.array([x[i] for x in out], k) for i, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.string()))] + [pa.array([x[2] > 0 for x in out])]
+                cols += [pa.array([x[4].decode(errors="ignore") for x in out], pa.string())] * with_text
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"] + ["text"] * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean" + ", text string" * with_text
     return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(final, schema)
