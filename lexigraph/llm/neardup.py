@@ -206,13 +206,34 @@ def linked_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.n
 def links_of(documents: DataFrame, sets: DataFrame, groups_to_compare: DataFrame, words: int, percent: int) -> DataFrame:
     """a, b: the links inside each group, as stars.  groups_to_compare: leaf, members."""
     wanted = groups_to_compare.select("leaf", F.explode("members").alias("rep")).join(sets.select("rep", "doc_id", "h1"), "rep")
-    # a representative's text travels to each of its leaves; rows with one doc_id all do, and those of other sets are left out there
-    texts = documents.select("doc_id", "text").join(wanted, "doc_id").drop("doc_id")
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "rep", "leaf")).alias("wanted"))
+
+    def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A representative's text for each of its leaves; of rows with one doc_id, one that has the representative's set."""
+        done: set[int] = set()
+        names = ["leaf", "rep", "text"]
+        for whole in batches:
+            for at in range(0, len(whole), 200):
+                batch = whole.slice(at, 200)
+                leaf, rep, texts = [], [], []
+                for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+                    open_at = [w for w in wanted if w["rep"] not in done]
+                    if not open_at:
+                        continue
+                    h1 = _sum_of(shingle_set((text or "").encode(), words))
+                    own = [w for w in open_at if w["h1"] == h1]
+                    done.update(w["rep"] for w in own)
+                    leaf += [w["leaf"] for w in own]
+                    rep += [w["rep"] for w in own]
+                    texts += [text] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(rep, pa.int64()), pa.array(texts, pa.string())], names)
+
+    texts = documents.select("doc_id", "text").join(wanted, "doc_id").select("text", "wanted").mapInArrow(ship, "leaf long, rep long, text string")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for _, rows in groups(batches, "leaf"):
-            own = [(r["rep"], x) for r in rows if _sum_of(x := shingle_set((r["text"] or "").encode(), words)) == r["h1"]]
+            own = list({r["rep"]: shingle_set((r["text"] or "").encode(), words) for r in rows}.items())
             if len(own) < 2:
                 continue
             ids = np.array([r for r, _ in own])
