@@ -73,36 +73,58 @@ def test_mixing(spark, docs):
 
 
 def test_language_model(spark, docs):
-    rows = lm.score_documents(docs, classes=8, top=20).collect()
+    rows = lm.score_documents(docs, chunk=50, shard_tokens=100).collect()
     assert len(rows) == docs.count() and all(r.score < 0 and r.n_tokens >= 1 for r in rows)
-    wide = {(r.doc_id, r.n_tokens, r.n_known): r.base_score for r in lm.score_documents(docs, classes=8).collect()}
-    assert all(abs(wide[r.doc_id, r.n_tokens, r.n_known] - r.base_score) < 1e-9 * abs(r.base_score) + 1e-9 for r in rows)
+    whole = {(r.doc_id, r.n_tokens, r.n_known): (r.base_score, r.score) for r in lm.score_documents(docs).collect()}
+    assert all(np.allclose(whole[r.doc_id, r.n_tokens, r.n_known], (r.base_score, r.score), rtol=1e-9) for r in rows)
     assert lm.score_documents(empty(spark)).count() == 0
+    none = spark.createDataFrame([(2, "a b"), (9, None)], "doc_id long, text string").where("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2")
+    assert all(r.n_known == 0 and math.isfinite(r.score) for r in lm.score_documents(none).collect())
 
 
-def test_language_model_counts_all_pairs(spark):
-    """Counts by brute force, and pairs of rare words tell in a vocabulary larger than any table of frequent ones."""
+def test_packed_numbers():
+    for x in ([], [0], [5, 255, 256, 1 << 40], [(1 << 64) - 1]):
+        assert lm.unpack(lm.pack(np.array(x, np.uint64))).tolist() == x
+
+
+def test_language_model_by_brute_force(spark):
+    """All counts and scores, in a vocabulary where pairs of rare words tell."""
     rng = np.random.default_rng(5)
     texts = [" ".join(f"c{k}" for k in rng.integers(0, 1500, 60)) + (" Zebra quokka" if i % 20 == 0 else "") for i in range(1000)]
     texts[700:702] = ["zebra quokka", "quokka zebra never"]
     held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2]
     texts[held[0]], texts[held[1]] = "c1 zebra quokka c2", "c1 quokka zebra c2"
-    train = [t.lower().split() + [None] for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
-    words = Counter(w for t in train for w in t)
-    pairs = Counter(p for t in train for p in zip([None, *t[:-1]], t, strict=True))
+    tokens = [[*t.lower().split(), None] for t in texts]
+    train = [t for i, t in enumerate(tokens) if i not in held]
+    fit = [t for i, t in enumerate(tokens) if i not in held and zlib.crc32(str(i).encode()) % 3]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    rows = {r.doc_id: r for r in lm.score_documents(table, chunk=5000).collect()}
-    total = sum(words.values())
-    assert len(rows) == 1000
-    for i, t in enumerate(texts):
-        own = [*t.lower().split(), None]
-        assert (rows[i].n_tokens, rows[i].n_known, rows[i].train_tokens) == (len(own), sum(w in words for w in own), total)
-        assert abs(rows[i].base_score - sum(math.log10((words[w] + 1) / (total + len(words) + 1)) for w in own)) < 1e-6
-    assert rows[held[0]].score > rows[held[1]].score + 1
-    key = lambda w: lm.END if w is None else int(lm._hash([w.encode()])[0])
-    got = {(r.before, r.word): r.n for r in lm.gram_counts(table).collect()}
-    want = {(key(a), key(b)): n for (a, b), n in pairs.items()} | {(lm.ALONE, key(w)): n for w, n in words.items()}
-    assert got == want
+
+    def counts(docs):
+        return Counter(w for t in docs for w in t), Counter(p for t in docs for p in zip([None, *t[:-1]], t, strict=True))
+
+    (words, pairs), (fit_words, fit_pairs) = counts(train), counts(fit)
+    total, n_fit, even = sum(words.values()), sum(fit_words.values()), 1 / (len(words) + 1)
+    bucket = lambda c: math.ceil(math.log2(c + 1))
+    step = lambda p: math.floor(4 * math.log2(p)) if p else -1000
+    events = {}
+    for (h, w), n in pairs.items():
+        if more := n - fit_pairs[h, w]:
+            two, one = fit_pairs[h, w] / max(fit_words[h], 1), fit_words[w] / n_fit
+            e = events.setdefault((bucket(fit_words[h]), step(two), step(one)), np.zeros(3))
+            e += np.array([two, one, 1]) * more
+    rows = [(b, e[0] / e[2], e[1] / e[2], e[2]) for (b, *_), e in sorted(events.items())]
+    weights = lm.interpolate(np.array([[r[1], r[2], even] for r in rows]), np.array([r[3] for r in rows]), np.array([r[0] for r in rows]))
+    weights[0] = [0, *(weights[0, 1:] / weights[0, 1:].sum())]
+
+    got = {r.doc_id: r for r in lm.score_documents(table, chunk=5000, shard_tokens=9000).collect()}
+    assert len(got) == 1000
+    for i, own in enumerate(tokens):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in held, len(own), sum(w in words for w in own), total)
+        assert abs(r.base_score - sum(math.log10((words[w] + 1) / (total + len(words) + 1)) for w in own)) < 1e-6
+        want = sum(math.log10(weights[bucket(words[h])] @ [pairs[h, w] / max(words[h], 1), words[w] / total, even]) for h, w in zip([None, *own[:-1]], own, strict=True))
+        assert abs(r.score - want) < 1e-6 * abs(want)
+    assert got[held[0]].score > got[held[1]].score + 1
 
 
 @pytest.mark.parametrize("shard", [1500, 2])
