@@ -244,6 +244,8 @@ def held_events(known: DataFrame, n_fit: int) -> DataFrame:
                 own = Chunk(row)
                 held = own.counts(HELD)[1] - own.counts(FIT)[1]
                 some = np.flatnonzero(held)
+                if not len(some):
+                    continue
                 words, pairs, held = unpack(row["words_fit"]).astype(float), unpack(row["pairs_fit"]).astype(float)[some], held[some]
                 context = words[own.first[some]]
                 two, one = pairs / np.maximum(context, 1), words[own.second[some]] / max(n_fit, 1)
