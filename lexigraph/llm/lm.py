@@ -100,10 +100,10 @@ def chunked(documents: DataFrame, chunk: int) -> DataFrame:
             code.update(zip(new, range(len(code) + 1, len(code) + 1 + len(new)), strict=True))
             hashes.append(_hash(new))
             sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            codes = np.zeros(int(sizes.sum()), np.uint64)
+            codes = np.zeros(int(sizes.sum()), np.uint32)
             is_word = np.ones(len(codes), bool)
             is_word[np.cumsum(sizes) - 1] = False
-            codes[is_word] = np.fromiter(map(code.__getitem__, flat), np.uint64, len(flat))
+            codes[is_word] = np.fromiter(map(code.__getitem__, flat), np.uint32, len(flat))
             waiting.append((batch.column("doc_id").to_pylist(), sizes, batch.column("flag").to_numpy(), codes))
             n += len(codes)
             if n > chunk:
@@ -118,15 +118,21 @@ def chunked(documents: DataFrame, chunk: int) -> DataFrame:
 
 
 class Chunk:
-    """A chunk's tokens: after (codes), and its distinct pairs (first, second), with each token's pair (place)."""
+    """A chunk's distinct pairs of tokens (first and second, as codes), and each token's pair (place)."""
 
     def __init__(self, row: dict):
         self.docs, self.sizes = row["docs"], np.array(row["sizes"], np.int64)
         self.flags = np.frombuffer(row["flags"], np.uint8)
-        self.after = unpack(row["codes"]).astype(np.int64)
+        pairs = unpack(row["codes"])
         # a text's last token is the end, which also stands before the next text's first
-        pairs, self.place = np.unique(np.append(0, self.after[:-1]) << 32 | self.after, return_inverse=True)
-        self.first, self.second = pairs >> 32, pairs & 0xFFFFFFFF
+        pairs[1:] |= (pairs[:-1] << np.uint64(32))
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        new = np.append(True, pairs[1:] != pairs[:-1])
+        self.place = np.empty(len(pairs), np.int32)
+        self.place[order] = np.cumsum(new, dtype=np.int32) - 1
+        pairs = pairs[new]
+        self.first, self.second = (pairs >> np.uint64(32)).astype(np.int32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int32)
 
     def counts(self, flag: int) -> tuple[np.ndarray, np.ndarray]:
         """Of words by code, and of pairs, in the texts whose flag is this or more."""
@@ -259,7 +265,7 @@ def held_events(known: DataFrame, n_fit: int) -> DataFrame:
     return by.select("bucket", (F.col("two") / F.col("held")).alias("two"), (F.col("one") / F.col("held")).alias("one"), "held")
 
 
-def counted(documents: DataFrame, chunk: int = 2_000_000, shard_tokens: int = 3_000_000) -> tuple[DataFrame, tuple[int, int, int]]:
+def counted(documents: DataFrame, chunk: int = 1_300_000, shard_tokens: int = 3_000_000) -> tuple[DataFrame, tuple[int, int, int]]:
     """The chunks with their totals, and N, N of the texts that fit, and V."""
     rows = cut(chunked(documents, chunk), "lm-chunks")
     tokens = rows.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
@@ -269,7 +275,7 @@ def counted(documents: DataFrame, chunk: int = 2_000_000, shard_tokens: int = 3_
     return cut(joined(rows, replies, bits), "lm-known"), tuple(replies.where("chunk is null").agg(*sums).first())
 
 
-def score_documents(documents: DataFrame, chunk: int = 2_000_000, shard_tokens: int = 3_000_000) -> DataFrame:
+def score_documents(documents: DataFrame, chunk: int = 1_300_000, shard_tokens: int = 3_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     chunk: tokens that are counted together in a task; shard_tokens: tokens a shard of the hash space.  Neither changes a result.
