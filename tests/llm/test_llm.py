@@ -185,13 +185,21 @@ def test_dedup_stage_keeps_texts_that_share_an_id(spark):
     assert got == Counter([(1, a), (1, b), (3, c), (4, ""), (4, None), (None, a)])
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("cells", [dict(shard_rows=64, query_block=2, centre_block=3), {}])
+def test_top_k(spark, cells):
+    """Brute force over two lengths, ties, one vector many times, and rows that take no part."""
     rng = np.random.default_rng(2)
-    rows = [(i, rng.normal(size=8).astype(float).tolist()) for i in range(400)] + [(400, None), (401, [float("nan")] * 8)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    x = np.floor(np.array([np.float32(r[1]) for r in rows[:400]], float) * 1024).astype(np.int64)
-    want = {(q, i, int(x[q] @ x[i])) for q in range(0, 400, 100) for i in sorted((i for i in range(400) if i != q), key=lambda i: (-(x[q] @ x[i]), i))[:10]}
-    assert {(r.query_id, r.vec_id, r.score) for r in topk.top_k(table, shard_rows=64, query_block=2).collect()} == want
+    vectors = [*rng.normal(size=(400, 8)), *np.round(rng.normal(size=(100, 8))), *[np.ones(8)] * 150, *rng.normal(size=(30, 5))]
+    rows = [(i, [float(np.float32(x)) for x in v], i, 1) for i, v in enumerate(vectors)]
+    odd = [(1000, None, 0, 0), (1100, [float("nan")] * 8, 0, 0), (1200, [1.0, None], 0, 0), (None, [1.0] * 8, 0, 0), (1300, [float("inf")] * 8, 0, 0), (1400, [1.0, 2.0], 0, 0)]
+    table = spark.createDataFrame([*rows, *odd, rows[7]], "vec_id long, embedding array<float>, score int, shard int").repartition(3)
+    x = {r[0]: np.floor(np.array(r[1]) * 1024).astype(np.int64) for r in [*rows, odd[-1]]}
+    want = set()
+    for q in (i for i in x if i % 100 == 0):
+        best = sorted((-int(x[q] @ x[i]), i) for i in x if i != q and len(x[i]) == len(x[q]))[:10]
+        want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table, **cells).collect()} == want
+    assert topk.top_k(table.where("false")).count() == 0
 
 
 def test_near_vectors(spark):
@@ -208,6 +216,12 @@ def test_near_vectors(spark):
     near = (x @ x.T >= 0.98) & (label[:, None] == label)
     want = dict(zip([r[0] for r in good], near.sum(1) - 1, strict=True))
     got = {r.vec_id: r for r in itq.near_vectors(table).collect()}
+    root = np.arange(len(good))
+    for _ in good:
+        root = np.where(near, root[None, :], len(good)).min(1)
+    if sum(r.n_links for r in got.values()) == sum(want.values()):
+        ids = [r[0] for r in good]
+        assert all(got[i].component_id == min(ids[k] for k in np.flatnonzero(root == root[x])) for x, i in enumerate(ids))
     assert len(got) == len(rows) and sum(r.n_links for r in got.values()) >= 0.99 * sum(want.values())
     assert all(got[i].n_links <= n for i, n in want.items()) and got[903].component_id == 0 and got[902].n_links == 0
     blocked = itq.near_vectors(table, block=4).collect()
