@@ -1,10 +1,14 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all preceding turns are its
-context and only that reply is trained on.  The contexts of a conversation are
-prefixes of one transcript, so an example is stored as the transcript's pieces
-plus offsets; n turns give n rows, not n * n / 2 copies of text.
-`example_texts` puts whole examples together where they are wanted.
+context and only that reply is trained on.  Turns after the last reply give one
+example more, with nothing to train on, so that every turn is in one.
+
+`prefix_targets` gives each turn its piece of the transcript and offsets;
+`expanded` makes the examples, whole texts, as the turns stream by in order: a task
+holds the transcript of one conversation, and examples leave it in portions.  Their
+texts grow with the square of a conversation's turns, as the method has it; they
+aren't shuffled.
 
 Template: `<turn role="R">` text `</turn>` newline.  In roles and texts `&`, `<`
 and `"` are written as entities, so no control string can appear inside and the
@@ -41,12 +45,7 @@ def unescaped(text: str) -> str:
 
 
 def prefix_targets(turns: DataFrame) -> DataFrame:
-    """One row per turn: piece, its offset in the transcript, and, for a reply, its example.
-
-    The example's text is all pieces up to its own: characters [0, example_end);
-    its loss mask is [target_start, target_end).  Turns after the last reply get
-    one example without a mask (example null, example_end set on the last turn).
-    """
+    """One row per turn: piece, its offset in the transcript, whether it is the last, and, for a reply, its example and loss mask."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     rows = turns.select(
         "conv_id", "turn", role.alias("role"), F.concat(F.lit(OPEN), escaped(role), F.lit(MIDDLE)).alias("head"), escaped(text).alias("body")
@@ -59,64 +58,75 @@ def prefix_targets(turns: DataFrame) -> DataFrame:
         .withColumn("example", F.when(reply, F.sum(reply.cast("long")).over(so_far)))
         .withColumn("last", F.lead("piece").over(order).isNull())
         .select(
-            "conv_id", "turn", "role", "piece", "start", "example",
+            "conv_id", "turn", "role", "piece", "start", "example", "last",
             F.when(reply, F.col("start") + F.length("head")).alias("target_start"),
             F.when(reply, F.col("start") + F.length("head") + F.length("body")).alias("target_end"),
-            F.when(reply | F.col("last"), F.col("start") + F.length("piece")).alias("example_end"),
         )
     )
 
 
-def example_texts(expanded: DataFrame) -> DataFrame:
-    """Whole examples: conv_id, example, text, target_start, target_end.  Grows with the square of a conversation's length."""
-    targets = expanded.where("example is not null").select(F.col("conv_id").alias("c"), F.col("start").alias("at"), F.col("example").alias("number"), F.col("target_start").alias("lo"), F.col("target_end").alias("hi"))
-    joined = targets.join(expanded.select("conv_id", "start", "piece"), F.col("c").eqNullSafe(F.col("conv_id")) & (F.col("start") <= F.col("at")))
-    parts = F.sort_array(F.collect_list(F.struct("start", "piece")))
-    return joined.groupBy(F.col("c").alias("conv_id"), F.col("number").alias("example"), F.col("lo").alias("target_start"), F.col("hi").alias("target_end")).agg(
-        F.array_join(F.transform(parts, lambda x: x["piece"]), "").alias("text")
-    )
+#: Characters of example texts that leave a task together.
+PORTION = 4 << 20
 
 
-def read_back(expanded: DataFrame) -> DataFrame:
-    """Digests per conversation, read from the formatted pieces as they stream by in order; no conversation is held whole."""
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+def expanded(turns: DataFrame) -> DataFrame:
+    """The examples: conv_id, example (from 1; null: no reply), text, target_start and target_end (the loss mask), last (of its conversation).
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple] = []
-        state: list | None = None
-
-        def close() -> None:
-            done.append((state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5], state[6]))
+    A conversation's examples lie in one partition, in order.
+    """
+    names = ["conv_id", "example", "text", "target_start", "target_end", "last"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: list[str] = []
+        out: list[tuple] = []
+        size = 0
+        for batch in batches:
+            cols = [batch.column(n).to_pylist() for n in ("conv_id", "piece", "example", "target_start", "target_end", "last")]
+            for conv, piece, example, lo, hi, last in zip(*cols, strict=True):
+                pieces.append(piece)
+                if example is not None or last:
+                    pieces = ["".join(pieces)]
+                    out.append((conv, example, pieces[0], lo, hi, last))
+                    size += len(pieces[0])
+                if last:
+                    pieces = []
+                if size > PORTION:
+                    yield batch_of(out, kinds, names)
+                    out, size = [], 0
+        if out:
+            yield batch_of(out, kinds, names)
+
+    rows = prefix_targets(turns).select("conv_id", "piece", "example", "target_start", "target_end", "last")
+    return rows.mapInArrow(run, "conv_id long, example long, text string, target_start long, target_end long, last boolean")
+
+
+def batch_of(rows: list[tuple], kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
+
+
+def read_back(examples: DataFrame) -> DataFrame:
+    """Digests per conversation, read from the examples' texts and masks."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loss, n_loss, chars, n = hashlib.sha256(), 0, 0, 0
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("conv_id", "piece", "start", "target_start", "target_end", "example_end")]
-            for conv, piece, start, lo, hi, end in zip(*cols, strict=True):
-                if state is None or start == 0:
-                    if state is not None:
-                        close()
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                m = PIECE.fullmatch(piece)
-                state[1] += 1
-                state[2].update(f"{unescaped(m[1])}\n{unescaped(m[2])}\n".encode())
+            done: list[tuple] = []
+            cols = [batch.column(n).to_pylist() for n in ("conv_id", "text", "target_start", "target_end", "last")]
+            for conv, text, lo, hi, last in zip(*cols, strict=True):
+                chars, n = chars + len(text), n + 1
                 if lo is not None:
-                    reply = unescaped(piece[lo - start : hi - start])
-                    state[3] += len(reply)
-                    state[4].update(reply.encode())
-                if end is not None:
-                    state[5] += end
-                    state[6] += 1
-            if len(done) >= 4096:
-                yield batch_of(done)
-                done.clear()
-        if state is not None:
-            close()
-        if done:
-            yield batch_of(done)
-
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names)
-
-    return expanded.select("conv_id", "piece", "start", "target_start", "target_end", "example_end").mapInArrow(stream, schema)
+                    reply = unescaped(text[lo:hi])
+                    n_loss += len(reply)
+                    loss.update(reply.encode())
+                if last:  # this example holds all turns
+                    found = PIECE.findall(text)
+                    every = hashlib.sha256("".join(f"{unescaped(role)}\n{unescaped(body)}\n" for role, body in found).encode())
+                    done.append((conv, len(found), every.hexdigest(), n_loss, loss.hexdigest(), chars, n))
+                    loss, n_loss, chars, n = hashlib.sha256(), 0, 0, 0
+            if done:
+                yield batch_of(done, kinds, names)
+
+    return examples.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")

@@ -6,7 +6,7 @@ They share the words of all documents by weight; a target stops at `most`
 none is above: the water level L with sum(min(3 * size, L * weight)) = total.
 
 Amounts.  A source's documents stand in a fixed pseudo-random order (a hash of
-id and text) and are read round and round until the target is reached, so a
+id, text and source) and are read round and round until the target is reached, so a
 document is taken whole once for every full pass and for the part of the last
 pass that lies before the end; one document a source is cut there.
 
@@ -38,7 +38,7 @@ SLOPES = (0.8, -0.8, 0.0)
 def sizes(documents: DataFrame) -> DataFrame:
     """doc_id, source, size in words, and the place in the fixed order: bucket and rank hash."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return documents.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("rank"))
+    return documents.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text", "source").alias("rank"))
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, slopes: tuple[float, ...] = SLOPES, most: float = 3.0) -> DataFrame:
@@ -99,13 +99,14 @@ def in_training_order(rows: DataFrame) -> DataFrame:
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix as documents in training order: a row for each pass; where a source's target ends inside a document, the words up to there."""
-    plan = mix(documents).where("taken > 0").drop("source", "taken", "position").withColumnRenamed("doc_id", "id")
+    plan = mix(documents).where("taken > 0").drop("source", "taken", "position")
     passes = F.sequence(F.lit(0).cast("long"), F.col("passes") - (F.col("rest") == 0).cast("long"))
     plan = plan.withColumn("pass", F.explode(passes)).withColumn("position", position(F.col("pass") * F.col("source_size") + F.col("start")))
-    plan = plan.select("id", "rank", "position", F.when((F.col("pass") == F.col("passes")) & (F.col("rest") < F.col("size")), F.col("rest")).alias("words"))
-    own = documents.select(F.struct(*documents.columns).alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("key_id"))
-    own = own.dropDuplicates(["key", "key_id"])  # rows of one id and text have a place in the plan each, and one set of columns
-    rows = in_training_order(own.join(plan, (F.col("key") == F.col("rank")) & F.col("key_id").eqNullSafe(F.col("id"))).select("row", "rank", "position", "words"))
+    plan = plan.select("rank", "position", F.when((F.col("pass") == F.col("passes")) & (F.col("rest") < F.col("size")), F.col("rest")).alias("words"))
+    own = documents.select(F.struct(*documents.columns).alias("row"), F.xxhash64("doc_id", "text", "source").alias("key"))
+    # rows of one id, text and source have a place in the plan each, and the first by its other columns stands for them
+    own = own.withColumn("other", F.xxhash64("row")).groupBy("key").agg(F.min_by("row", "other").alias("row"))
+    rows = in_training_order(own.join(plan, F.col("key") == F.col("rank")).select("row", "rank", "position", "words"))
     rows = rows.select("row.*", F.col("words").alias("__words"))
     behind = F.element_at(F.split("text", r"(?<=[^\x20\x09-\x0D])[\x20\x09-\x0D]+", (F.col("__words") + 1).cast("int")), -1)
     cut_text = F.regexp_replace(F.col("text").substr(F.lit(1), F.length("text") - F.length(behind)), r"[\x20\x09-\x0D]+$", "")

@@ -1,16 +1,18 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The patterns give the base spans (email, ip, card, phone).  The network is
-trained in numpy from labelled spans (windows of a bounded sample, labelled with
-their base spans) and may add spans to them.  Texts are cut into overlapping
-windows; each is decoded, and the spans of all windows of a text are reconciled
-globally: a span cut off by a window's edge is left to the window that holds it
-whole, equal spans count once, overlaps go to the surer, base spans always stay.
-
-A span of any kind holds a digit or an at sign.  For a window without either,
-the only path the constraints leave is "outside" throughout, so it needs no
-decoding; every other window of every text is decoded.  An added span must be
-sure (its least tag posterior at least `sure`) and pass its kind's own test.
+The patterns give the base spans (email, ip, card, phone).  The network adds what
+they miss: secrets (access tokens, passwords), numbers that a greedy match has run
+together with their neighbours, and addresses and numbers in disguise (`[at]`,
+`[.]`, no plus sign).  It is trained in numpy from labelled spans: windows of a
+bounded sample with the spans that `labelled` finds, and copies of them in which
+spans are disguised or stand side by side.
+
+Texts are cut into overlapping windows; each that holds a digit, an at sign or a
+bracketed `at` is decoded, since a span of any kind holds one of these.  The spans of
+all windows of a text are reconciled globally: parts that windows' edges have cut off
+are joined where they overlap, equal spans count once, overlaps go to the surer,
+base spans always stay.  An added span must be sure (its least tag posterior at least
+`sure`) and look like its kind (`plausible`).
 
 Offsets are code points, ends exclusive.  Cases: null and empty texts have no
 spans; null doc_id stays null; repeated rows are searched each; an empty table
@@ -28,7 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone")
+from .common import cut
+
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 #: Tags: 0 outside, then beginning and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 WINDOW, STRIDE = 96, 48
@@ -37,7 +42,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-TRIGGER = re.compile("[0-9@]")
+TRIGGER_PATTERN = r"[0-9@]|[(\[]at[)\]]"
+TRIGGER = re.compile(TRIGGER_PATTERN)
+SECRET = re.compile(r"""(?i)\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)["']?\s*[:=]\s*["']?([a-z0-9+/_=-]{16,})""")
 
 
 def luhn(digits: str) -> bool:
@@ -83,6 +90,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
+def labelled(text: str) -> list[tuple[int, int, str]]:
+    """Spans to learn from: the base spans, secrets behind their names, and numbers inside failing matches."""
+    found = base_spans(text)
+    found += [(*m.span(1), "secret") for m in SECRET.finditer(text)]
+    for m in PHONE.finditer(text):
+        if len(_digits(m.group())) > 15:
+            ends = [k.start() for k in re.finditer(" ", m.group()) if 9 <= len(_digits(m.group()[: k.start()])) <= 15]
+            found += [(m.start(), m.start() + ends[-1], "phone")] if ends else []
+    for m in CARD.finditer(text):
+        if len(_digits(m.group())) > 19:
+            found += [(m.start() + k.start(), m.start() + k.end(), "card") for k in re.finditer("[0-9]{12,19}", m.group()) if luhn(k.group())]
+    return sorted(found)
+
+
+def plausible(kind: str, text: str) -> bool:
+    """Whether a span that the network has found looks like its kind."""
+    d = _digits(text)
+    if kind == "email":
+        return bool(re.fullmatch(r"[^\s@]+ ?(?:@|[(\[]at[)\]]) ?[^\s@]+", text)) and bool(re.search(r"\.|dot", text.rpartition("at" if "@" not in text else "@")[2]))
+    if kind == "secret":
+        return bool(re.fullmatch(r"[A-Za-z0-9+/_=-]{16,}", text)) and len(d) > 2 and sum(c.isalpha() for c in text) > 2
+    if kind == "phone":
+        return 9 <= len(d) <= 15 and bool(re.fullmatch(r"\+?[0-9 ().-]+", text))
+    return passes(kind, text)
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
@@ -259,13 +292,20 @@ class Tagger:
 
 def reconcile(text: str, base: list[tuple[int, int, str]], decoded: list[tuple[tuple[int, int], list]], sure: float) -> list[tuple[int, int, str]]:
     """Base spans, and those added by the windows of a whole text."""
-    added: dict[tuple[int, int, str], float] = {}
+    every = []
     for (lo, hi), spans in decoded:
-        for s, e, kind, p in spans:
-            cut_off = (s == 0 and lo > 0) or (lo + e == hi and hi < len(text))
-            if p >= sure and not cut_off and passes(kind, text[lo + s : lo + e]):
-                key = (lo + s, lo + e, kind)
-                added[key] = max(added.get(key, 0.0), p)
+        every += [(kind, lo + s, lo + e, p, s == 0 and lo > 0, lo + e == hi and hi < len(text)) for s, e, kind, p in spans]
+    added: dict[tuple[int, int, str], float] = {}
+    now: tuple | None = None
+    for part in [*sorted(every), None]:
+        if now and part and part[0] == now[0] and part[1] < now[2] and (now[5] or part[4]):
+            # one span, of which a window's edge has cut off a part
+            now = (now[0], now[1], max(now[2], part[2]), min(now[3], part[3]), now[4] and (part[4] or part[1] > now[1]), part[5] if part[2] >= now[2] else now[5])
+            continue
+        if now and now[3] >= sure and not now[4] and not now[5] and plausible(now[0], text[now[1] : now[2]]):
+            key = (now[1], now[2], now[0])
+            added[key] = max(added.get(key, 0.0), now[3])
+        now = part
     taken = list(base)
     for s, e, kind in sorted(added, key=lambda k: (-added[k], k)):
         if all(e <= a or b <= s for a, b, _ in taken):
@@ -273,8 +313,44 @@ def reconcile(text: str, base: list[tuple[int, int, str]], decoded: list[tuple[t
     return sorted(taken, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-def train(documents: DataFrame, sample: int = 1500) -> Tagger:
-    """Fit on at most `sample` windows, chosen by hash, labelled with their base spans; half of them hold a span if there are as many."""
+def disguised(windows_: list[tuple[str, list[tuple[int, int, str]]]], seed: int = 9) -> list[tuple[str, list[tuple[int, int, str]]]]:
+    """Copies of labelled windows in which a span is disguised, or is followed by another."""
+    rng = np.random.default_rng(seed)
+    spans = [text[s:e] for text, own in windows_ for s, e, k in own if k != "secret" and e - s < 30 and 0 < s and e < len(text)]
+    out = []
+    for text, own in windows_:
+        whole = [x for x in own if 0 < x[0] and x[1] < len(text)]
+        if not whole:
+            continue
+        s, e, kind = whole[rng.integers(len(whole))]
+        old, new = text[s:e], ""
+        if kind == "secret":
+            signs = "0123456789abcdef" if rng.integers(2) else LOCAL[:62]
+            new = "".join(signs[i] for i in rng.integers(0, len(signs), rng.integers(16, 45)))
+            new = new.upper() if old.isupper() else new
+        elif kind == "email":
+            user, _, host = old.partition("@")
+            new = user + ("[at]", "(at)", " @ ")[rng.integers(3)] + (host.replace(".", "[dot]") if rng.integers(2) else host)
+        elif kind == "ip":
+            new = old.replace(".", "[.]") if rng.integers(2) else ""
+        elif kind == "phone":
+            new = old.lstrip("+0123456789").lstrip() if rng.integers(2) else ""
+            new = new if passes("phone", new) else ""
+        if new:
+            made, marks = text[:s] + new, [x for x in own if x[1] <= s] + [(s, s + len(new), kind)]
+        else:
+            more = spans[rng.integers(len(spans))] if spans else old
+            made, marks = text[:e] + " " + more, [x for x in own if x[1] <= e]
+            other = labelled(more)
+            marks += [(e + 1 + a, e + 1 + b, k) for a, b, k in other]
+        made = (made + text[e:])[:WINDOW]
+        marks += [x for x in labelled(made) if x[0] >= len(made) - len(text[e:]) and all(x[1] <= a or b <= x[0] for a, b, _ in marks)]
+        out.append((made, [(a, min(b, len(made)), k) for a, b, k in marks if a < len(made)]))
+    return out
+
+
+def train(documents: DataFrame, sample: int = 1500, copies: int = 1000) -> Tagger:
+    """Fit on at most `sample` distinct windows, chosen by hash, half of them with a span if there are as many, and on `copies` disguised ones (or half as many as windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,27 +358,34 @@ def train(documents: DataFrame, sample: int = 1500) -> Tagger:
             for text in batch.column("text").to_pylist():
                 if not text or not TRIGGER.search(text):
                     continue
-                base = base_spans(text)
+                every = labelled(text)
                 for lo, hi in windows(text):
-                    own = [(max(s, lo) - lo, min(e, hi) - lo, k) for s, e, k in base if s < hi and e > lo]
+                    own = [(max(s, lo) - lo, min(e, hi) - lo, k) for s, e, k in every if s < hi and e > lo]
                     rows["text"].append(text[lo:hi])
                     rows["spans"].append(joined(own))
                     rows["some"].append(bool(own))
             if rows["text"]:
                 yield pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.string()), pa.array(rows["spans"], pa.string()), pa.array(rows["some"], pa.bool_())], ["text", "spans", "some"])
 
-    found = documents.select("text").where(F.col("text").rlike("[0-9@]")).mapInArrow(run, "text string, spans string, some boolean")
+    found = documents.select("text").where(F.col("text").rlike(TRIGGER_PATTERN)).mapInArrow(run, "text string, spans string, some boolean")
     key = F.xxhash64("text", "spans")
+    found = cut(found.distinct(), "pii-windows")
     rows = found.where("some").orderBy(key, "text").limit(sample // 2).unionByName(found.where("not some").orderBy(key, "text").limit(sample - sample // 2)).collect()
     net = Tagger()
-    labelled = sorted((r["text"], r["spans"]) for r in rows)
-    if any(s for _, s in labelled):
-        spans = [[(int(s), int(e), k) for k, s, e in (x.split(":") for x in own.split(",") if x)] for _, own in labelled]
-        net.fit(np.stack([classes(t) for t, _ in labelled]), np.stack([tags(len(t), s) for (t, _), s in zip(labelled, spans, strict=True)]))
+    known = sorted((r["text"], r["spans"]) for r in rows)
+    if any(s for _, s in known):
+        pairs = [(t, [(int(s), int(e), k) for k, s, e in (x.split(":") for x in own.split(",") if x)]) for t, own in known]
+        goal, seed = len(pairs) + max(copies, len(pairs) // 2), 9
+        while len(pairs) < goal:
+            more = disguised(pairs[: len(known)], seed)[: goal - len(pairs)]
+            if not more:
+                break
+            pairs, seed = pairs + more, seed + 1
+        net.fit(np.stack([classes(t) for t, _ in pairs]), np.stack([tags(len(t), s) for t, s in pairs]))
     return net
 
 
-def search(texts: list[str | None], net: Tagger, sure: float = 0.9) -> list[tuple[list, list]]:
+def search(texts: list[str | None], net: Tagger, sure: float = 0.5) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; the windows of all texts are decoded together."""
     texts = [t or "" for t in texts]
     base = [base_spans(t) for t in texts]
@@ -315,19 +398,19 @@ def search(texts: list[str | None], net: Tagger, sure: float = 0.9) -> list[tupl
     return [(b, reconcile(t, b, per[i], sure) if i in per else b) for i, (t, b) in enumerate(zip(texts, base, strict=True))]
 
 
-def find_personal_data(documents: DataFrame, net: Tagger, sure: float = 0.9) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added."""
+def find_personal_data(documents: DataFrame, net: Tagger, sure: float = 0.5) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all), n_added, n_spans (all)."""
     shared = documents.sparkSession.sparkContext.broadcast(net)
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+    names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_added", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
                 found = search(batch.column("text").to_pylist(), shared.value, sure)
-                counts = [pa.array([sum(k == kind for *_, k in b) for b, _ in found], pa.int64()) for kind in KINDS]
+                counts = [pa.array([sum(k == kind for *_, k in b) for b, _ in found], pa.int64()) for kind in BASE_KINDS]
                 digest = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *counts, digest, pa.array([joined(a) for _, a in found], pa.string()), pa.array([len(a) - len(b) for b, a in found], pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *counts, digest, pa.array([joined(a) for _, a in found], pa.string()), pa.array([len(a) - len(b) for b, a in found], pa.int64()), pa.array([len(a) for _, a in found], pa.int64())], names)
 
     schema = ", ".join(f"{n} {'string' if n in ('base_sha256', 'spans') else 'long'}" for n in names)
     return documents.select("doc_id", "text").mapInArrow(run, schema)
@@ -343,7 +426,7 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def mask_documents(documents: DataFrame, net: Tagger, sure: float = 0.9) -> DataFrame:
+def mask_documents(documents: DataFrame, net: Tagger, sure: float = 0.5) -> DataFrame:
     """The documents with personal data masked; n_chars, where there, follows the text."""
     shared = documents.sparkSession.sparkContext.broadcast(net)
     place = documents.columns.index("text")

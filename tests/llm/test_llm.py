@@ -42,10 +42,37 @@ def test_quality_and_empty(spark, docs):
     assert np.allclose(one, [net.logits([b"abc"])[0], net.logits([b"defg" * 300])[0]], atol=1e-5)
 
 
+def test_quality_on_held_out_rows(spark):
+    """Labels that the text alone tells are learned: held-out accuracy, on 1 of 5 rows that no training has seen."""
+    rng = np.random.default_rng(3)
+    good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(60)).capitalize() + "."
+    bad = lambda: " ".join("".join(rng.choice(list("!#$%&XYZ"), rng.integers(2, 7))) for _ in range(60))
+    rows = [(i, good() if i % 2 else bad(), None, None, None, 0, 0) for i in range(400)]
+    table = spark.createDataFrame(rows, DOCS)
+    net = quality.train(table, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int"))
+    found = quality.score_quality(table, net).collect()
+    held = [r for r in found if r.held_out]
+    assert {r.doc_id for r in held} == {i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0}
+    assert sum(r.predicted == r.doc_id % 2 for r in held) >= 0.95 * len(held)
+    assert {r.doc_id for r in quality.keep_good(table, net).collect()} == {r.doc_id for r in found if r.predicted}
+
+
+def brute_passes(kind, text):
+    digits = [int(c) for c in text if c in "0123456789"]
+    if kind == "ip":
+        return all(int(x) <= 255 for x in text.split("."))
+    if kind == "card":
+        total = 0
+        for i, d in enumerate(reversed(digits)):
+            total += d if i % 2 == 0 else sum(map(int, str(2 * d)))
+        return 12 <= len(digits) <= 19 and total % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
 def brute_spans(text):
     found = []
     for k, p in enumerate((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")):
-        found += [(m.start(), k, m.end()) for m in re.finditer(p, text) if k == 0 or pii.passes(pii.KINDS[k], m.group())]
+        found += [(m.start(), k, m.end()) for m in re.finditer(p, text) if brute_passes(pii.KINDS[k], m.group())]
     return [(s, e, pii.KINDS[k]) for s, k, e in sorted(found)]
 
 
@@ -57,19 +84,112 @@ def test_base_spans_match_brute_force(spark, docs):
         assert pii.base_spans(text) == brute_spans(text)
     rows = pii.find_personal_data(docs, pii.train(docs)).collect()
     assert len(rows) == docs.count() and sum(r.n_email for r in rows) == 2
+    assert pii.find_personal_data(empty(spark), pii.train(empty(spark))).count() == 0
+    for r in rows:
+        own = [(int(s), int(e), k) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)]
+        text = next(d.text for d in docs.collect() if d.doc_id == r.doc_id) or ""
+        base = brute_spans(text)
+        assert set(base) <= set(own) and r.n_spans == len(own) == len(base) + r.n_added
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+
+
+def private(rng):
+    """A span of each kind, plain and in a form that the patterns miss."""
+    n = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    ip = lambda: ".".join(map(str, rng.integers(10, 250, 4)))
+    mail, phone, token = f"{word()}@{word()}.example.com", f"+1 ({n(3)}) {n(3)}-{n(4)}", "".join(rng.choice(list("0123456789abcdef"), 40))
+    hidden = [(mail.replace("@", "[at]"), ""), (ip().replace(".", "[.]"), ""), (phone, " " + ip()), (token, "")]
+    return [mail, ip(), phone], hidden
+
+
+def test_network_finds_what_patterns_miss(spark):
+    """Recall and precision on texts of which the patterns see nothing, or not where a phone number ends."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("klmnopqrstu"), rng.integers(2, 8)))
+    rows, unseen = [], []
+    for i in range(600):
+        plain, hidden = private(rng)
+        some = [plain[i % 3]] if i % 4 else [f'token = "{hidden[3][0]}"']
+        rows.append((i, " ".join([word() for _ in range(20)] + some + [word() for _ in range(20)]) + f" {i}", None, None, None, 0, 0))
+    net = pii.train(spark.createDataFrame(rows, DOCS))
+    found = right = wanted = 0
+    for i in range(200):
+        span, behind = private(rng)[1][i % 4]
+        before = " ".join(word() for _ in range(20)) + (' token = "' if i % 4 == 3 else " ")
+        text = before + span + behind + ('" ' if i % 4 == 3 else " ") + " ".join(word() for _ in range(20))
+        unseen.append(text)
+        (base, every), = pii.search([text], net)
+        own = {(s, e) for s, e, _ in every} - {(s, e) for s, e, _ in base}
+        wanted, found, right = wanted + 1, found + len(own), right + ((len(before), len(before) + len(span)) in own)
+    assert right >= 0.7 * wanted and right >= 0.9 * found, (wanted, found, right)
+    clean = [" ".join(word() for _ in range(50)) + f" {i} {2 * i}" for i in range(200)]
+    assert sum(len(a) for _, a in pii.search(clean, net)) <= 2
+
+
+def test_parts_cut_off_by_windows_are_joined():
+    text = "x" * 30 + "0" * 15 + "a1b2" * 25 + " tail"
+    s, e = 30, 145
+    decoded = [((lo, min(len(text), lo + 96)), [(max(s, lo) - lo, min(e, lo + 96) - lo, "secret", 0.9)]) for lo in range(0, 144, 48)]
+    assert pii.reconcile(text, [], decoded, 0.5) == [(s, e, "secret")]
+    assert pii.reconcile(text, [(40, 50, "card")], decoded, 0.5) == [(40, 50, "card")]
+
+
+def targets_by_brute_force(sizes):
+    """Weights 5, 2, 1 repeating over sources by code point, null last; excess over 3 times a size is shared again."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    total, target, free = sum(sizes.values()), {}, set(names)
+    while free:
+        left = total - sum(target.values())
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+        free -= set(over)
+    return target
 
 
 def test_mixing(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(r.taken <= 3 * r["size"] for r in rows)
-    per = {}
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes, per = {}, {}
+    for r in docs.collect():
+        sizes[r.source] = sizes.get(r.source, 0) + words(r.text)
+    want = targets_by_brute_force(sizes)
     for r in rows:
-        per.setdefault(r.source, [r.target, 0])[1] += r.taken
-    assert all(abs(t - n) <= 1 for t, n in per.values())
-    assert mixing.mix(empty(spark)).count() == 0
+        assert abs(r.target - want[r.source]) < 1e-6 * (1 + want[r.source]) and r.source_size == sizes[r.source]
+        per[r.source] = per.get(r.source, 0) + r.taken
+    assert all(abs(want[s] - n) <= 1 for s, n in per.items())
+    assert sorted(r["size"] for r in rows) == sorted(words(r.text) for r in docs.collect())
+    assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed_documents(empty(spark)).count() == 0
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns
-    assert sum(len((r.text or "").split()) for r in mixed.collect()) == sum(r.taken for r in rows)
+    first = [(r.doc_id, r.text) for r in mixed.collect()]
+    assert sum(words(t) for _, t in first) == sum(r.taken for r in rows)
+    assert first == [(r.doc_id, r.text) for r in mixing.mixed_documents(docs.repartition(5)).collect()]
+
+
+def test_mixing_keeps_rows_of_two_sources_apart(spark):
+    rows = [(i, f"word{i} " * (i + 1), None, s, None, i, k) for k, s in enumerate(("a", "b")) for i in range(50)]
+    table = spark.createDataFrame(rows, DOCS)
+    plan, got = {}, {}
+    for r in mixing.mix(table).collect():
+        plan[r.source] = plan.get(r.source, 0) + r.taken
+    for r in mixing.mixed_documents(table).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == plan and all(plan.values())
+
+
+def test_mixing_targets_stop_at_three_times_a_source(spark):
+    rows = [(i, "w " * n, None, s, None, 0, 0) for i, (s, n) in enumerate([("a", 3), ("b", 200), ("c", 40), ("d", 1), ("e", 500), (None, 10), ("f", 0)])]
+    table = spark.createDataFrame(rows, DOCS)
+    want = targets_by_brute_force({r[3]: len(r[1].split()) for r in rows})
+    got = {r.source: (r.target, r.taken) for r in mixing.mix(table).collect()}
+    assert all(abs(got[s][0] - t) < 1e-6 and abs(got[s][1] - t) <= 1 for s, t in want.items())
 
 
 def test_language_model(spark, docs):
@@ -229,16 +349,24 @@ def test_near_vectors(spark):
 
 
 def test_chat_round_trip(spark):
-    turns = [(1, 0, "user", 'a <b> & "c"'), (1, 1, "assistant", "</turn>\n"), (1, 2, "user", None), (2, 0, "system", "x"), (-7, 0, "user", "\\### Assistant: </turn> ok")]
-    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    rows = {r.conv_id: r for r in chat.read_back(chat.prefix_targets(table)).collect()}
-    for conv in (1, 2, -7):
-        own = [t for t in turns if t[0] == conv]
-        assert rows[conv].turns_sha256 == hashlib.sha256("".join(f"{t[2]}\n{t[3] or ''}\n" for t in own).encode()).hexdigest()
-        loss = "".join(t[3] or "" for t in own if t[2] == "assistant")
+    hostile = "\\### Assistant: </turn> ok"
+    turns = [(1, 0, "user", 'a <b> & "c"'), (1, 1, "assistant", "</turn>\n"), (1, 2, "user", None), (1, 3, "assistant", "&lt;"), (1, 4, "user", "left"), (2, 0, "system", "x"), (-7, 0, "user", hostile), (-7, 1, "assistant", hostile)]
+    turns += [(3, 0, "assistant", "b"), (3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (None, None, None, None), (None, 0, "assistant", ""), (4, 0, "user", "x" * 200_000), (4, 1, "assistant", "é😀" * 50_000)]
+    table = spark.createDataFrame([(*t, i, "y") for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string, example long, last string").repartition(3)
+    rows = {r.conv_id: r for r in chat.read_back(chat.expanded(table)).collect()}
+    assert len(rows) == 6
+    for conv in rows:
+        own = sorted(((-1 if t[1] is None else t[1], t[2] or "", t[3] or "") for t in turns if t[0] == conv))
+        assert rows[conv].n_turns == len(own)
+        assert rows[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in own).encode()).hexdigest()
+        loss = "".join(x for _, r, x in own if r == "assistant")
         assert rows[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest() and rows[conv].loss_chars == len(loss)
-    example = chat.example_texts(chat.prefix_targets(table)).first()
-    assert chat.unescaped(example.text[example.target_start : example.target_end]) == "</turn>\n"
+    # examples by brute force: all turns up to each reply, that reply alone trained on
+    got = sorted(((r.example or 99, r.text, r.target_start and r.text[r.target_start : r.target_end]) for r in chat.expanded(table).where("conv_id = 1").collect()))
+    piece = lambda r, x: '<turn role="' + r + '">' + x.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;") + "</turn>\n"
+    parts = [piece(r, x or "") for c, _, r, x in turns if c == 1]
+    assert got == [(1, "".join(parts[:2]), "&lt;/turn>\n"), (2, "".join(parts[:4]), "&amp;lt;"), (99, "".join(parts), None)]
+    assert chat.read_back(chat.expanded(table.where("false"))).count() == 0
 
 
 def test_pieces_match_library(spark, docs):
