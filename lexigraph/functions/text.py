@@ -95,3 +95,59 @@ def bracket_imbalance(text: Column, left: str, right: str) -> Column:
     """Open minus closed brackets, cut off at the first negative prefix."""
     signs = F.transform(F.split(text, ""), lambda c: F.when(c == left, 1).when(c == right, -1).otherwise(0))
     return F.aggregate(signs, F.lit(0), lambda acc, x: F.when(acc < 0, acc).otherwise(acc + x))
+
+
+def fixed_size(text: Column, size: int, by: str = " ") -> Column:
+    """The text cut or filled up to a size."""
+    return F.rpad(text, size, by)
+
+
+def mask(text: Column, start: int, end: int, by: str = " ") -> Column:
+    """The text with its characters from start (from 0) to end blanked."""
+    return F.overlay(text, F.repeat(F.lit(by), F.lit(end - start)), start + 1, end - start)
+
+
+def count_char(text: Column, char: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))).cast("long")
+
+
+def is_alphabetic(text: Column) -> Column:
+    return text.rlike("^[A-Za-z]+$")
+
+
+def is_numeric(text: Column) -> Column:
+    return text.rlike("^[0-9]+$")
+
+
+def is_greek(text: Column) -> Column:
+    return text.rlike("^\\p{IsGreek}+$")
+
+
+def is_valid(data: Column) -> Column:
+    """Whether bytes are UTF-8."""
+    return F.is_valid_utf8(data)
+
+
+def create_path(*parts: str | Column) -> Column:
+    """#/texts/3"""
+    return F.concat_ws("/", F.lit("#"), *(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def path_order(path: Column) -> Column:
+    """A key that orders paths part by part, numbers by value."""
+    return F.transform(F.split(path, "/"), lambda p: F.coalesce(F.lpad(F.when(p.rlike("^[0-9]+$"), p), 20, "0"), p))
+
+
+# Letters with a diaeresis, an acute and a grave accent.
+ACCENTS = {"¨": ("aeiouyAEIOUY", "äëïöüÿÄËÏÖÜŸ"), '"': ("aeiouyAEIOUY", "äëïöüÿÄËÏÖÜŸ"), "'": ("aeiouyAEIOUY", "áéíóúýÁÉÍÓÚÝ"), "`": ("aeiouAEIOU", "àèìòùÀÈÌÒÙ")}
+
+
+def normalised(text: Column) -> Column:
+    """Accents that are written apart or in LaTeX become letters, and LaTeX commands leave what they hold."""
+    for sign, (plain, accented) in ACCENTS.items():
+        for a, b in zip(plain, accented, strict=True):
+            forms = [f"¨{a}", f"¨ {a}"] if sign == "¨" else [f"\\{sign}{{{a}}}", f"\\{sign}{a}"]
+            for form in forms:
+                text = F.replace(text, F.lit(form), F.lit(b))
+    text = F.regexp_replace(text, r"\{\\[A-Za-z]+\s([^{}]+)\}", "$1")
+    return F.regexp_replace(text, r"\\[A-Za-z]+\{([^{}]+)\}", "$1")

@@ -1,7 +1,8 @@
 """The query operators over weighted node sets (id, count, weight, prob).
 
-Each takes and gives lazy DataFrames.  A set is normalised after every operator:
-prob = weight / sum, entries under 1e-6 go, prob is normalised again.
+A set is normalised after every operator: prob = weight / sum, entries under 1e-6 go,
+prob is normalised again.  Each operator writes its set once into the shared folder,
+so its sums are taken from a small table and a flow's plan grows with its steps.
 """
 
 from __future__ import annotations
@@ -11,18 +12,18 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST = 1e-6
-
+from lexigraph.functions import hashing
+from lexigraph.tables import cut
 
-def _share(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """column over its sum; the sum is one row, so sending it everywhere is safe."""
-    total = rows.agg(F.sum(column).alias("__total"))
-    return rows.join(F.broadcast(total)).withColumn(out, F.col(column) / F.col("__total")).drop("__total")
+LEAST = 1e-6
 
 
 def normalise(rows: DataFrame) -> DataFrame:
-    first = _share(rows.select("id", "count", "weight"), "weight", "prob").where(F.col("prob") >= LEAST)
-    return _share(first.withColumnRenamed("prob", "p"), "p", "prob").select("id", "count", "weight", "prob")
+    rows = cut(rows.select("id", "count", "weight"), "nodeset")
+    total = rows.agg(F.sum("weight")).first()[0]
+    first = rows.withColumn("prob", F.col("weight") / F.lit(float(total or 1))).where(F.col("prob") >= LEAST)
+    kept = first.agg(F.sum("prob")).first()[0]
+    return first.withColumn("prob", F.col("prob") / F.lit(float(kept or 1)))
 
 
 def select_nodes(nodes: DataFrame, words: list[str], any_spacing: bool = True) -> DataFrame:
@@ -31,6 +32,25 @@ def select_nodes(nodes: DataFrame, words: list[str], any_spacing: bool = True) -
     return normalise(nodes.where(F.col("text").isin(names)).select(F.col("text").alias("id"), F.lit(1).cast("long").alias("count"), F.lit(1.0).alias("weight")))
 
 
+def select_paths(nodes: DataFrame, paths: list[list[str]]) -> DataFrame:
+    """Paths of tokens: one token hits every node of that text, several the node of the whole phrase."""
+    names = sorted({x for p in paths for x in ((p[0], "▁" + p[0]) if len(p) == 1 else (" ".join(p),))})
+    found = nodes.where(F.col("text").isin(names)).select(F.col("text").alias("id")).distinct()
+    return normalise(found.select("id", F.lit(1).cast("long").alias("count"), F.lit(1.0).alias("weight")))
+
+
+def node_hash(nodes: DataFrame) -> DataFrame:
+    """nodes with the identity hash of flavour and text."""
+    return nodes.withColumn("hash", hashing.text_hash(F.concat(F.lit("__"), "name", F.lit("_"), "text", F.lit("__"))))
+
+
+def select_hashes(nodes: DataFrame, weights: list[tuple[int, float]]) -> DataFrame:
+    """Nodes (with a column hash) by their hashes, with weights; of a hash given twice the last weight holds."""
+    last = {h - (1 << 64) if h >= 1 << 63 else h: float(w) for h, w in weights}
+    wanted = nodes.sparkSession.createDataFrame(list(last.items()), "hash long, weight double")
+    return normalise(nodes.join(wanted, "hash").select(F.col("text").alias("id"), F.lit(1).cast("long").alias("count"), "weight"))
+
+
 def select_weighted(spark, weights: dict[str, float]) -> DataFrame:
     return normalise(spark.createDataFrame([(k, 1, float(v)) for k, v in weights.items()], "id string, count long, weight double"))
 
@@ -83,12 +103,40 @@ def uniform(source: DataFrame) -> DataFrame:
     return normalise(source.select("id", F.lit(1).cast("long").alias("count"), F.lit(1.0).alias("weight")))
 
 
-def subgraph(sets: list[DataFrame], edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One hop: the sets' union with the ends of its edges, and these edges (i, j, prob)."""
+def accumulate(sets: list[DataFrame]) -> DataFrame:
+    """Union that adds counts and weights."""
+    return normalise(_numbered(sets).groupBy("id").agg(F.sum("count").alias("count"), F.sum("prob").alias("weight")))
+
+
+def intersect_adding(sets: list[DataFrame]) -> DataFrame:
+    """What all sets hold, with counts and weights added."""
+    met = _numbered(sets).groupBy("id").agg(F.sum("count").alias("count"), F.sum("prob").alias("weight"), F.count("*").alias("n"))
+    return normalise(met.where(F.col("n") == len(sets)))
+
+
+def resolved(source: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The set's rows with their nodes' flavour name and counts, by prob: the rows of a result."""
+    return source.join(nodes.select(F.col("text").alias("id"), "name", "word_cnt"), "id").select("id", "name", "word_cnt", "count", "weight", "prob")
+
+
+def subgraph(sets: list[DataFrame], edges: DataFrame, hops: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The sets' union with what its edges lead to in `hops` steps, and these edges (i, j, prob)."""
     own = _numbered(sets).groupBy("id").agg(F.max("count").alias("count"), F.sum("prob").alias("weight"))
-    out = edges.join(own.select(F.col("id").alias("i")), "i", "left_semi").select("i", "j", "prob")
-    ends = out.groupBy(F.col("j").alias("id")).agg(F.lit(1).cast("long").alias("count"), F.max("prob").alias("weight"))
-    return normalise(own.unionByName(ends.join(own.select("id"), "id", "left_anti"))), out
+    own, met = cut(own, "subgraph"), None
+    new = own.select(F.col("id").alias("i"))
+    for hop in range(hops):
+        out = cut(edges.join(new, "i", "left_semi").select("i", "j", "prob"), "subgraph-edges")
+        met = out if met is None else met.unionByName(out)
+        ends = out.groupBy(F.col("j").alias("id")).agg(F.lit(1).cast("long").alias("count"), F.max("prob").alias("weight"))
+        ends = cut(ends.join(own.select("id"), "id", "left_anti"), "subgraph-ends")
+        own, new = own.unionByName(ends), ends.select(F.col("id").alias("i"))
+    return normalise(own), met
+
+
+def overview(steps: list[tuple[int, str, DataFrame]]) -> DataFrame:
+    """flid, flop, n, avg, std and ent of each step of a flow."""
+    each = [statistics(rows).select(F.lit(k).alias("flid"), F.lit(name).alias("flop"), "n", "avg", "std", "ent") for k, name, rows in steps]
+    return reduce(DataFrame.unionByName, each)
 
 
 def statistics(source: DataFrame) -> DataFrame:

@@ -38,6 +38,12 @@ def sentence_nodes(documents: DataFrame) -> DataFrame:
     return counted(documents.select(T.matches(T.SENTENCE).alias("s")), "s")
 
 
+def parts(terms: DataFrame) -> DataFrame:
+    """id, part: each term's words, in both of their spellings as nodes."""
+    word = terms.select(F.col("text").alias("id"), F.explode(F.array_distinct(F.split("text", " "))).alias("part"))
+    return word.select("id", F.explode(F.array("part", F.concat(F.lit("▁"), "part"))).alias("part"))
+
+
 def root_edges(terms: DataFrame) -> DataFrame:
     """i, j, count: from a term of several words to its last one."""
     return terms.where(F.contains("text", F.lit(" "))).select(F.col("text").alias("i"), F.substring_index("text", " ", -1).alias("j"), F.col("word_cnt").alias("count"))

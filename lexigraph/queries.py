@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigraph.functions import text as T
+from lexigraph.operators import annotate as A
 from lexigraph.operators import build as B
+from lexigraph.operators import hierarchy as H
 from lexigraph.operators import nodeset as N
 from lexigraph.operators import phrases as P
 from lexigraph.plans.flow import Flow, Graph
+from lexigraph.tables import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,10 +35,23 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return T.spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang"))
 
 
-def graph(spark: SparkSession, sf: str) -> Graph:
+def graph(spark: SparkSession, sf: str, phrases: bool = False) -> Graph:
+    """Words and their neighbours; with `phrases` also terms, their words as parts, and the way from a term to its longest ending and back."""
     d = docs(spark, sf).select("doc_id", "text")
-    ahead = B.neighbour_edges(d)
-    return Graph(B.word_nodes(d), {"next": B.with_prob(ahead), "prev": B.with_prob(B.reversed_edges(ahead)), "next-2": B.with_prob(B.neighbour_edges(d, 2))})
+    ahead, terms, up = (cache(f) for f in (lambda: cut(B.neighbour_edges(d), "next"), lambda: cut(P.term_nodes(d), "terms"), lambda: cut(P.taxonomy_edges(terms()), "taxonomy")))
+    words = lambda: B.word_nodes(d) if not phrases else B.word_nodes(d).unionByName(terms().select(F.lit("term").alias("name"), "text", "word_cnt", "text_cnt"))
+    edges = {
+        "next": lambda: cut(B.with_prob(ahead()), "edges"),
+        "prev": lambda: cut(B.with_prob(B.reversed_edges(ahead())), "edges"),
+        "next-2": lambda: cut(B.with_prob(B.neighbour_edges(d, 2)), "edges"),
+        "tax-up": lambda: cut(B.with_prob(up()), "edges"),
+        "tax-dn": lambda: cut(B.with_prob(B.reversed_edges(up())), "edges"),
+    }
+    return Graph(lambda: cut(words(), "nodes"), edges, lambda: cut(P.parts(terms()), "parts"))
+
+
+def words_of(g: Graph) -> DataFrame:
+    return g.all_nodes().where("name = 'word_token'")
 
 
 def q(text: str) -> str:
@@ -103,7 +120,7 @@ def skip_edges(spark, sf):
 
 @query(f"{BASE} SELECT i, j, count, round(prob, 6) AS prob FROM prev_e")
 def edge_prob(spark, sf):
-    return graph(spark, sf).edges["prev"].select("i", "j", "count", F.round("prob", 6).alias("prob"))
+    return graph(spark, sf).along("prev").select("i", "j", "count", F.round("prob", 6).alias("prob"))
 
 
 @query(flow_sql(THE, last="a"))
@@ -161,7 +178,7 @@ def negative_filter(spark, sf):
   SELECT j, CAST(1 AS BIGINT), max(prob) FROM next_e WHERE i IN (SELECT id FROM a) AND j NOT IN (SELECT id FROM a) GROUP BY j) GROUP BY id"""), last="d"))
 def subgraph_one_hop(spark, sf):
     g = graph(spark, sf)
-    return shown(N.subgraph([N.select_nodes(g.nodes, ["for"])], g.along("next"))[0])
+    return shown(N.subgraph([N.select_nodes(words_of(g), ["for"])], g.along("next"))[0])
 
 
 @query(f"""{BASE}, {THE}, {THE_NEXT} SELECT count(*) AS n, round(1.0 / count(*), 6) AS avg, round(sqrt(greatest(sum(prob * prob) - 1.0 / count(*), 0)) / (count(*) - 1), 6) AS std, round(sum(-prob * ln(prob)), 6) AS ent FROM b""")
@@ -186,21 +203,21 @@ def context_mask(spark, sf):
 @query(f"{BASE} SELECT e.i, e.j, e.count FROM nx e WHERE e.i IN (SELECT text FROM node WHERE regexp_matches(text, '^▁?the$')) AND e.j IN (SELECT text FROM node WHERE text_cnt > 1)")
 def propagate(spark, sf):
     g = graph(spark, sf)
-    one = g.nodes.where(F.col("text").rlike("^▁?the$")).select(F.col("text").alias("i"))
-    two = g.nodes.where("text_cnt > 1").select(F.col("text").alias("j"))
-    return g.edges["next"].join(one, "i", "left_semi").join(two, "j", "left_semi").select("i", "j", "count")
+    one = words_of(g).where(F.col("text").rlike("^▁?the$")).select(F.col("text").alias("i"))
+    two = words_of(g).where("text_cnt > 1").select(F.col("text").alias("j"))
+    return g.along("next").join(one, "i", "left_semi").join(two, "j", "left_semi").select("i", "j", "count")
 
 
 @query(f"{BASE}, kept AS (SELECT i, j, count FROM nx WHERE count >= 3) SELECT i, j, count, round(count / (sum(count) OVER (PARTITION BY i) + 1e-6), 6) AS prob FROM kept")
 def distill_edges(spark, sf):
     g = graph(spark, sf)
-    return B.distill(g.nodes, g.edges["next"], 3)[1].select("i", "j", "count", F.round("prob", 6).alias("prob"))
+    return B.distill(words_of(g), g.along("next"), 3)[1].select("i", "j", "count", F.round("prob", 6).alias("prob"))
 
 
 @query(f"{BASE} SELECT text, word_cnt FROM node WHERE text IN (SELECT i FROM nx WHERE count >= 3 UNION SELECT j FROM nx WHERE count >= 3)")
 def distill_nodes(spark, sf):
     g = graph(spark, sf)
-    return B.distill(g.nodes, g.edges["next"], 3)[0].select("text", "word_cnt")
+    return B.distill(words_of(g), g.along("next"), 3)[0].select("text", "word_cnt")
 
 
 def bucket_sql(c: str) -> str:
@@ -232,7 +249,7 @@ def degree(spark, sf):
 @query(f"{BASE} SELECT DISTINCT id FROM (SELECT i AS id FROM nx UNION SELECT j FROM nx) WHERE id NOT IN (SELECT text FROM node)")
 def dangling_edges(spark, sf):
     g = graph(spark, sf)
-    return B.dangling(g.nodes, g.edges["next"])
+    return B.dangling(words_of(g), g.along("next"))
 
 
 @query(f"""{BASE}, made AS (SELECT text AS plural, 0 AS rule, left(text, length(text) - 3) || 'y' AS singular FROM node WHERE length(text) > 3 AND text LIKE '%ies'
@@ -365,6 +382,298 @@ def geoloc_dictionary(spark, sf):
     return t.join(names, "key").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+# Texts made of orders, so that every pattern of annotation meets rows that grow with the data.
+RECORD = [
+    "On the ", "k % 28 + 1", "th day of ", "y", " (see [", "k % 90 + 1", "] and ~\\cite{ord", "k", "} or [[", "k % 9 + 1", ",", "k % 7 + 1", "]]) the note \"Order of the day\" by Hans Peter Maier, Institute of Applied Science, and Ada B. Lovelace et al. went to https://shop.example.com/o/",
+    "k", " or doi:10.1/", "k", " or a", "k", "@b.example.com for 3.5e", "k % 9", " units, 10^", "k % 5 + 1", " parts of the well-known 7 - ", "k % 50 + 8", " range; i.e. $x_", "k % 3", "$ rose--again. It can be seen in the big old house of the city. The Unit Cost (UC) of ", "k % 1000", ".25 may rise. See",
+]
+_PARTS = [(x, i % 2 == 1) for i, x in enumerate(RECORD)]
+RECORD_SQL = "rec AS (SELECT k AS doc_id, " + " || ".join(f"CAST({x} AS VARCHAR)" if number else f"'{q(x)}'" for x, number in _PARTS) + " AS text FROM (SELECT CAST(o_orderkey AS BIGINT) AS k, year(o_orderdate) AS y FROM orders))"
+
+
+def records(spark, sf) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"), F.year("o_orderdate").alias("y"))
+    return T.spread(rows.select(F.col("k").alias("doc_id"), F.concat(*(F.expr(x).cast("string") if number else F.lit(x) for x, number in _PARTS)).alias("text")))
+
+
+def cascade_sql(kind: str) -> str:
+    """Hits by subtype: each pattern counts, then blanks what it has found (but for models that don't mask)."""
+    patterns, steps = A.PATTERNS[kind], ["c0 AS (SELECT doc_id, text AS t FROM rec)"]
+    for k, (_, p) in enumerate(patterns):
+        kept = "t" if kind in A.PLAIN else f"regexp_replace(t, '{q(p)}', ' ', 'g')"
+        steps.append(f"c{k + 1} AS (SELECT c{k}.* REPLACE ({kept} AS t), len(regexp_extract_all(t, '{q(p)}', 0)) AS n{k} FROM c{k})")
+    each = " UNION ALL ".join(f"SELECT doc_id, '{sub}' AS subtype, n{k} AS n FROM c{len(patterns)}" for k, (sub, _) in enumerate(patterns))
+    return f"WITH {RECORD_SQL}, {', '.join(steps)} SELECT doc_id, subtype, CAST(sum(n) AS BIGINT) AS n FROM ({each}) GROUP BY doc_id, subtype HAVING sum(n) > 0"
+
+
+def annotation_query(kind: str) -> None:
+    def run(spark, sf):
+        return A.annotate(records(spark, sf), [kind]).groupBy("doc_id", "subtype").agg(F.count("*").alias("n"))
+
+    QUERIES[f"annotate_{kind}"], SQL[f"annotate_{kind}"] = run, cascade_sql(kind)
+
+
+for _kind in ("numval", "link", "cite", "name", "parenthesis"):
+    annotation_query(_kind)
+
+
+@query()
+def annotate_sentences(spark, sf):
+    """Sentences of the texts with other hits masked, with their places."""
+    return A.annotate(docs(spark, sf).select("doc_id", "text"), ["sentence"]).select("doc_id", "subtype", "i", "j", "ci", "cj")
+
+
+@query()
+def annotate_expressions(spark, sf):
+    return A.annotate(records(spark, sf), ["quote", "expression"]).select("doc_id", "kind", "subtype", "i", "j", "name")
+
+
+@query(f"WITH {RECORD_SQL} SELECT doc_id, len(regexp_extract(text, '^(.*?)https', 1)) AS ci, regexp_extract(text, 'https[^ ]+', 0) AS name FROM rec")
+def url_places(spark, sf):
+    return A.annotate(records(spark, sf), ["link"]).where("subtype = 'url'").select("doc_id", F.col("ci").cast("long").alias("ci"), "name")
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(url, 'https?[^ ()\\[\\]]+', 0)) AS name FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(url, 'www\\.?[^ ()\\[\\]]+', 0)) FROM pages""")
+def page_links(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
+    return A.annotate(pages, ["link"]).where("subtype = 'url'").select(F.col("doc_id").alias("page_id"), "name")
+
+
+@query("SELECT o_orderkey AS doc_id, CAST(year(o_orderdate) AS VARCHAR) AS name FROM orders")
+def year_values(spark, sf):
+    return A.annotate(records(spark, sf), ["numval"]).where("subtype = 'year'").select("doc_id", "name")
+
+
+@query(f"WITH {RECORD_SQL} SELECT doc_id, 'UC' AS short, 'Unit Cost' AS long FROM rec")
+def abbreviation_links(spark, sf):
+    rows = H.tagged(records(spark, sf))
+    return H.abbreviations(H.bracketed(rows), H.terms(rows))
+
+
+# Tokens with tags and sentences, and phrases as runs of tags of one sentence.
+TAGGED = f"""tg0 AS (SELECT doc_id, pos, word, plain, {T.part_of_speech_sql()} AS tag FROM tok),
+  tg AS (SELECT *, sum(CASE WHEN p IN ('.', '?', '!') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sent FROM (SELECT *, lag(plain) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM tg0)),
+  st AS (SELECT doc_id, sent, list(plain ORDER BY pos) AS ws, min(pos) AS base, string_agg(CASE WHEN tag = 'JJ' THEN 'J' WHEN tag IN ('NN', 'NNS', 'NNP') THEN 'N' WHEN tag IN ('VB', 'VBD', 'VBG') THEN 'V' WHEN tag = 'MD' THEN 'M' WHEN tag IN ('TO', 'IN') THEN 'I' WHEN tag = 'RB' THEN 'R' WHEN tag = 'DT' THEN 'D' ELSE 'O' END, '' ORDER BY pos) AS t,
+    string_agg(CASE WHEN tag IN ('VB', 'VBD', 'VBG') THEN 'V' WHEN tag = 'MD' THEN 'M' WHEN tag IN ('TO', 'RB') THEN 'T' ELSE 'O' END, '' ORDER BY pos) AS v FROM tg GROUP BY doc_id, sent)"""
+
+
+def runs_sql(name: str, column: str, pattern: str) -> str:
+    """Phrases by a pattern over a sentence's tags, a letter each: the pieces that it splits off, with their places."""
+    return f"""{name}0 AS (SELECT doc_id, sent, ws, base, regexp_extract_all({column}, '{pattern}|.', 0) AS l FROM st),
+  {name}1 AS (SELECT doc_id, sent, ws, base, unnest(l) AS piece, unnest(list_transform(range(1, len(l) + 1), lambda k: length(array_to_string(l[1:k], '')))) AS stop FROM {name}0),
+  {name} AS (SELECT doc_id, sent, base + stop - length(piece) AS lo, base + stop - 1 AS hi, array_to_string(ws[stop - length(piece) + 1:stop], ' ') AS text FROM {name}1 WHERE regexp_matches(piece, '^({pattern})$'))"""
+
+
+TERM_RUNS, VERB_RUNS, CONN_RUNS = runs_sql("te", "t", "[JN]*N"), runs_sql("ve", "v", "M?V[VT]*"), runs_sql("co", "t", "D*ID*")
+NODE_COUNTS = "count(*) AS word_cnt, count(DISTINCT doc_id || '#' || sent) AS sent_cnt, count(DISTINCT doc_id) AS text_cnt"
+
+
+@query(f"WITH {TOKENS}, {TAGGED}, {TERM_RUNS} SELECT text, {NODE_COUNTS} FROM te GROUP BY text")
+def term_counters(spark, sf):
+    return H.phrase_nodes(H.terms(H.tagged(docs(spark, sf)))).drop("name")
+
+
+@query(f"WITH {TOKENS}, {TAGGED}, {VERB_RUNS} SELECT text, {NODE_COUNTS} FROM ve GROUP BY text")
+def verb_nodes(spark, sf):
+    return H.phrase_nodes(H.verbs(H.tagged(docs(spark, sf)))).drop("name")
+
+
+@query(f"WITH {TOKENS}, {TAGGED}, {CONN_RUNS} SELECT text, {NODE_COUNTS} FROM co GROUP BY text")
+def connector_nodes(spark, sf):
+    return H.phrase_nodes(H.connectors(H.tagged(docs(spark, sf)))).drop("name")
+
+
+@query(f"WITH {TOKENS}, {TAGGED}, {TERM_RUNS} SELECT doc_id, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, text FROM te")
+def term_places(spark, sf):
+    return H.terms(H.tagged(docs(spark, sf))).select("doc_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "text")
+
+
+@query(f"WITH {TOKENS}, {TAGGED}, {TERM_RUNS} SELECT text AS i, CAST(doc_id AS VARCHAR) AS j, count(*) AS count FROM te GROUP BY text, doc_id")
+def term_doc_edges(spark, sf):
+    return H.to_text_edges(H.terms(H.tagged(docs(spark, sf))))
+
+
+@query(f"WITH {TOKENS}, {TAGGED}, {VERB_RUNS} SELECT text AS i, doc_id || '#' || sent AS j, count(*) AS count FROM ve GROUP BY 1, 2")
+def verb_sentence_edges(spark, sf):
+    return H.to_sentence_edges(H.verbs(H.tagged(docs(spark, sf))))
+
+
+@query(f"""WITH {TOKENS}, {TAGGED}, {TERM_RUNS}, w AS (SELECT doc_id, pos, word FROM tok),
+  e AS (SELECT doc_id, lo, hi, 'term' AS kind FROM te UNION ALL SELECT doc_id, min(pos), max(pos), 'sent' FROM tg GROUP BY doc_id, sent UNION ALL SELECT doc_id, min(pos), max(pos), 'text' FROM tg GROUP BY doc_id),
+  x AS (SELECT '__beg_' || kind || '__' AS i, w.word AS j FROM e JOIN w ON w.doc_id = e.doc_id AND w.pos = e.lo UNION ALL SELECT w.word, '__end_' || kind || '__' FROM e JOIN w ON w.doc_id = e.doc_id AND w.pos = e.hi)
+  SELECT i, j, count(*) AS count FROM x GROUP BY i, j""")
+def begin_end_edges(spark, sf):
+    rows = H.tagged(docs(spark, sf))
+    return H.label_edges(rows, H.terms(rows))
+
+
+@query(f"WITH {TOKENS}, {TAGGED}, x AS (SELECT tag AS i, lead(tag) OVER (PARTITION BY doc_id ORDER BY pos) AS j FROM tg) SELECT i, j, count(*) AS count FROM x WHERE j IS NOT NULL GROUP BY i, j")
+def tag_edges(spark, sf):
+    return H.tag_neighbours(H.tagged(docs(spark, sf)))
+
+
+@query(f"""WITH {TOKENS}, {TAGGED}, {TERM_RUNS}, {VERB_RUNS}, {CONN_RUNS},
+  p AS (SELECT doc_id, unnest(range(lo, hi + 1)) AS pos, text, lo, 1 AS r FROM co UNION ALL SELECT doc_id, unnest(range(lo, hi + 1)), text, lo, 2 FROM te UNION ALL SELECT doc_id, unnest(range(lo, hi + 1)), text, lo, 3 FROM ve),
+  b AS (SELECT doc_id, pos, arg_max(text, r) AS text, arg_max(lo, r) AS lo FROM p GROUP BY doc_id, pos),
+  s AS (SELECT t.doc_id, t.pos, coalesce(b.text, t.word) AS id, coalesce(b.lo, t.pos) AS start FROM tok t LEFT JOIN b ON b.doc_id = t.doc_id AND b.pos = t.pos),
+  k AS (SELECT *, lag(id) OVER w AS pid, lag(start) OVER w AS ps FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+  n AS (SELECT id AS i, lead(id) OVER (PARTITION BY doc_id ORDER BY pos) AS j FROM k WHERE NOT coalesce(id = pid AND start = ps, false))
+  SELECT i, j, count(*) AS count FROM n WHERE j IS NOT NULL GROUP BY i, j""")
+def phrase_edges(spark, sf):
+    """Neighbours when connectors, terms and verbs stand for their words."""
+    rows = cut(H.tagged(docs(spark, sf)), "tagged")
+    return H.phrase_neighbours(rows, H.connectors(rows), H.terms(rows), H.verbs(rows))
+
+
+@query(f"WITH {RECORD_SQL} SELECT text, count(*) AS word_cnt, count(DISTINCT doc_id) AS text_cnt FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{H.CONT}', 0)) AS text FROM rec) GROUP BY text")
+def concatenation_nodes(spark, sf):
+    return H.concatenations(records(spark, sf))
+
+
+@query(f"WITH {RECORD_SQL}, c AS (SELECT unnest(regexp_extract_all(text, '{H.CONT}', 0)) AS i FROM rec), p AS (SELECT i, unnest(string_split(i, '-')) AS j FROM c) SELECT i, j, count(*) AS count FROM p GROUP BY i, j")
+def concatenation_edges(spark, sf):
+    return H.concatenation_edges(H.concatenations(records(spark, sf)))
+
+
+@query("WITH x AS (SELECT unnest(regexp_extract_all(url, 'https?[^ ()\\[\\]]+', 0) || regexp_extract_all(url, 'www\\.?[^ ()\\[\\]]+', 0)) AS text FROM pages) SELECT 'link' AS label, 'url' AS sublabel, text, count(*) AS count FROM x GROUP BY text")
+def instance_nodes(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("url").alias("text"))
+    return H.instance_nodes(A.annotate(pages, ["link"]).where("subtype = 'url'"))
+
+
+# Flows over terms.
+TAX = f"""{TERMS_SQL}, ends AS (SELECT text, word_cnt, unnest(list_transform(range(2, len(p) + 1), lambda x: array_to_string(p[x:], ' '))) AS j FROM (SELECT text, word_cnt, string_split(text, ' ') AS p FROM term WHERE text LIKE '% %')),
+  tax AS (SELECT e.text AS i, arg_max(e.j, length(e.j)) AS j, any_value(e.word_cnt) AS count FROM ends e JOIN term t ON t.text = e.j GROUP BY e.text),
+  up AS (SELECT i, j, count, count / (sum(count) OVER (PARTITION BY i) + 1e-6) AS prob FROM tax), down AS (SELECT j AS i, i AS j, count, count / (sum(count) OVER (PARTITION BY j) + 1e-6) AS prob FROM tax)"""
+PATHS = [["esndha", "reedes", "ha"], ["Eriner", "thanea"], ["En", "laleenéelle", "la", "des", "et"]]
+TWO_WORDS = norm("a", "SELECT text AS id, CAST(1 AS BIGINT) AS count, 1.0::DOUBLE AS weight FROM term WHERE text IN ('esndha reedes ha', 'Eriner thanea', 'En laleenéelle la des et')")
+
+
+@query(f"WITH {TAX}, {TWO_WORDS} SELECT {SHOWN} FROM a")
+def select_paths(spark, sf):
+    return shown(Flow(graph(spark, sf, True)).select(PATHS).result())
+
+
+@query(f"WITH {TAX}, {TWO_WORDS}, {step_sql('b', 'a', 'up')} SELECT {SHOWN} FROM b")
+def taxonomy_up(spark, sf):
+    return shown(Flow(graph(spark, sf, True)).select(PATHS).traverse("tax-up").result())
+
+
+@query(f"""WITH {TAX}, {norm('a', "SELECT text AS id, CAST(1 AS BIGINT) AS count, 1.0::DOUBLE AS weight FROM term WHERE text = 'la'")}, {step_sql('b', 'a', 'down')},
+  {norm('c', "SELECT id, count, prob AS weight FROM b WHERE id IN (SELECT text FROM term)")}, {norm('d', "SELECT id, count, prob AS weight FROM c WHERE regexp_matches(id, '.* la$')")} SELECT {SHOWN} FROM d""")
+def expand_terms(spark, sf):
+    """Terms that end in `la`."""
+    flow = {"flow": [
+        {"flop": "FILTER", "flid": 3, "deps": [2], "parameters": {"node-regex": [".* la$"]}},
+        {"flop": "SELECT", "flid": 0, "deps": [], "parameters": {"nodes": [["la"]]}},
+        {"flop": "TRAVERSE", "flid": 1, "deps": [0], "parameters": {"edge": "tax-dn"}},
+        {"flop": "FILTER", "flid": 2, "deps": [1], "parameters": {"node-flavors": ["term"]}}]}
+    return shown(Flow.from_config(graph(spark, sf, True), flow).result())
+
+
+@query(f"""WITH {TAX}, {TWO_WORDS}, {step_sql('b', 'a', 'up')}, w AS (SELECT text, unnest(string_split(text, ' ')) AS part FROM term), s AS (SELECT 'ha' AS id),
+  {norm('c', "SELECT id, count, prob AS weight FROM a WHERE id IN (SELECT id FROM s) OR id IN (SELECT text FROM w WHERE part IN (SELECT id FROM s))")} SELECT {SHOWN} FROM c""")
+def filter_contains(spark, sf):
+    flow = Flow(graph(spark, sf, True)).select(PATHS).select(["ha"])
+    return shown(flow.filter_contains(1, 0).result())
+
+
+@query(f"""WITH {TAX}, {TWO_WORDS}, {norm('d', """SELECT id, max(count) AS count, max(weight) AS weight FROM (
+  SELECT id, count, prob AS weight FROM a UNION ALL SELECT j, CAST(1 AS BIGINT), max(prob) FROM up WHERE i IN (SELECT id FROM a) AND j NOT IN (SELECT id FROM a) GROUP BY j) GROUP BY id""")} SELECT {SHOWN} FROM d""")
+def subgraph_config(spark, sf):
+    flow = {"flow": [{"flop": "SELECT", "flid": 5, "parameters": {"nodes": PATHS}}, {"flop": "SUBGRAPH", "flid": 9, "deps": [5], "parameters": {"edges": ["tax-up"]}}]}
+    return shown(Flow.from_config(graph(spark, sf, True), flow).result())
+
+
+@query(f"WITH {TAX}, {TWO_WORDS} SELECT e.i, e.j, round(e.prob, 6) AS prob FROM up e WHERE e.i IN (SELECT id FROM a)")
+def subgraph_edges(spark, sf):
+    flow = Flow(graph(spark, sf, True)).select(PATHS).subgraph(["tax-up"])
+    return flow.links[1].select("i", "j", F.round("prob", 6).alias("prob"))
+
+
+@query(flow_sql(THE, THE_NEXT, step_sql("c", "a", "prev_e"), norm("d", "SELECT id, CAST(sum(count) AS BIGINT) AS count, sum(prob) AS weight FROM (SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY id"), last="d"))
+def accumulate(spark, sf):
+    flow = Flow(graph(spark, sf)).select(["the"]).traverse("next", 0).traverse("prev", 0)
+    return shown(N.accumulate([flow.result(1), flow.result(2)]))
+
+
+@query(flow_sql(THE, THE_NEXT, step_sql("c", "a", "prev_e"), norm("d", "SELECT b.id, b.count + c.count AS count, b.prob + c.prob AS weight FROM b JOIN c ON b.id = c.id"), last="d"))
+def intersect_adding(spark, sf):
+    flow = Flow(graph(spark, sf)).select(["the"]).traverse("next", 0).traverse("prev", 0)
+    return shown(N.intersect_adding([flow.result(1), flow.result(2)]))
+
+
+@query(f"{BASE}, {THE}, {THE_NEXT} SELECT b.id, 'word_token' AS name, n.word_cnt, b.count, round(b.prob, 6) AS prob FROM b JOIN node n ON n.text = b.id")
+def result_rows(spark, sf):
+    g = graph(spark, sf)
+    rows = N.resolved(Flow(g).select(["the"]).traverse("next").result(), g.all_nodes())
+    return rows.select("id", "name", "word_cnt", "count", F.round("prob", 6).alias("prob"))
+
+
+@query(f"""{BASE}, {THE}, {THE_NEXT}, {norm('c', 'SELECT id, CAST(1 AS BIGINT) AS count, 1.0::DOUBLE AS weight FROM b')}, o AS (SELECT 0 AS flid, 'SELECT' AS flop, prob FROM a UNION ALL SELECT 1, 'TRAVERSE', prob FROM b UNION ALL SELECT 2, 'UNIFORM', prob FROM c)
+  SELECT flid, flop, count(*) AS n, round(1.0 / count(*), 6) AS avg, round(sum(-prob * ln(prob)), 6) AS ent FROM o GROUP BY flid, flop""")
+def flow_overview(spark, sf):
+    rows = Flow(graph(spark, sf)).select(["the"]).traverse("next").uniform().overview()
+    return rows.select("flid", "flop", "n", *(F.round(c, 6).alias(c) for c in ("avg", "ent")))
+
+
+@query(f"""{BASE}, {select_sql('a', 'of')}, {THE_NEXT}, {step_sql('c', 'a', 'prev_e')}, r AS (SELECT 'next' AS edge, * FROM b UNION ALL SELECT 'prev', * FROM c) SELECT edge, {SHOWN} FROM r""")
+def explore_word(spark, sf):
+    """What stands behind and before a word."""
+    flow = Flow(graph(spark, sf)).select(["of"]).traverse("next", 0).traverse("prev", 0)
+    return shown_by(flow.result(1), "next").unionByName(shown_by(flow.result(2), "prev"))
+
+
+def shown_by(rows: DataFrame, edge: str) -> DataFrame:
+    return shown(rows).select(F.lit(edge).alias("edge"), "id", "count", "weight", "prob")
+
+
+@query(f"""WITH {TOKENS}, items AS (SELECT item_id, unnest(regexp_extract_all(text, '{q(T.TOKEN)}', 0)) AS piece FROM benchmark), words AS (SELECT DISTINCT item_id, lower(regexp_replace(piece, '{T.LEADING}', '')) AS w FROM items),
+  rare AS (SELECT lower(plain) AS w, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1), hit AS (SELECT x.item_id, t.doc_id, sum(1.0 / r.df) AS score FROM words x JOIN (SELECT DISTINCT doc_id, lower(plain) AS w FROM tok) t ON t.w = x.w JOIN rare r ON r.w = x.w WHERE r.df <= 50 GROUP BY 1, 2),
+  best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM hit) SELECT item_id, doc_id, k AS rank, round(score, 6) AS score FROM best WHERE k <= 9""")
+def question_documents(spark, sf):
+    """Documents by the rare words that they share with a question, nine a question."""
+    words = lambda rows, key: rows.select(key, F.explode(F.array_distinct(F.transform(T.words(), lambda x: F.lower(T.unmarked(x))))).alias("w"))
+    own = cut(words(docs(spark, sf), "doc_id").repartition("w"), "document-words")
+    rare = own.groupBy("w").agg(F.count("*").alias("df")).where("df <= 50")
+    asked = words(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id")
+    hit = asked.join(rare, "w").join(own, "w").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.lit(1.0) / F.col("df")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
+    return hit.withColumn("rank", rank.cast("long")).where("rank <= 9").select("item_id", "doc_id", "rank", "score")
+
+
+@query("""SELECT doc_id, upper(lang) AS upper, lower(source) AS lower, rpad(lang, 5, '_') AS fixed, replace(source, 'src', 's') AS replaced, contains(text, 'the') AS has_the,
+  CAST(length(text) - length(replace(text, 'e', '')) AS BIGINT) AS e_count, regexp_matches(source, '^[A-Za-z]+$') AS alphabetic, substr(text, 1, 3) || '     ' || substr(text, 9, 8) AS masked, '#/texts/' || doc_id AS path FROM documents WHERE length(text) > 20""")
+def text_functions(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where(F.length("text") > 20)
+    masked = T.mask(F.substr("text", F.lit(1), F.lit(16)), 3, 8)
+    return rows.select("doc_id", F.upper("lang").alias("upper"), F.lower("source").alias("lower"), T.fixed_size(F.col("lang"), 5, "_").alias("fixed"), F.replace("source", F.lit("src"), F.lit("s")).alias("replaced"), F.contains("text", F.lit("the")).alias("has_the"),
+        T.count_char(F.col("text"), "e").alias("e_count"), T.is_alphabetic(F.col("source")).alias("alphabetic"), masked.alias("masked"), T.create_path("texts", F.col("doc_id")).alias("path"))
+
+
+@query(f"WITH {RECORD_SQL}, t AS (SELECT doc_id, replace(text, 'Maier', 'M¨ uller') || ' Schr\\\"{{o}}dinger {{\\it metallic}} \\textbf{{bold}}' AS text FROM rec) SELECT doc_id, replace(replace(regexp_replace(regexp_replace(replace(text, '¨ u', 'ü'), '\\{{\\\\[A-Za-z]+ ([^{{}}]+)\\}}', '\\1', 'g'), '\\\\(textbf)\\{{([^{{}}]+)\\}}', '\\2', 'g'), 'Schr\\\"{{o}}dinger', 'Schrödinger'), '\\cite{{ord' || doc_id || '}}', 'ord' || doc_id) AS text FROM t")
+def normalised_texts(spark, sf):
+    rows = records(spark, sf).select("doc_id", F.concat(F.replace("text", F.lit("Maier"), F.lit("M¨ uller")), F.lit(' Schr\\"{o}dinger {\\it metallic} \\textbf{bold}')).alias("text"))
+    return rows.select("doc_id", T.normalised(F.col("text")).alias("text"))
+
+
+@query("""WITH p AS (SELECT l.quality AS truth, CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS predicted FROM labels l JOIN documents d USING (doc_id) WHERE l.quality IS NOT NULL), c AS (SELECT unnest([0, 1]) AS label)
+  SELECT label, round(sum(CAST(truth = label AND predicted = label AS INT)) / (sum(CAST(predicted = label AS INT)) + 1e-12), 6) AS precision, round(sum(CAST(truth = label AND predicted = label AS INT)) / (sum(CAST(truth = label AS INT)) + 1e-12), 6) AS recall FROM p, c GROUP BY label""")
+def label_scores(spark, sf):
+    """Precision and recall of length as a sign of quality."""
+    rows = spark.read.parquet(f"{sf}/labels.parquet").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "n_chars"), "doc_id").where("quality is not null")
+    found = A.scores(rows.select(F.col("quality").alias("truth"), (F.col("n_chars") > 1500).cast("int").alias("predicted")))
+    return found.select("label", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query("SELECT c_custkey AS row, 2 AS i, NOT regexp_matches(c_name, '[A-Za-z]') AS numeric FROM customer UNION ALL SELECT c_custkey, 3, true FROM customer")
+def numeric_cells(spark, sf):
+    """Customers' names and balances as table cells."""
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    cells = rows.select(F.col("c_custkey").alias("row"), F.posexplode(F.array(F.col("c_name"), F.col("c_acctbal").cast("string"))).alias("at", "text"))
+    return cells.select("row", (F.col("at") + 2).alias("i"), A.is_numeric_cell().alias("numeric"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
