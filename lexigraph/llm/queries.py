@@ -79,5 +79,19 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_quality, op2_personal_data, op3_mixing, op4_language_model, op5_repeated_strings, op6_near_documents, op7_top_k, op8_chat, op9_sentence_pieces, op10_near_vectors, pipeline)}
 
 
+OP7_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM p)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+_ESCAPED = "length({0}) + 4 * (length({0}) - length(replace({0}, '&', ''))) + 3 * (length({0}) - length(replace({0}, '<', ''))) + 5 * (length({0}) - length(replace({0}, '\"', '')))"
+OP8_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '{HOSTILE}' UNION ALL SELECT -7, 1, 'assistant', '{HOSTILE}'),
+  p AS (SELECT *, role = 'assistant' AS reply, lead(turn) OVER w IS NULL AS last, sum(22 + {_ESCAPED.format('role')} + {_ESCAPED.format('text')}) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(sum(CASE WHEN reply THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (reply), '')) AS loss_sha256, CAST(sum(CASE WHEN reply OR last THEN stop ELSE 0 END) AS BIGINT) AS formatted_chars, count(*) FILTER (reply OR last) AS n_examples FROM p GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others have no SQL; tests hold them against brute force, the library or held-out rows."""
+    return {"op7_top_k": OP7_SQL, "op8_chat": OP8_SQL}

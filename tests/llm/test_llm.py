@@ -379,3 +379,81 @@ def test_pieces_match_library(spark, docs):
     for (n, ids, text), t in zip(pieces.ChunkTable(sp, 2).texts(texts), texts, strict=True):
         assert ids == ",".join(map(str, sp.encode(t))) and text == sp.decode(sp.encode(t)) and n == len(sp.encode(t))
     assert pieces.encode_documents(docs, model).count() == docs.count()
+
+
+def test_queries_with_sql(spark):
+    import duckdb
+
+    from lexigraph.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for name in ("embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    for name, sql in queries.oracle_sql().items():
+        rows = queries.queries()[name](spark, sf)
+        cols = sorted(rows.columns)
+        want = con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall()
+        assert sorted(map(str, (tuple(r[c] for c in cols) for r in rows.collect()))) == sorted(map(str, want)), name
+
+
+def test_repeats_of_one_row_many_times(spark):
+    rng = np.random.default_rng(8)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 5000, 500))
+    rows = spark.range(2000).selectExpr("7L as doc_id").crossJoin(spark.createDataFrame([(text,)], "text string"))
+    assert repeats.remove_repeats(rows).where(f"n_removed = {len(text)} and n_spans = 1 and repeats").count() == 2000
+    assert neardup.near_documents(rows).where("component_id = 7").count() == 2000
+    assert repeats.remove_repeats(empty(spark)).count() == 0
+
+
+def test_near_documents_by_brute_force(spark):
+    """Recall where many texts share a template of which pairs differ in a few words."""
+    rng = np.random.default_rng(12)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for p in range(150):
+        own = [f"p{p}-{k}" for k in range(220)]
+        other = own.copy()
+        other[50], other[150] = "x", "y"
+        texts += [" ".join(template + own), " ".join(template + other)]
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    near = {(a, b) for a in range(300) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(near) == 150
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_documents(table).collect()}
+    assert all(got[a] == got[b] == b for a, b in near) and len(set(got.values())) == 150
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on its own input: what it keeps, and what run() returns."""
+    pytest.importorskip("public_tokenizers")
+    rng = np.random.default_rng(13)
+    good = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(40)) + "."
+    bad = lambda: " ".join("".join(rng.choice(list("!#$%&XYZ"), rng.integers(2, 7))) for _ in range(40))
+    rows = [(i, good() if i % 4 else bad(), "en", f"s{i % 2}", 0) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " more", "en", "s0", 0) for i in range(1, 4)]
+    rows += [(2000 + i, good() + f" write to a{i}@b.example.com now " + good(), "en", "s1", 0) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality classifier"](spark, docs, str(tmp_path)).cache()
+    assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows if r[0] >= 1000 or r[0] % 4}
+    single = stages["MinHash near-dedup"](spark, kept, str(tmp_path)).cache()
+    assert {r.doc_id for r in single.collect()} == {r[0] for r in rows if r[0] >= 2000 or (r[0] < 200 and r[0] % 4)}
+    masked = stages["PII"](spark, single, str(tmp_path)).cache()
+    texts = {r.doc_id: r for r in masked.collect()}
+    assert all("@" not in r.text and r.n_chars == len(r.text) for r in texts.values()) and "[email]" in texts[2003].text
+    assert all(texts[i].text == rows[i][1] for i in texts if i < 200)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    mixed = stages["mixing sources to target weights"](spark, masked, str(tmp_path))
+    want = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert out.count() == sum(want.values()) and out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    ids = {k: ",".join(map(str, sp.encode(k[1]))) for k in want}
+    assert Counter((r.doc_id, r.ids_sha256) for r in out.collect()) == Counter({(k[0], hashlib.sha256(ids[k].encode()).hexdigest()): n for k, n in want.items()})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
