@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.llm import mixing, neardup, pieces, pii, quality
-from lexigraph.llm.common import shared_folder
+from lexigraph.llm.common import remove, scratch, shared_folder
 from lexigraph.llm.queries import tokenizer_path
 
 
@@ -57,14 +57,19 @@ STAGES = [
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
-#: The classifier, the tagger and the segmenter have no SQL; tests hold the stages against brute force.
+#: The classifier, the tagger and the segmenter have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/lexigraph/pipeline-{uuid.uuid4().hex}"
+    """Each stage's result is written and read again; what a stage has cut goes when it ends, and what it has read when the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{k}"
     return docs
