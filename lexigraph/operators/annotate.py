@@ -161,10 +161,11 @@ def _sentences(text: str, known: dict[str, list]) -> list[tuple[str, int, int]]:
 
 
 def _values(text: str, hits: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Numbers that a sign of multiplication or of an error joins are one."""
+    """Numbers with nothing, or a sign of multiplication or of an error, between them are one."""
     out: list[tuple[str, int, int]] = []
     for sub, s, e in sorted(hits, key=lambda x: x[1]):
-        if out and s - out[-1][2] < 10 and text[out[-1][2] : s].strip() in ("+-", "pm", "x", "times"):
+        between = text[out[-1][2] : s].strip() if out else None
+        if out and s - out[-1][2] < 10 and (between in ("", "+-", "pm", "x", "times") or (between == "+" and text[s] == "-")):
             out[-1] = ("fsci", out[-1][1], e)
         else:
             out.append((sub, s, e))

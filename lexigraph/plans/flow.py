@@ -135,21 +135,20 @@ class Flow:
 
     @classmethod
     def from_config(cls, graph: Graph, config: dict) -> Flow:
-        """Run {"flow": [{"flop", "flid", "deps", "parameters", "output"}, ...]}, each step after those that it depends on."""
+        """Run {"flow": [{"flop", "flid", "deps", "parameters", "output"}, ...]}, each step after those that it depends on, else in their order."""
         flow, place, waiting = cls(graph), {}, list(config["flow"])
         needs = lambda op: [*op.get("deps", ()), *(f for f in [op.get("parameters", {}).get("contains-flid")] if f is not None)]
         known = {op["flid"] for op in waiting}
         if unknown := {d for op in waiting for d in needs(op)} - known:
             raise ValueError(f"steps depend on {sorted(unknown)}, which aren't there")
         while waiting:
-            ready = [op for op in waiting if all(d in place for d in needs(op))]
-            if not ready:
+            op = next((op for op in waiting if all(d in place for d in needs(op))), None)
+            if op is None:
                 raise ValueError(f"steps {[op['flid'] for op in waiting]} depend on each other")
-            for op in ready:
-                flow._run(op["flop"].upper(), [place[d] for d in op.get("deps", ())], op.get("parameters", {}), place)
-                flow.config[-1]["output"] |= op.get("output", {})
-                place[op["flid"]] = len(flow.steps) - 1
-            waiting = [op for op in waiting if op["flid"] not in place]
+            waiting.remove(op)
+            flow._run(op["flop"].upper(), [place[d] for d in op.get("deps", ())], op.get("parameters", {}), place)
+            flow.config[-1]["output"] |= op.get("output", {})
+            place[op["flid"]] = len(flow.steps) - 1
         return flow
 
     def _run(self, kind: str, deps: list[int], p: dict, place: dict[int, int]) -> None:

@@ -60,9 +60,9 @@ def test_registered_queries_match_sql(spark):
     from lexigraph import queries
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages", "nation"):
+    for t in ("documents", "pages", "nation", "orders", "customer", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("word_nodes", "traverse_next", "intersect_min", "term_counts", "language_confusion"):
+    for name in ("word_nodes", "traverse_next", "intersect_min", "term_counts", "language_confusion", "annotate_numval", "annotate_name", "phrase_edges", "abbreviation_links", "text_functions", "normalised_texts"):
         rows = queries.QUERIES[name](spark, sf)
         cols = sorted(rows.columns)
         got = sorted(tuple(str(r[c]) for c in cols) for r in rows.collect())
@@ -87,3 +87,79 @@ def test_terms_and_taxonomy(spark):
 def test_document_edges(spark):
     rows = spark.createDataFrame([(1, "a b a"), (1, "a"), (2, None), (None, "a")], "doc_id long, text string")
     assert {(r.i, r.j, r["count"]) for r in build.document_edges(rows).collect()} == {("a", "1", 2), ("▁b", "1", 1), ("▁a", "1", 1)}
+
+
+def test_annotations():
+    """Every model has a hit, earlier patterns win, and places are bytes."""
+    from lexigraph.operators import annotate as A
+
+    found = lambda text, kind: [(sub, text[s:e]) for _, sub, s, e in A.annotations(text, [kind])]
+    assert found("the 3rd in 1987 at 3.5e4, 7 - 9 or 10^3 of 2.5", "numval") == [("enum", "3"), ("year", "1987"), ("fsci", "3.5e4"), ("irng", "7 - 9"), ("fexp", "10^3"), ("fval", "2.5")]
+    assert found("3.5 +- 0.2 kg", "numval") == [("fsci", "3.5 +- 0.2")]
+    assert found("see https://a.b/c) or doi:10.1/x. a@b.de", "link") == [("url", "https://a.b/c"), ("doi", "doi:10.1/x"), ("email", "a@b.de")]
+    assert found("as in ~\\cite{a,b} and [[1,2-3]]", "cite") == [("latex-cite", "~\\cite{a,b}"), ("wiki-cite", "[[1,2-3]]")]
+    assert found("Institute of Applied Science met Ada B. Lovelace et al.", "name")[0] == ("specialised-name", "Institute of Applied Science")
+    assert found('so "Order of day" it is', "quote") == [("quote", '"Order of day"')]
+    assert found("a (3) b [1-2] c (see d) e [f]", "parenthesis") == [("reference", "(3)"), ("reference", "[1-2]"), ("round brackets", "(see d)"), ("square brackets", "[f]")]
+    assert ("latex", "$x_1$") in found("where $x_1$ is--not well-known here", "expression") and ("repetition", "--") in found("is--not", "expression")
+    assert found("It is so. no end", "sentence") == [("proper", "It is so."), ("improper", "no end")]
+    assert found("It is Mr. Big. no end", "sentence")[0][0] == "improper"  # a name hides its points
+    assert A.closure(["quote"]) == ["numval", "quote"]
+
+
+def test_annotation_rows(spark):
+    from lexigraph.operators import annotate as A
+
+    rows = spark.createDataFrame([(1, "é 12 x", 5), (2, None, 5), (None, "", 5), (3, "7", 5), (3, "7", 5)], "doc_id long, text string, kind int")
+    got = sorted((r.doc_id, r.kind, r.i, r.j, r.ci, r.cj, r.name) for r in A.annotate(rows, ["numval"]).collect())
+    assert got == [(1, "numval", 3, 5, 2, 4, "12"), (3, "numval", 0, 1, 0, 1, "7"), (3, "numval", 0, 1, 0, 1, "7")]
+    own = A.annotate(rows, custom={"letters": [("x", "x"), ("any", "[a-z]")]}).collect()
+    assert [(r.kind, r.subtype, r.original) for r in own] == [("letters", "x", "x")]
+    assert A.annotate(rows.where("false")).count() == 0
+    spans = spark.createDataFrame([(1, "term", "t", 0, 10), (1, "term", "t", 20, 30), (1, "term", "t", 40, 50), (2, "term", "t", 0, 1)], "doc_id long, kind string, subtype string, i long, j long")
+    other = spark.createDataFrame([(1, "link", "url", 8, 12), (1, "name", "person-name", 18, 32), (1, "name", "person-name", 45, 60)], spans.schema)
+    assert [(r.doc_id, r.i) for r in A.accepted(spans, other).collect()] == [(1, 40)]
+
+
+def test_flow_configuration(spark):
+    d = spark.createDataFrame([(1, "big old dog of old dog and dog"), (2, "old dog")], "doc_id long, text string")
+    terms = P.term_nodes(d)
+    from pyspark.sql import functions as F
+
+    nodes = build.word_nodes(d).unionByName(terms.select(F.lit("term").alias("name"), "text", "word_cnt", "text_cnt"))
+    g = Graph(nodes, {"tax-up": lambda: build.with_prob(P.taxonomy_edges(terms)), "next": build.with_prob(build.neighbour_edges(d))}, P.parts(terms))
+    flow = Flow(g).select([["big", "old", "dog"]]).traverse("tax-up").select(["old"]).filter_contains(2, 1).subgraph(["tax-up"], [0])
+    again = Flow.from_config(g, flow.to_config())
+    for k in range(5):
+        assert {r.id for r in flow.result(k).collect()} == {r.id for r in again.result(k).collect()}
+    assert {r.id for r in flow.result(0).collect()} == {"big old dog"} and {r.id for r in flow.result(3).collect()} == {"old dog"} == {r.id for r in flow.result(1).collect()}
+    assert {r.id for r in flow.result(4).collect()} == {"big old dog", "old dog"} and [(r.i, r.j) for r in flow.links[4].collect()] == [("big old dog", "old dog")]
+    assert [r.flop for r in flow.overview().orderBy("flid").collect()] == ["SELECT", "TRAVERSE", "SELECT", "FILTER", "SUBGRAPH"]
+    h = nodeset.node_hash(nodes).where("text = 'old dog'").first().hash
+    assert {r.id for r in Flow(g).select_hashes([(h, 1.0), (h, 2.0)]).result().collect()} == {"old dog"}
+    for bad in ([{"flop": "UNIFORM", "flid": 1, "deps": [7]}], [{"flop": "UNIFORM", "flid": 1, "deps": [2]}, {"flop": "UNIFORM", "flid": 2, "deps": [1]}], [{"flop": "DANCE", "flid": 1}]):
+        try:
+            Flow.from_config(g, {"flow": bad})
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_plans_grow_with_steps_alone(spark):
+    d = spark.createDataFrame([(1, "a b a c a b")], "doc_id long, text string")
+    flow = Flow(Graph(build.word_nodes(d), {"next": build.with_prob(build.neighbour_edges(d))})).select(["a"])
+    for _ in range(8):
+        flow.traverse("next").uniform()
+    assert flow.result()._jdf.queryExecution().optimizedPlan().toString().count("parquet") <= 4
+
+
+def test_saved_graph(spark, tmp_path):
+    from lexigraph.sources import graph_io
+
+    d = spark.createDataFrame([(1, "a b a c"), (2, "b")], "doc_id long, text string")
+    nodes, edges = build.word_nodes(d), build.with_prob(build.neighbour_edges(d))
+    for kind in ("parquet", "json", "csv"):
+        graph_io.save(nodes, {"next": edges}, f"{tmp_path}/{kind}", kind)
+        got_nodes, got = graph_io.load(spark, f"{tmp_path}/{kind}", ["next"], kind)
+        assert sorted(map(tuple, got_nodes.collect())) == sorted(map(tuple, nodes.select(got_nodes.columns).collect()))
+        assert sorted((r.i, r.j, r["count"], round(r.prob, 9)) for r in got["next"].collect()) == sorted((r.i, r.j, r["count"], round(r.prob, 9)) for r in edges.collect())
