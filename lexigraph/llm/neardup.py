@@ -15,6 +15,8 @@ nodes whose members then are in several components are gone through again: they
 branch on while that makes fewer pairs, and what stays is compared in all pairs
 of blocks but those inside the node's largest component.  So every two members
 of a node are compared there or in nodes below it, or are linked already.
+Near members share most of their large nodes, so nodes with the same largest component
+are joined into one where that moves fewer rows: a pair meets once, not once a root.
 
 Documents with one set are one representative; leaves with the same members,
 as other trees find them, are compared once; a leaf's links leave it as a star.
@@ -153,6 +155,22 @@ def rest(large: DataFrame, parts: DataFrame, sets: DataFrame, block: int, furthe
         main = each.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).where("top.n < size")
         return cut(named.join(main.select("node", "size", F.col("top.n").alias("main_n"), F.col("top.component").alias("main")), "node"), "apart")
 
+    def count(n: Column) -> Column:
+        return F.ceil(n / block).cast("int")
+
+    def moved(size: Column, main: Column) -> Column:
+        """Rows that the pairs of blocks of a node move."""
+        return main * count(size - main) + (size - main) * (count(main) + count(size - main) - 1)
+
+    def merged(rows: DataFrame) -> DataFrame:
+        """Nodes with one largest component are one node where that moves fewer rows."""
+        rows = rows.withColumn("all", F.xxhash64("main"))
+        whole = apart(rows.select(F.col("all").alias("node"), "rep").distinct())
+        cost = lambda rows, key: rows.select(key, "node", "size", "main_n").distinct().groupBy(F.col(key).alias("all")).agg(F.sum(moved(F.col("size"), F.col("main_n"))).alias("cost"))
+        fewer = cut(cost(whole, "node").join(cost(rows, "all").withColumnRenamed("cost", "before"), "all").where("cost < before").select("all"), "fewer")
+        columns = ("node", "rep", "component", "main", "main_n", "size")
+        return rows.join(fewer, "all", "left_anti").select(*columns).unionByName(whole.join(fewer, F.col("node") == F.col("all"), "left_semi").select(*columns))
+
     level, ready = apart(large.withColumn("parent", F.lit(0).cast("long"))), []
     if level.isEmpty():
         return None
@@ -172,7 +190,7 @@ def rest(large: DataFrame, parts: DataFrame, sets: DataFrame, block: int, furthe
     rows = level
     for more in ready:
         rows = rows.unionByName(more)
-    count = lambda n: F.ceil(n / block).cast("int")
+    rows = merged(cut(rows.select("node", "rep", "component", "main", "main_n", "size"), "large"))
     rows = rows.withColumn("inner", F.col("component") == F.col("main")).withColumn("mains", count(F.col("main_n"))).withColumn("parts", F.col("mains") + count(F.col("size") - F.col("main_n")))
     own = F.when(F.col("inner"), F.pmod(F.xxhash64("rep", "node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep", "node"), F.col("parts") - F.col("mains"))).cast("int")
     # a block meets all others but that two of the main component don't meet; its own members meet on the way
