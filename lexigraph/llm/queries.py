@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, itq, lm, mixing, neardup, pieces, pii, quality, repeats, topk
+from . import chat, itq, lm, merkle, mixing, neardup, packing, pieces, pii, quality, repeats, spelling, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,18 @@ def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(merkle.tampered(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_personal_data, op3_mixing, op4_language_model, op5_repeated_strings, op6_near_documents, op7_top_k, op8_chat, op9_sentence_pieces, op10_near_vectors, pipeline)}
+    return {f.__name__: f for f in (op1_quality, op2_personal_data, op3_mixing, op4_language_model, op5_repeated_strings, op6_near_documents, op7_top_k, op8_chat, op9_sentence_pieces, op10_near_vectors, op11_spelling, op12_packing, op13_manifest, pipeline)}
 
 
 OP7_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
