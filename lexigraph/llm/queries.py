@@ -59,6 +59,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_ranks() -> tuple[str, str]:
+    """The vocabulary of byte_bpe_50k.json as ranks, and the pattern of its words."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
     pieces.check_model(model)
@@ -74,7 +81,7 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ranks=byte_ranks())
 
 
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
