@@ -12,6 +12,7 @@ from lexigraph.functions import text as T
 from lexigraph.operators import annotate as A
 from lexigraph.operators import build as B
 from lexigraph.operators import hierarchy as H
+from lexigraph.operators import layout as L
 from lexigraph.operators import nodeset as N
 from lexigraph.operators import phrases as P
 from lexigraph.plans.flow import Flow, Graph
@@ -674,6 +675,49 @@ def numeric_cells(spark, sf):
     return cells.select("row", (F.col("at") + 2).alias("i"), A.is_numeric_cell().alias("numeric"))
 
 
+# Pages of lines: a supplier's lines are a document of pages of 30 items in two columns, in the main text by price.
+LAYOUT_SQL = """lines AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_quantity, l_partkey) - 1 AS "at", CAST(l_quantity AS BIGINT) AS q, l_discount AS d, l_tax AS t, l_orderkey AS o FROM lineitem),
+  boxes AS (SELECT doc_id, "at" // 30 AS page, "at", q, o, "at" % 30 // 15 AS col, "at" % 15 AS row, d, t FROM lines),
+  items AS (SELECT doc_id, page, "at", "at" % 30 AS place, CASE WHEN q % 10 = 1 THEN 'table' WHEN q % 10 = 2 THEN 'figure' WHEN q % 10 IN (3, 4) THEN 'caption' WHEN q % 10 = 5 THEN 'picture' ELSE 'paragraph' END AS type,
+    CASE WHEN q % 10 = 6 THEN 'Table ' WHEN q % 10 = 7 THEN 'Fig. ' WHEN q % 10 = 8 THEN 'lower ' ELSE 'part ' END || o || CASE WHEN o % 3 = 0 THEN '-' ELSE '' END AS text,
+    CASE WHEN q % 10 = 0 THEN 50.0 ELSE 50.0 + 260 * col + 100 * d END AS x0, 740.0 - 46 * row - q % 7 AS y0, CASE WHEN q % 10 = 0 THEN 560.0 ELSE 220.0 + 260 * col + 300 * t END AS x1, 770.0 - 46 * row - q % 5 AS y1 FROM boxes)"""
+
+
+def page_items(spark, sf) -> DataFrame:
+    by = Window.partitionBy("l_suppkey").orderBy("l_extendedprice", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("doc_id"), (F.row_number().over(by) - 1).cast("long").alias("at"), F.col("l_quantity").cast("long").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"), F.col("l_orderkey").alias("o"))
+    q, col, row = F.col("q") % 10, F.floor(F.col("at") % 30 / 15), F.col("at") % 15
+    kind = F.when(q == 1, "table").when(q == 2, "figure").when(q.isin(3, 4), "caption").when(q == 5, "picture").otherwise("paragraph")
+    text = F.concat(F.when(q == 6, "Table ").when(q == 7, "Fig. ").when(q == 8, "lower ").otherwise("part "), F.col("o").cast("string"), F.when(F.col("o") % 3 == 0, "-").otherwise(""))
+    x0 = F.when(q == 0, 50.0).otherwise(F.lit(50.0) + 260 * col + 100 * F.col("d"))
+    x1 = F.when(q == 0, 560.0).otherwise(F.lit(220.0) + 260 * col + 300 * F.col("t"))
+    return lines.select("doc_id", F.floor(F.col("at") / 30).alias("page"), "at", (F.col("at") % 30).alias("place"), kind.alias("type"), text.alias("text"), x0.alias("x0"), (F.lit(740.0) - 46 * row - F.col("q") % 7).alias("y0"), x1.alias("x1"), (F.lit(770.0) - 46 * row - F.col("q") % 5).alias("y1"))
+
+
+@query()
+def reading_order(spark, sf):
+    """No SQL: the order is a walk through a graph; a test holds its relations against their definition."""
+    return L.reading_order(page_items(spark, sf).drop("place")).select("doc_id", "page", "at", "place")
+
+
+@query(f"""WITH {LAYOUT_SQL}, near AS (SELECT *, coalesce(lag(type) OVER w IN ('table', 'figure'), false) AS b, coalesce(lead(type) OVER w IN ('table', 'figure'), false) AS a FROM items WINDOW w AS (PARTITION BY doc_id, page ORDER BY place)),
+  own AS (SELECT doc_id, page, CASE WHEN b THEN place - 1 ELSE place + 1 END AS o, place AS caption FROM near WHERE type = 'caption' AND (b OR a)),
+  ob AS (SELECT n.doc_id, n.page, n.place, n.type, own.caption FROM near n LEFT JOIN own ON own.doc_id = n.doc_id AND own.page = n.page AND own.o = n.place WHERE n.type IN ('table', 'figure')),
+  loose AS (SELECT doc_id, page, CASE WHEN starts_with(lower(trim(text)), 'tab') THEN 'table' ELSE 'figure' END AS type, max(place) AS caption FROM near WHERE type NOT IN ('table', 'figure') AND NOT (type = 'caption' AND (b OR a)) AND (starts_with(lower(trim(text)), 'tab') OR starts_with(lower(trim(text)), 'fig')) GROUP BY 1, 2, 3),
+  bare AS (SELECT doc_id, page, type, min(place) AS place FROM ob WHERE caption IS NULL GROUP BY 1, 2, 3)
+  SELECT doc_id, page, place, type, caption FROM ob WHERE caption IS NOT NULL UNION ALL SELECT b.doc_id, b.page, b.place, b.type, l.caption FROM bare b JOIN loose l USING (doc_id, page, type)""")
+def caption_links(spark, sf):
+    return L.captions(page_items(spark, sf))
+
+
+@query(f"""WITH {LAYOUT_SQL}, kept AS (SELECT doc_id, page, place, CASE WHEN type = 'caption' THEN 'paragraph' ELSE type END AS type, text, x0, x1 FROM items WHERE type IN ('paragraph', 'caption')),
+  j AS (SELECT *, coalesce(lag(text) OVER w LIKE '%-' AND regexp_matches(text, '^[a-z]') AND ((lag(page) OVER w = page AND lag(x1) OVER w < x0 + 1) OR lag(page) OVER w + 1 = page), false) AS joins FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY page, place)),
+  r AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY page, place ROWS UNBOUNDED PRECEDING) - 1 AS n FROM j)
+  SELECT doc_id, CAST(n AS BIGINT) AS n, min(page) AS page, arg_min(place, (page, place)) AS place, 'paragraph' AS type, string_agg(text, '' ORDER BY page, place) AS text, count(*) AS parts FROM r GROUP BY doc_id, n""")
+def broken_paragraphs(spark, sf):
+    return L.paragraphs(page_items(spark, sf))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
