@@ -409,7 +409,7 @@ def cascade_sql(kind: str) -> str:
 
 def annotation_query(kind: str) -> None:
     def run(spark, sf):
-        return A.annotate(records(spark, sf), [kind]).groupBy("doc_id", "subtype").agg(F.count("*").alias("n"))
+        return A.annotate(records(spark, sf), [kind], compound=False).groupBy("doc_id", "subtype").agg(F.count("*").alias("n"))
 
     QUERIES[f"annotate_{kind}"], SQL[f"annotate_{kind}"] = run, cascade_sql(kind)
 
@@ -440,9 +440,21 @@ def page_links(spark, sf):
     return A.annotate(pages, ["link"]).where("subtype = 'url'").select(F.col("doc_id").alias("page_id"), "name")
 
 
-@query("SELECT o_orderkey AS doc_id, CAST(year(o_orderdate) AS VARCHAR) AS name FROM orders")
+_YEARS = [p for sub, p in A.PATTERNS["numval"] if sub == "year"]
+
+
+@query(f"""WITH {RECORD_SQL}, a AS (SELECT doc_id, regexp_replace(text, '{A.PATTERNS["numval"][0][1]}', ' ', 'g') AS t FROM rec),
+  b AS (SELECT doc_id, regexp_extract_all(t, '{q(_YEARS[0])}', 1) AS one, regexp_extract_all(regexp_replace(t, '{q(_YEARS[0])}', ' ', 'g'), '{q(_YEARS[1])}', 0) AS two FROM a)
+  SELECT doc_id, unnest(one || two) AS name FROM b""")
 def year_values(spark, sf):
-    return A.annotate(records(spark, sf), ["numval"]).where("subtype = 'year'").select("doc_id", "name")
+    """Years in the texts, order keys that look like years among them."""
+    return A.annotate(records(spark, sf), ["numval"], compound=False).where("subtype = 'year'").select("doc_id", "name")
+
+
+@query(f"WITH {RECORD_SQL} SELECT doc_id, regexp_extract(text, '10[.]1/[0-9]+', 0) AS name FROM rec")
+def compound_numbers(spark, sf):
+    """Two numbers with a slash between them are one value."""
+    return A.annotate(records(spark, sf), ["numval"]).where("subtype = 'fsci' AND name LIKE '10.1/%'").select("doc_id", "name")
 
 
 @query(f"WITH {RECORD_SQL} SELECT doc_id, 'UC' AS short, 'Unit Cost' AS long FROM rec")

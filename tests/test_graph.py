@@ -95,7 +95,7 @@ def test_annotations():
 
     found = lambda text, kind: [(sub, text[s:e]) for _, sub, s, e in A.annotations(text, [kind])]
     assert found("the 3rd in 1987 at 3.5e4, 7 - 9 or 10^3 of 2.5", "numval") == [("enum", "3"), ("year", "1987"), ("fsci", "3.5e4"), ("irng", "7 - 9"), ("fexp", "10^3"), ("fval", "2.5")]
-    assert found("3.5 +- 0.2 kg", "numval") == [("fsci", "3.5 +- 0.2")]
+    assert found("3.5 +- 0.2 kg", "numval") == [("fval", "3.5"), ("fval", "- 0.2")]  # the sign is the second number's
     assert found("see https://a.b/c) or doi:10.1/x. a@b.de", "link") == [("url", "https://a.b/c"), ("doi", "doi:10.1/x"), ("email", "a@b.de")]
     assert found("as in ~\\cite{a,b} and [[1,2-3]]", "cite") == [("latex-cite", "~\\cite{a,b}"), ("wiki-cite", "[[1,2-3]]")]
     assert found("Institute of Applied Science met Ada B. Lovelace et al.", "name")[0] == ("specialised-name", "Institute of Applied Science")
@@ -107,6 +107,48 @@ def test_annotations():
     assert A.closure(["quote"]) == ["numval", "quote"]
 
 
+def test_two_numbers_are_one_at_most():
+    from lexigraph.operators import annotate as A
+
+    found = lambda text: [(sub, text[s:e]) for _, sub, s, e in A.annotations(text, ["numval"])]
+    assert found("1 2 3 4 5") == [("fsci", "1 2"), ("fsci", "3 4"), ("ival", "5")]
+    assert found("10.1/77 and 8 / $9") == [("fsci", "10.1/77"), ("fsci", "8 / $9")]
+    assert found("3 x 4 times 5, 6 \\pm 7 $ 8") == [("fsci", "3 x 4"), ("ival", "5"), ("fsci", "6 \\pm 7"), ("ival", "8")]
+    assert found("1 + 2") == [("ival", "1"), ("ival", "2")] and found("1         2") == [("fsci", "1         2")] and found("1          2") == [("ival", "1"), ("ival", "2")]
+    assert len(found("12 " * 40_000)) == 20_000
+
+
+def test_annotation_takes_time_in_proportion_to_length():
+    """Ordinary dirt by the megabyte; going back through a run would take hours."""
+    import time
+
+    from lexigraph.operators import annotate as A
+
+    dirt = ["A" * 1_000_000, "Aa " * 300_000, "Aa" + " -" * 400 + " x", "1" * 1_000_000, "1." + "2" * 1_000_000, "12 " * 100_000, "A. " * 200_000, "{\\a" * 200_000, "\\cite{" * 100_000, "x" * 1_000_000, "''a" * 200_000, "é1 " * 200_000, "(" * 500_000, "\\begin{a} " * 50_000]
+    for text in dirt:
+        start = time.time()
+        for kind in A.PATTERNS:
+            A.annotations(text, [kind])
+        assert time.time() - start < 60, text[:20]
+
+
+def test_linear_patterns_equal_plain_ones():
+    import random
+    import re
+
+    from lexigraph.operators import annotate as A
+
+    r = random.Random(4)
+    pieces = ["Aa", "Bb", "Ccc", " ", " ", " ", "  ", "of", "for", "and", "A.", "B.", "A", "-", "--", "1", "23", "4.5", "6,7", "e", "E", "18", "1999", "20", "'s", "th", "10^", "(", ")", "[", "]", "{", "}", "\\", "\\cite{", "\\begin{", "\\end{", "a", ".", "?", '"', "''", "'", "@", "$", "$$", "\n", ",", "et al.", "https", "doi:", "_", "^"]
+    for _ in range(3000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(1, 26)))
+        for kind, patterns in A.PATTERNS.items():
+            for (_, plain), (_, own) in zip(patterns, A._COMPILED[kind], strict=True):
+                group = lambda p: "x" if "x" in p.groupindex else 0
+                plain = re.compile(plain)
+                assert [m.span(group(plain)) for m in plain.finditer(text)] == [m.span(group(own)) for m in own.finditer(text) if m.span(group(own))[0] >= 0], (own.pattern, text)
+
+
 def test_annotation_rows(spark):
     from lexigraph.operators import annotate as A
 
