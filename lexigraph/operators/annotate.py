@@ -120,7 +120,7 @@ NEEDS = {"quote": ("numval",), "expression": ("name", "link", "cite", "numval",
 
 # Where a pattern would begin again at each place of a run, or go back through it: an equal pattern, and what may be
 # skipped if it fails.  A skipped run holds no hit from a later place either.
-_NUMBER, _NAMES = r"\d++", rf"(?:{_CAP}\s++)*+{_CAP}"
+_NUMBER, _NAMES = r"\d++", rf"{_CAP}(?:\s++{_CAP})*+"
 _APART = r"\d++(?=[\s-])\s*+-*+\s*+-?"
 _LINEAR: dict[str, tuple[str, str]] = {
     r"(?P<x>\d+)(?:st|rd|th)": (r"\d++(?=st|rd|th)", _NUMBER),
