@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from lexigraph.functions import text as T
 from lexigraph.operators import annotate as A
 from lexigraph.operators import build as B
+from lexigraph.operators import classify as C
 from lexigraph.operators import hierarchy as H
 from lexigraph.operators import layout as L
 from lexigraph.operators import nodeset as N
 from lexigraph.operators import phrases as P
+from lexigraph.operators import relations as R
+from lexigraph.operators import tagger as G
 from lexigraph.plans.flow import Flow, Graph
 from lexigraph.tables import cut
 
@@ -687,6 +690,25 @@ def numeric_cells(spark, sf):
     return cells.select("row", (F.col("at") + 2).alias("i"), A.is_numeric_cell().alias("numeric"))
 
 
+# Sentences with measures: a line's numbers with units in all sorts of brackets, and some without a unit.
+_FORMS = [("kg", "kg"), ("$\\mum$", None), ("kg/m^2", "kg/m^2"), ("{mg}/{l}", "(mg)/(l)"), ("(km/h)", "(km/h)"), ("kWh", None), ("m (", "m"), ("s -", "s"), ("$cm^3$", "cm^3"), ("days", "days"), ("(m", None), ("eV)", "eV"), ("\\%", "%")]
+MEASURES_SQL = f"""m AS (SELECT CAST(l_orderkey AS BIGINT) * 8 + l_linenumber AS doc_id, 'No' AS k, CAST(l_quantity AS BIGINT) AS a, CAST(round(l_tax * 100) AS BIGINT) + 1 AS b, CAST(l_suppkey AS BIGINT) % 90 + 10 AS c, CAST((l_orderkey + l_linenumber) % {len(_FORMS)} AS INT) AS f FROM lineitem)"""
+
+
+def measures(spark, sf) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    number = lambda c: F.col(c).cast("long")
+    rows = rows.select((number("l_orderkey") * 8 + F.col("l_linenumber")).alias("doc_id"), number("l_quantity").alias("a"), (F.round(F.col("l_tax") * 100).cast("long") + 1).alias("b"), (number("l_suppkey") % 90 + 10).alias("c"), ((F.col("l_orderkey") + F.col("l_linenumber")) % len(_FORMS)).cast("int").alias("f"))
+    form = F.element_at(F.array(*(F.lit(x) for x, _ in _FORMS)), F.col("f") + 1)
+    return T.spread(rows.select("doc_id", F.concat(F.lit("No weighs "), "a", F.lit("."), "b", F.lit(" "), form, F.lit(" now. Then "), "c", F.lit(" more; in all "), "b", F.lit("5 min on µ")).alias("text")))
+
+
+@query(f"""WITH {MEASURES_SQL}, u AS (SELECT *, CASE f {' '.join(f"WHEN {k} THEN '{q(u)}'" for k, (_, u) in enumerate(_FORMS) if u)} END AS unit FROM m)
+  SELECT doc_id, a || '.' || b AS number, unit FROM u WHERE unit IS NOT NULL UNION ALL SELECT doc_id, b || '5', 'min' FROM m""")
+def has_unit(spark, sf):
+    return R.values_and_units(measures(spark, sf)).select("doc_id", "number", "unit")
+
+
 # Pages of lines: a supplier's lines are a document of pages of 30 items in two columns, in the main text by price.
 LAYOUT_SQL = """lines AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_quantity, l_partkey) - 1 AS "at", CAST(l_quantity AS BIGINT) AS q, l_discount AS d, l_tax AS t, l_orderkey AS o FROM lineitem),
   boxes AS (SELECT doc_id, "at" // 30 AS page, "at", q, o, "at" % 30 // 15 AS col, "at" % 15 AS row, d, t FROM lines),
@@ -730,6 +752,33 @@ def broken_paragraphs(spark, sf):
     return L.paragraphs(page_items(spark, sf))
 
 
+@query("""WITH e AS (SELECT source, lang AS label, sum(length(text)) AS n FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY source, lang), t AS (SELECT *, round(n / sum(n) OVER (PARTITION BY source), 3) AS conf FROM e)
+  SELECT source, arg_min(label, (-conf, label)) AS label, max(conf) AS conf FROM t GROUP BY source""")
+def source_language(spark, sf):
+    """The language of most of a source's text."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select("source", "text", "lang")
+    return C.vote(rows, "source", "lang")
+
+
+def held_out(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0)
+
+
+@query()
+def classified_language(spark, sf):
+    """The language of each document by its lines; the classifier learns from four rows in five."""
+    rows = held_out(docs(spark, sf).select("doc_id", "text", "lang"))
+    model = C.train(rows.where("NOT held_out"), "lang")
+    return C.vote(C.classify(C.parts(rows), model))
+
+
+@query()
+def trained_labels(spark, sf):
+    """Numbers, links and names that a tagger finds which has learned them from some rows."""
+    rows = cut(held_out(G.labelled(docs(spark, sf).select("doc_id", "text"), ["link", "numval", "name"])), "labelled")
+    return G.runs(G.tagged(rows, G.train(rows.where("NOT held_out"), sample=700)), "predicted")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
