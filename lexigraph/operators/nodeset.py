@@ -40,7 +40,9 @@ def select_paths(nodes: DataFrame, paths: list[list[str]]) -> DataFrame:
 
 
 def node_hash(nodes: DataFrame) -> DataFrame:
-    """nodes with the identity hash of flavour and text."""
+    """nodes with the identity hash of flavour and text; nodes that have a hash keep it."""
+    if "hash" in nodes.columns:
+        return nodes
     return nodes.withColumn("hash", hashing.text_hash(F.concat(F.lit("__"), "name", F.lit("_"), "text", F.lit("__"))))
 
 

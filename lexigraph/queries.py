@@ -13,6 +13,7 @@ from lexigraph.operators import annotate as A
 from lexigraph.operators import build as B
 from lexigraph.operators import classify as C
 from lexigraph.operators import hierarchy as H
+from lexigraph.operators import identity as I
 from lexigraph.operators import layout as L
 from lexigraph.operators import nodeset as N
 from lexigraph.operators import phrases as P
@@ -619,7 +620,7 @@ def intersect_adding(spark, sf):
     return shown(N.intersect_adding([flow.result(1), flow.result(2)]))
 
 
-@query(f"{BASE}, {THE}, {THE_NEXT} SELECT b.id, 'word_token' AS name, n.word_cnt, b.count, round(b.prob, 6) AS prob FROM b JOIN node n ON n.text = b.id")
+@query(f"{BASE}, {THE}, {THE_NEXT}, wc AS (SELECT word AS id, count(*) AS word_cnt FROM tok GROUP BY word) SELECT b.id, 'word_token' AS name, wc.word_cnt, b.count, round(b.prob, 6) AS prob FROM b LEFT JOIN wc ON wc.id = b.id WHERE wc.id IS NOT NULL")
 def result_rows(spark, sf):
     g = graph(spark, sf)
     rows = N.resolved(Flow(g).select(["the"]).traverse("next").result(), g.all_nodes())
@@ -779,6 +780,23 @@ def trained_labels(spark, sf):
     return G.runs(G.tagged(rows, G.train(rows.where("NOT held_out"), sample=700)), "predicted")
 
 
+# no SQL: the hashes' arithmetic wraps, and which nodes are one is theirs to say; a test holds both against brute force
+@query()
+def identity_terms(spark, sf):
+    """Terms by identity hash, their texts resolved from their tokens."""
+    d = docs(spark, sf)
+    terms = cut(I.term_nodes(d), "identity-terms")
+    return I.resolved(I.token_nodes(d).unionByName(terms)).where("name = 'term'").select("text", "word_cnt", "text_cnt")
+
+
+@query()
+def identity_texts(spark, sf):
+    """Sentences over tokens and texts over sentences, resolved level by level."""
+    d = docs(spark, sf)
+    found = I.resolved(I.token_nodes(d).unionByName(cut(I.sentence_nodes(d), "identity-sentences")))
+    return found.where("path is not null").select("name", "text", "word_cnt", "text_cnt")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
