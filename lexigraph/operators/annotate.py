@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigraph.functions import text as T
+
 # The patterns of the models, in their order; the hit is the group `x`, or else the whole match.
 _CAP = r"[A-Z][a-z]+"
 PATTERNS: dict[str, list[tuple[str, str]]] = {
@@ -276,19 +278,37 @@ def annotate(texts: DataFrame, kinds: list[str] | None = None, custom: dict[str,
     return texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, COLUMNS)
 
 
+#: Bytes of a bin, in which spans of a text meet: a text's pairs are those of its bins, so a long text is many small groups.
+BIN = 256
+
+
+def _bins(rows: DataFrame, i: str, j: str) -> DataFrame:
+    """A row for each bin that a span touches."""
+    last = F.greatest(F.col(i), F.col(j) - 1)
+    return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col(i) / BIN), F.floor(last / BIN))))
+
+
 def accepted(rows: DataFrame, others: DataFrame) -> DataFrame:
-    """Rows that overlap no reference or link, lie in no name or number, and are longer than a byte."""
-    o = others.select(F.col("doc_id").alias("d"), F.col("kind").alias("k"), F.col("subtype").alias("s"), F.col("i").alias("a"), F.col("j").alias("b"))
+    """Rows that overlap no reference or link, lie in no name or number, and are longer than a byte.  Repeated rows stay, spans of a null doc_id too."""
+    o = _bins(others, "i", "j").select(F.col("doc_id").alias("d"), F.col("kind").alias("k"), F.col("subtype").alias("s"), F.col("i").alias("a"), F.col("j").alias("b"), F.col("bin").alias("n"))
     overlap = ((F.col("k") == "link") | ((F.col("k") == "parenthesis") & (F.col("s") == "reference"))) & (F.col("i") < F.col("b")) & (F.col("a") < F.col("j"))
     inside = F.col("k").isin("name", "numval") & (F.col("a") <= F.col("i")) & (F.col("j") <= F.col("b"))
-    return rows.where("j - i > 1").join(o, (F.col("doc_id") == F.col("d")) & (overlap | inside), "left_anti")
+    kept = rows.where("j - i > 1")
+    spans = _bins(kept.select("doc_id", "i", "j").distinct(), "i", "j")
+    hit = spans.join(o, (F.col("doc_id") == F.col("d")) & (F.col("bin") == F.col("n")) & (overlap | inside), "left_semi").select("doc_id", "i", "j").distinct()
+    return kept.join(hit, ["doc_id", "i", "j"], "left_anti")
+
+
+def within(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Each inner row with the outer spans (outer_i, outer_j) of its text that it lies in; without any, once with nulls."""
+    o = _bins(outer.select("doc_id", F.col("i").alias("outer_i"), F.col("j").alias("outer_j")), "outer_i", "outer_j").select(F.col("doc_id").alias("d"), "outer_i", "outer_j", F.col("bin").alias("n"))
+    met = inner.withColumn("bin", F.floor(F.col("i") / BIN)).join(o, (F.col("doc_id") == F.col("d")) & (F.col("bin") == F.col("n")) & (F.col("outer_i") <= F.col("i")) & (F.col("j") <= F.col("outer_j")), "left")
+    return met.select(*inner.columns, "outer_i", "outer_j")
 
 
 def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """i, j of each outer row with the number of inner rows that lie in it, and those of a text that lie in none (outer_i null)."""
-    o = outer.select(F.col("doc_id").alias("d"), F.col("i").alias("outer_i"), F.col("j").alias("outer_j"))
-    met = inner.join(o, (F.col("doc_id") == F.col("d")) & (F.col("outer_i") <= F.col("i")) & (F.col("j") <= F.col("outer_j")), "left")
-    return met.groupBy("doc_id", "outer_i", "outer_j").agg(F.count("*").alias("n"))
+    return within(inner, outer).groupBy("doc_id", "outer_i", "outer_j").agg(F.count("*").alias("n"))
 
 
 def merged(rows: DataFrame) -> DataFrame:
@@ -296,6 +316,22 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.distinct().sortWithinPartitions("doc_id", "i", "j", "kind", "subtype")
 
 
+def dictionary_hits(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """doc_id, name, n: how often names (of any number of tokens, whatever their case) stand in texts; only lengths that names have are read."""
+    low = lambda c: F.transform(T.words(c), lambda x: F.lower(T.unmarked(x)))
+    known = names.where(F.col("name").isNotNull()).select("name", low("name").alias("w")).where(F.size("w") > 0).select("name", F.size("w").alias("size"), F.array_join("w", " ").alias("key")).distinct()
+    sizes = sorted(r[0] for r in known.select("size").distinct().collect())
+    rows = texts.select("doc_id", low("text").alias("w"))
+
+    def grams_of(n: int):
+        own = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k: F.struct(F.lit(n).alias("size"), F.array_join(F.slice("w", k, n), " ").alias("key")))
+        return F.when(F.size("w") >= n, own)
+
+    grams = [grams_of(n) for n in sizes]
+    each = rows.select("doc_id", F.explode(F.flatten(F.filter(F.array(*grams), lambda g: g.isNotNull()))).alias("g")) if grams else rows.select("doc_id", F.struct(F.lit(0).alias("size"), F.lit("").alias("key")).alias("g")).limit(0)
+    return each.select("doc_id", "g.*").join(known, ["size", "key"]).groupBy("doc_id", "name").agg(F.count("*").alias("n"))
+
+
 def is_numeric_cell(text: str = "text"):
     """Whether a table cell holds nothing but numbers and signs."""
     plain = F.col(text)

@@ -18,6 +18,7 @@ from lexigraph.operators import layout as L
 from lexigraph.operators import nodeset as N
 from lexigraph.operators import phrases as P
 from lexigraph.operators import relations as R
+from lexigraph.operators import retrieval as D
 from lexigraph.operators import tagger as G
 from lexigraph.plans.flow import Flow, Graph
 from lexigraph.tables import cut
@@ -266,10 +267,31 @@ def singular_plural(spark, sf):
     return B.plural_pairs(B.word_nodes(docs(spark, sf)))
 
 
+# Documents with marks behind frequent words: citations, references, years and names, more or fewer by the text.
+MARKS = {" of ": "of ~\\cite{ord#} ", " and ": "and [[#,3-7]] ", " in ": "in 19# ", " la ": "la #th ", " to ": "to [see #] ", " de ": "de [#, 9] ", " the ": "the NATION_# "}
+_NUMBER = "doc_id % 15 + 10"
+MARKED_SQL = "coalesce(text, '')"
+for _word, _mark in MARKS.items():
+    MARKED_SQL = f"replace({MARKED_SQL}, '{_word}', ' ' || replace('{_mark}', '#', CAST({_NUMBER} AS VARCHAR)))"
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    for word, mark in MARKS.items():
+        text = F.replace(text, F.lit(word), F.concat(F.lit(" "), F.replace(F.lit(mark), F.lit("#"), F.expr(_NUMBER).cast("string"))))
+    return rows.withColumn("text", text)
+
+
 def count_query(name: str, pattern: str) -> None:
-    sql = f"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{q(pattern)}', 0)) AS BIGINT) AS n FROM documents WHERE regexp_matches(coalesce(text, ''), '{q(pattern)}')"
-    QUERIES[name] = lambda spark, sf: docs(spark, sf).where(F.col("text").rlike(pattern)).select("doc_id", F.size(T.matches(pattern)).cast("long").alias("n"))
-    SQL[name] = sql
+    """Hits by row: in documents, in marked documents, or for addresses in pages."""
+    key, column, source = ("page_id", "html", "pages") if name == "link_url" else ("doc_id", "text", "documents") if name in ("link_doi", "link_email", "sentence_counts", "round_brackets") else ("doc_id", "text", f"(SELECT doc_id, {MARKED_SQL} AS text FROM documents)")
+
+    def run(spark, sf):
+        rows = spark.read.parquet(f"{sf}/pages.parquet").select(key, F.col(column).alias("text")) if source == "pages" else docs(spark, sf) if source == "documents" else marked(docs(spark, sf))
+        return rows.where(F.col("text").rlike(pattern)).select(key, F.size(T.matches(pattern)).cast("long").alias("n"))
+
+    QUERIES[name] = run
+    SQL[name] = f"SELECT {key}, CAST(len(regexp_extract_all(coalesce({column}, ''), '{q(pattern)}', 0)) AS BIGINT) AS n FROM {source} WHERE regexp_matches(coalesce({column}, ''), '{q(pattern)}')"
 
 
 for _name, _pattern in {**{f"link_{k}": p for k, p in T.LINKS.items()}, **{k.replace("-", "_"): p for k, p in T.CITATIONS.items()}, "year_counts": T.YEAR, "enum_counts": T.ENUM, "sentence_counts": T.SENTENCE, "round_brackets": T.ROUND, "square_brackets": T.SQUARE, "bracket_references": T.REFERENCE}.items():
@@ -380,11 +402,14 @@ def html_clean(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.trim(t).alias("text"))
 
 
-@query(f"WITH {TOKENS} SELECT n_name AS name, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tok JOIN nation ON lower(plain) = lower(n_name) GROUP BY n_name")
+MARKED_TOKENS = TOKENS.replace("FROM documents", f"FROM (SELECT doc_id, {MARKED_SQL} AS text FROM documents)")
+
+
+@query(f"WITH {MARKED_TOKENS}, g AS (SELECT doc_id, lower(plain || ' ' || lead(plain) OVER w || ' ' || lead(plain, 2) OVER w) AS key FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) SELECT n_name AS name, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM g JOIN nation ON key = lower(replace(n_name, '_', ' _ ')) GROUP BY n_name")
 def geoloc_dictionary(spark, sf):
-    names = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("name"), F.lower("n_name").alias("key"))
-    t = B.tokens(docs(spark, sf)).select("doc_id", F.lower("plain").alias("key"))
-    return t.join(names, "key").groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    """Names of a dictionary, of any number of tokens, in marked documents."""
+    names = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_name").alias("name"))
+    return A.dictionary_hits(marked(docs(spark, sf)), names).groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
 
 
 # Texts made of orders, so that every pattern of annotation meets rows that grow with the data.
@@ -645,18 +670,45 @@ def shown_by(rows: DataFrame, edge: str) -> DataFrame:
     return shown(rows).select(F.lit(edge).alias("edge"), "id", "count", "weight", "prob")
 
 
-@query(f"""WITH {TOKENS}, items AS (SELECT item_id, unnest(regexp_extract_all(text, '{q(T.TOKEN)}', 0)) AS piece FROM benchmark), words AS (SELECT DISTINCT item_id, lower(regexp_replace(piece, '{T.LEADING}', '')) AS w FROM items),
-  rare AS (SELECT lower(plain) AS w, count(DISTINCT doc_id) AS df FROM tok GROUP BY 1), hit AS (SELECT x.item_id, t.doc_id, sum(1.0 / r.df) AS score FROM words x JOIN (SELECT DISTINCT doc_id, lower(plain) AS w FROM tok) t ON t.w = x.w JOIN rare r ON r.w = x.w WHERE r.df <= 50 GROUP BY 1, 2),
-  best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS k FROM hit) SELECT item_id, doc_id, k AS rank, round(score, 6) AS score FROM best WHERE k <= 9""")
+HITS_SQL = f"""{TOKENS}, items AS (SELECT item_id, unnest(regexp_extract_all(text, '{q(T.TOKEN)}', 0)) AS piece FROM benchmark), words AS (SELECT DISTINCT item_id, lower(regexp_replace(piece, '{T.LEADING}', '')) AS w FROM items),
+  dw AS (SELECT DISTINCT doc_id, lower(plain) AS w FROM tok), rare AS (SELECT w, count(*) AS df FROM dw GROUP BY w), hit AS (SELECT x.item_id, t.doc_id, round(sum(1.0 / r.df), 6) AS score FROM words x JOIN dw t ON t.w = x.w JOIN rare r ON r.w = x.w GROUP BY 1, 2),
+  best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM hit)"""
+
+
+@query(f"WITH {HITS_SQL} SELECT item_id, doc_id, k AS rank, score FROM best WHERE k <= 9")
 def question_documents(spark, sf):
-    """Documents by the rare words that they share with a question, nine a question."""
-    words = lambda rows, key: rows.select(key, F.explode(F.array_distinct(F.transform(T.words(), lambda x: F.lower(T.unmarked(x))))).alias("w"))
-    own = cut(words(docs(spark, sf), "doc_id").repartition("w"), "document-words")
-    rare = own.groupBy("w").agg(F.count("*").alias("df")).where("df <= 50")
-    asked = words(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id")
-    hit = asked.join(rare, "w").join(own, "w").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.lit(1.0) / F.col("df")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return hit.withColumn("rank", rank.cast("long")).where("rank <= 9").select("item_id", "doc_id", "rank", "score")
+    """Nine documents for each question, by the words that they share."""
+    return D.best_documents(docs(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
+@query(f"""WITH {HITS_SQL}, truth AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60))), f AS (SELECT t.item_id, min(b.k) AS r FROM truth t LEFT JOIN best b ON b.item_id = t.item_id AND b.doc_id = t.doc_id AND b.k <= 9 GROUP BY t.item_id)
+  SELECT CAST(x.k AS BIGINT) AS k, count(*) AS n, CAST(sum(CASE WHEN r <= x.k THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(sum(CASE WHEN r <= x.k THEN 1 ELSE 0 END) / count(*), 6) AS recall FROM f, (VALUES (1), (3), (9)) x(k) GROUP BY x.k""")
+def question_recall(spark, sf):
+    """How often a document that holds a question's beginning is among its first 1, 3 and 9."""
+    asked, d = spark.read.parquet(f"{sf}/benchmark.parquet"), docs(spark, sf)
+    head = F.substring("text", 1, 60)
+    # a head's place in a text: texts and questions meet at eight letters that begin at a word
+    spot = lambda text: F.regexp_extract_all(text, F.lit(r"(?=(\b\w[\s\S]{7}))"), F.lit(1))
+    heads = asked.where(F.length(head) > 0).select("item_id", head.alias("head"), F.get(spot(head), F.lit(0)).alias("spot"))
+    places = d.select("doc_id", "text", F.explode(F.array_distinct(spot(F.coalesce("text", F.lit("")))))  .alias("spot"))
+    truth = places.join(heads, "spot").where(F.contains("text", F.col("head"))).select("item_id", "doc_id").distinct()
+    return D.recall(D.best_documents(d, asked), truth)
+
+
+# Spans of a few texts, a third of them in one: orders lie in the spans of lines.
+SPANS_SQL = """sp AS (SELECT CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_suppkey END AS doc_id, CAST(floor(l_extendedprice * 10) AS BIGINT) AS i, CAST(floor(l_extendedprice * 10) + 40 * l_quantity AS BIGINT) AS j FROM lineitem WHERE l_linenumber = 1),
+  io AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 100 + 1 END AS doc_id, CAST(floor(o_totalprice) AS BIGINT) AS i, CAST(floor(o_totalprice) + o_orderkey % 40 AS BIGINT) AS j FROM orders)"""
+
+
+@query(f"WITH {SPANS_SQL}, o AS (SELECT DISTINCT * FROM sp) SELECT io.doc_id, o.i AS outer_i, o.j AS outer_j, count(*) AS n FROM io LEFT JOIN o ON o.doc_id = io.doc_id AND o.i <= io.i AND io.j <= o.j GROUP BY 1, 2, 3")
+def contained_spans(spark, sf):
+    """Spans in spans, met by bins of a text."""
+    hot = lambda key, other: F.when(F.col(key) % 3 == 0, 0).otherwise(other).cast("long").alias("doc_id")
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber = 1")
+    outer = lines.select(hot("l_orderkey", F.col("l_suppkey")), F.floor(F.col("l_extendedprice") * 10).alias("i"), F.floor(F.floor(F.col("l_extendedprice") * 10) + 40 * F.col("l_quantity")).cast("long").alias("j")).distinct()
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    inner = orders.select(hot("o_orderkey", F.col("o_custkey") % 100 + 1), F.floor("o_totalprice").alias("i"), (F.floor("o_totalprice") + F.col("o_orderkey") % 40).cast("long").alias("j"))
+    return A.contained(inner, outer)
 
 
 @query("""SELECT doc_id, upper(lang) AS upper, lower(source) AS lower, rpad(lang, 5, '_') AS fixed, replace(source, 'src', 's') AS replaced, contains(text, 'the') AS has_the,
