@@ -12,6 +12,7 @@ from lexigraph.functions import text as T
 from lexigraph.operators import annotate as A
 from lexigraph.operators import build as B
 from lexigraph.operators import classify as C
+from lexigraph.operators import expand as X
 from lexigraph.operators import hierarchy as H
 from lexigraph.operators import identity as I
 from lexigraph.operators import layout as L
@@ -258,11 +259,14 @@ def dangling_edges(spark, sf):
     return B.dangling(words_of(g), g.along("next"))
 
 
-@query(f"""{BASE}, made AS (SELECT text AS plural, 0 AS rule, left(text, length(text) - 3) || 'y' AS singular FROM node WHERE length(text) > 3 AND text LIKE '%ies'
+PAIRS_SQL = """made AS (SELECT text AS plural, 0 AS rule, left(text, length(text) - 3) || 'y' AS singular FROM node WHERE length(text) > 3 AND text LIKE '%ies'
   UNION ALL SELECT text, 1, left(text, length(text) - 1) FROM node WHERE length(text) > 3 AND text LIKE '%s'
   UNION ALL SELECT text, 2, left(text, length(text) - 4) || 'ss' FROM node WHERE length(text) > 3 AND text LIKE '%sses'
-  UNION ALL SELECT text, 3, left(text, length(text) - 2) || 'i' FROM node WHERE length(text) > 3 AND text LIKE '%us')
-  SELECT plural, min_by(singular, rule) AS singular FROM made WHERE singular IN (SELECT text FROM node) GROUP BY plural""")
+  UNION ALL SELECT text, 3, left(text, length(text) - 2) || 'i' FROM node WHERE length(text) > 3 AND text LIKE '%us'),
+  pair AS (SELECT plural, min_by(singular, rule) AS singular FROM made WHERE singular IN (SELECT text FROM node) GROUP BY plural)"""
+
+
+@query(f"{BASE}, {PAIRS_SQL} SELECT plural, singular FROM pair")
 def singular_plural(spark, sf):
     return B.plural_pairs(B.word_nodes(docs(spark, sf)))
 
@@ -282,6 +286,17 @@ def marked(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", text)
 
 
+@query(f"""{BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {PAIRS_SQL}, e AS (SELECT plural AS i, singular AS j FROM pair UNION SELECT singular, plural FROM pair),
+  r AS (SELECT DISTINCT i AS word, i AS id, 0 AS hop FROM e UNION SELECT r.word, e.j, hop + 1 FROM r JOIN e ON e.i = r.id WHERE hop < {X.HOPS}), c AS (SELECT DISTINCT word, id FROM r)
+  SELECT c.word, c.id, CAST(n.text_cnt AS BIGINT) AS weight, round(n.text_cnt / (sum(n.text_cnt) OVER (PARTITION BY c.word) + 1e-6), 6) AS prob FROM c JOIN node n ON n.text = c.id""")
+def concept_expansion(spark, sf):
+    """The concept of each word that has a singular or a plural."""
+    nodes = cut(B.word_nodes(docs(spark, sf)), "nodes")
+    pairs = cut(B.plural_pairs(nodes), "plurals")
+    words = pairs.select(F.col("plural").alias("word")).unionByName(pairs.select(F.col("singular").alias("word")))
+    return X.concepts(words, pairs, nodes).select("word", "id", "weight", F.round("prob", 6).alias("prob"))
+
+
 def count_query(name: str, pattern: str) -> None:
     """Hits by row: in documents, in marked documents, or for addresses in pages."""
     key, column, source = ("page_id", "html", "pages") if name == "link_url" else ("doc_id", "text", "documents") if name in ("link_doi", "link_email", "sentence_counts", "round_brackets") else ("doc_id", "text", f"(SELECT doc_id, {MARKED_SQL} AS text FROM documents)")
