@@ -15,9 +15,9 @@ Queries are dealt in blocks of `query_block`, shards' centres in blocks of
 number.  A shard's tree is built once for each block of queries.
 
 Cases: vectors that are null or hold null or non-finite components take no
-part; vectors of another length than the query's are no candidates; a query is
-no candidate of its own, but repeated rows with one id are one vector (the
-smallest by value); fewer than k candidates give fewer rows; ties go to the
+part; vectors of another length than the query's are no candidates; a query's own row
+is no candidate of its own, but other rows with its id are, and each row of
+a repeated id is a query and a candidate of its own; fewer than k candidates give fewer rows; ties go to the
 smaller vec_id; null vec_id takes no part; an empty table gives no rows.
 """
 
@@ -36,12 +36,12 @@ LEAF = 64
 
 
 class BallTree:
-    def __init__(self, points: np.ndarray, ids: np.ndarray):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, keys: np.ndarray):
         self.order = np.arange(len(points))
-        self.points, self.ids = points, ids
+        self.points = points
         self.nodes: list[tuple[np.ndarray, float, int, int, int, int]] = []  # centre, radius, from, to, children
         self._build(0, len(points))
-        self.points, self.ids = points[self.order], ids[self.order]
+        self.points, self.ids, self.keys = points[self.order], ids[self.order], keys[self.order]
 
     def _build(self, lo: int, hi: int) -> int:
         own = self.points[self.order[lo:hi]].astype(float)
@@ -60,8 +60,8 @@ class BallTree:
             self.nodes[me] = (centre, radius, lo, hi, left, right)
         return me
 
-    def search(self, query: np.ndarray, own: int, k: int, kth: int | None) -> list[tuple[int, int]]:
-        """(score, id), best first: all that could be among the k best given a kth score found elsewhere."""
+    def search(self, query: np.ndarray, own: int, k: int, kth: int | None) -> list[tuple[int, int, int]]:
+        """(score, id, key), best first: all but the row `own` that could be among the k best given a kth score found elsewhere."""
         length = float(np.sqrt((query.astype(float) ** 2).sum()))
         qf = query.astype(float)
 
@@ -70,7 +70,7 @@ class BallTree:
             b = float(centre @ qf) + length * radius
             return b + abs(b) * 1e-9 + 1e-6
 
-        best: list[tuple[int, int]] = []  # (score, -id), least first
+        best: list[tuple[int, int, int]] = []  # (score, -id, -key), least first
         heap = [(-bound(0), 0)]
         while heap:
             b, node = heapq.heappop(heap)
@@ -85,34 +85,34 @@ class BallTree:
                 continue
             scores = self.points[lo:hi] @ query
             for i in np.flatnonzero(scores >= floor) if floor is not None else range(hi - lo):
-                item = int(scores[i]), -int(self.ids[lo + i])
-                if -item[1] == own:
+                item = int(scores[i]), -int(self.ids[lo + i]), -int(self.keys[lo + i])
+                if -item[2] == own:
                     continue
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
                     heapq.heapreplace(best, item)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
+        return [(s, -i, -key) for s, i, key in sorted(best, reverse=True)]
 
 
 def search_shards(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each (shard, block) group."""
+    """query_id, query_key, vec_id, key, score: the k best of each (shard, block) group."""
 
     def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int, int]] = []
         if len(rows) and len(queries):
             lengths = rows["v"].map(len)
             for n in sorted(set(queries["q"].map(len))):
                 own = rows[lengths == n]
                 if not len(own):
                     continue
-                tree = BallTree(np.stack(own["v"].to_list()).astype(np.int64).reshape(len(own), n), own["vec_id"].to_numpy(np.int64))
+                tree = BallTree(np.stack(own["v"].to_list()).astype(np.int64).reshape(len(own), n), own["vec_id"].to_numpy(np.int64), own["key"].to_numpy(np.int64))
                 mine = queries[queries["q"].map(len) == n]
-                for q, v, kth in zip(mine["query_id"], mine["q"], mine["kth"], strict=True):
-                    out += [(q, i, s) for s, i in tree.search(np.asarray(v, np.int64), q, k, None if pd.isna(kth) else int(kth))]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+                for q, own_key, v, kth in zip(mine["query_id"], mine["query_key"], mine["q"], mine["kth"], strict=True):
+                    out += [(q, own_key, i, key, s) for s, i, key in tree.search(np.asarray(v, np.int64), own_key, k, None if pd.isna(kth) else int(kth))]
+        return pd.DataFrame(out, columns=["query_id", "query_key", "vec_id", "key", "score"]).astype("int64")
 
-    return rows.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(run, "query_id long, vec_id long, score long")
+    return rows.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(run, "query_id long, query_key long, vec_id long, key long, score long")
 
 
 def cells(rows: DataFrame, bits: int, sample: int) -> DataFrame:
@@ -153,7 +153,7 @@ def centres(rows: DataFrame) -> DataFrame:
 
 
 def reached(queries: DataFrame, balls: DataFrame) -> DataFrame:
-    """query_id, q, kth, block, shard: the shards, but for its own, whose bound reaches a query's kth score.  Both sides: centre_block; queries: block."""
+    """query_id, query_key, q, kth, block, shard: the shards, but for its own, whose bound reaches a query's kth score.  Both sides: centre_block; queries: block."""
 
     def run(queries: pd.DataFrame, balls: pd.DataFrame) -> pd.DataFrame:
         parts = []
@@ -170,10 +170,10 @@ def reached(queries: DataFrame, balls: DataFrame) -> DataFrame:
                 bound = q @ c.T + np.sqrt((q * q).sum(1))[:, None] * r
                 least = part["kth"].to_numpy(float)[:, None]
                 i, j = np.nonzero((np.isnan(least) | (bound + np.abs(bound) * 1e-9 + 1e-6 >= least)) & (part["home"].to_numpy()[:, None] != shard))
-                parts.append(part.iloc[i][["query_id", "q", "kth", "block"]].assign(shard=shard[j]))
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["query_id", "q", "kth", "block", "shard"])
+                parts.append(part.iloc[i][["query_id", "query_key", "q", "kth", "block"]].assign(shard=shard[j]))
+        return pd.concat(parts) if parts else pd.DataFrame(columns=["query_id", "query_key", "q", "kth", "block", "shard"])
 
-    return queries.groupBy("centre_block", "block").cogroup(balls.groupBy("centre_block", "block")).applyInPandas(run, "query_id long, q array<long>, kth long, block int, shard long")
+    return queries.groupBy("centre_block", "block").cogroup(balls.groupBy("centre_block", "block")).applyInPandas(run, "query_id long, query_key long, q array<long>, kth long, block int, shard long")
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, shard_rows: int = 8192, query_block: int = 4096, centre_block: int = 8192, sample: int = 4096) -> DataFrame:
@@ -181,22 +181,22 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     wide = F.transform("embedding", lambda x: x.cast("double"))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     v = F.transform(wide, lambda x: F.floor(x * scale))
-    rows = vectors.where(sound).select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = vectors.where(sound).select("vec_id", v.alias("v"), F.monotonically_increasing_id().alias("key"))
     rows = cut(rows, "vectors")
     n = rows.count()
     placed = cut(cells(rows, max(0, (-(-n // shard_rows) - 1).bit_length()), sample), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))
-    rows = cut(placed.join(sizes, "cell").select("vec_id", "v", F.xxhash64("cell", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).alias("shard")), "shards")
+    rows = cut(placed.join(sizes, "cell").select("vec_id", "key", "v", F.xxhash64("cell", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("shard")), "shards")
 
     query_blocks, spread = max(1, -(-n // (every * query_block))), lambda to: F.explode(F.sequence(F.lit(0), F.lit(to - 1)))
-    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("shard").alias("home"), F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(query_blocks)).cast("int").alias("block"))
+    queries = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("key").alias("query_key"), F.col("v").alias("q"), F.col("shard").alias("home"), F.pmod(F.xxhash64("key", F.lit("block")), F.lit(query_blocks)).cast("int").alias("block"))
     every_block = rows.withColumn("block", spread(query_blocks))
     home = cut(search_shards(every_block, queries.withColumn("shard", F.col("home")).withColumn("kth", F.lit(None).cast("long")), k), "home")
-    kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
+    kth = home.groupBy("query_key").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
 
     centre_blocks = max(1, -(-n // (shard_rows * centre_block)))
     balls = centres(rows).withColumn("centre_block", F.pmod(F.xxhash64("shard"), F.lit(centre_blocks)).cast("int")).withColumn("block", spread(query_blocks))
-    away = reached(queries.join(kth, "query_id", "left").withColumn("centre_block", spread(centre_blocks)), balls)
+    away = reached(queries.join(kth, "query_key", "left").withColumn("centre_block", spread(centre_blocks)), balls)
     found = home.unionByName(search_shards(every_block, away, k))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id", "key"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

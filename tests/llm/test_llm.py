@@ -312,13 +312,15 @@ def test_top_k(spark, cells):
     vectors = [*rng.normal(size=(400, 8)), *np.round(rng.normal(size=(100, 8))), *[np.ones(8)] * 150, *rng.normal(size=(30, 5))]
     rows = [(i, [float(np.float32(x)) for x in v], i, 1) for i, v in enumerate(vectors)]
     odd = [(1000, None, 0, 0), (1100, [float("nan")] * 8, 0, 0), (1200, [1.0, None], 0, 0), (None, [1.0] * 8, 0, 0), (1300, [float("inf")] * 8, 0, 0), (1400, [1.0, 2.0], 0, 0)]
-    table = spark.createDataFrame([*rows, *odd, rows[7]], "vec_id long, embedding array<float>, score int, shard int").repartition(3)
-    x = {r[0]: np.floor(np.array(r[1]) * 1024).astype(np.int64) for r in [*rows, odd[-1]]}
-    want = set()
-    for q in (i for i in x if i % 100 == 0):
-        best = sorted((-int(x[q] @ x[i]), i) for i in x if i != q and len(x[i]) == len(x[q]))[:10]
-        want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table, **cells).collect()} == want
+    again = [rows[7], rows[100], (100, rows[3][1], 0, 0), (200, rows[3][1], 0, 0), *[rows[499]] * 20]
+    table = spark.createDataFrame([*rows, *odd, *again], "vec_id long, embedding array<float>, score int, shard int").repartition(3)
+    x = [(r[0], np.floor(np.array(r[1]) * 1024).astype(np.int64)) for r in [*rows, odd[-1], *again]]
+    want = Counter()
+    for n, (q, v) in enumerate(x):
+        if q % 100 == 0:
+            best = sorted((-int(v @ w), i) for m, (i, w) in enumerate(x) if m != n and len(w) == len(v))[:10]
+            want.update((q, rank, i, -s) for rank, (s, i) in enumerate(best, 1))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(table, **cells).collect()) == want
     assert topk.top_k(table.where("false")).count() == 0
 
 
