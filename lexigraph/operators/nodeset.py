@@ -19,9 +19,13 @@ LEAST = 1e-6
 
 
 def normalise(rows: DataFrame) -> DataFrame:
+    """One look at the set gives its sum; only where an entry is too small a second one is needed."""
     rows = cut(rows.select("id", "count", "weight"), "nodeset")
-    total = rows.agg(F.sum("weight")).first()[0]
-    first = rows.withColumn("prob", F.col("weight") / F.lit(float(total or 1))).where(F.col("prob") >= LEAST)
+    total, least = rows.agg(F.sum("weight"), F.min("weight")).first()
+    first = rows.withColumn("prob", F.col("weight") / F.lit(float(total or 1)))
+    if not total or least / total >= LEAST * (1 + 1e-9):
+        return first.where(F.col("prob") >= LEAST)
+    first = first.where(F.col("prob") >= LEAST)
     kept = first.agg(F.sum("prob")).first()[0]
     return first.withColumn("prob", F.col("prob") / F.lit(float(kept or 1)))
 
@@ -58,9 +62,12 @@ def select_weighted(spark, weights: dict[str, float]) -> DataFrame:
 
 
 def traverse(source: DataFrame, edges: DataFrame) -> DataFrame:
-    """Step along edges (i, j, count, prob): weights are prob times the edge's prob, summed."""
-    step = source.select(F.col("id").alias("i"), F.col("prob").alias("p")).join(edges, "i")
-    return normalise(step.groupBy(F.col("j").alias("id")).agg(F.sum("count").alias("count"), F.sum(F.col("p") * F.col("prob")).alias("weight")))
+    """Step along edges (i, j, count, and prob, which is made for the source's edges if it isn't kept): weights are prob times the edge's prob, summed."""
+    met = source.select(F.col("id").alias("i"), F.col("prob").alias("p")).join(edges, "i")
+    if "prob" not in edges.columns:
+        total = met.groupBy("i").agg(F.sum("count").alias("total"))
+        met = met.join(total, "i").withColumn("prob", F.col("count") / (F.col("total") + F.lit(1e-6)))
+    return normalise(met.groupBy(F.col("j").alias("id")).agg(F.sum("count").alias("count"), F.sum(F.col("p") * F.col("prob")).alias("weight")))
 
 
 def filter_flavours(source: DataFrame, nodes: DataFrame, names: list[str]) -> DataFrame:

@@ -7,27 +7,39 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from lexigraph.operators import build as B
 from lexigraph.operators import nodeset as N
 
 
 @dataclass
 class Graph:
-    """nodes (name, text, ...), edges by flavour name (i, j, count, prob), and parts of path nodes (id, part).
+    """nodes (name, text, ...), edges by flavour name (i, j, count, and prob if it's kept), and parts of path nodes (id, part).
 
-    Each may be a function without arguments that makes it, which is called when it is first wanted.
+    Each may be a function without arguments that makes it, which is called when it is first wanted.  `search` makes the nodes
+    without writing them, for steps that want a few by their text; they are searched where they are made until all nodes are wanted.
     """
 
     nodes: DataFrame | Callable[[], DataFrame]
     edges: dict[str, DataFrame | Callable[[], DataFrame]]
     parts: DataFrame | Callable[[], DataFrame] | None = None
+    search: Callable[[], DataFrame] | None = None
 
     def along(self, name: str) -> DataFrame:
+        """Edges with prob."""
+        edges = self.counted(name)
+        return edges if "prob" in edges.columns else B.with_prob(edges)
+
+    def counted(self, name: str) -> DataFrame:
+        """Edges as they are kept."""
         if name not in self.edges:
             raise ValueError(f"the graph has no edges named {name}")
         if not isinstance(self.edges[name], DataFrame):
             self.edges[name] = self.edges[name]()
         return self.edges[name]
 
+    def found_nodes(self) -> DataFrame:
+        return self.search() if self.search and not isinstance(self.nodes, DataFrame) else self.all_nodes()
+
     def all_nodes(self) -> DataFrame:
         if not isinstance(self.nodes, DataFrame):
             self.nodes = self.nodes()
@@ -72,14 +84,14 @@ class Flow:
     def select(self, paths: list[str | list[str]]) -> Flow:
         """Words, or paths of several tokens."""
         whole = [[p] if isinstance(p, str) else list(p) for p in paths]
-        return self._add("SELECT", [], {"nodes": whole}, N.select_paths(self.graph.all_nodes(), whole))
+        return self._add("SELECT", [], {"nodes": whole}, N.select_paths(self.graph.found_nodes(), whole))
 
     def select_hashes(self, weights: list[tuple[int, float]]) -> Flow:
         return self._add("SELECT", [], {"hashes": [list(w) for w in weights]}, N.select_hashes(N.node_hash(self.graph.all_nodes()), weights))
 
     def traverse(self, edge: str, source: int | None = None) -> Flow:
         at = self._at(source)
-        return self._add("TRAVERSE", [at], {"edge": edge}, N.traverse(self.steps[at], self.graph.along(edge)))
+        return self._add("TRAVERSE", [at], {"edge": edge}, N.traverse(self.steps[at], self.graph.counted(edge)))
 
     def filter_regex(self, patterns: list[str], source: int | None = None) -> Flow:
         at = self._at(source)

@@ -48,13 +48,14 @@ def graph(spark: SparkSession, sf: str, phrases: bool = False) -> Graph:
     ahead, terms, up = (cache(f) for f in (lambda: cut(B.neighbour_edges(d), "next"), lambda: cut(P.term_nodes(d), "terms"), lambda: cut(P.taxonomy_edges(terms()), "taxonomy")))
     words = lambda: B.word_nodes(d) if not phrases else B.word_nodes(d).unionByName(terms().select(F.lit("term").alias("name"), "text", "word_cnt", "text_cnt"))
     edges = {
-        "next": lambda: cut(B.with_prob(ahead()), "edges"),
-        "prev": lambda: cut(B.with_prob(B.reversed_edges(ahead())), "edges"),
-        "next-2": lambda: cut(B.with_prob(B.neighbour_edges(d, 2)), "edges"),
+        # kept as counts: a step makes the shares of the edges that it follows, in either direction
+        "next": lambda: ahead(),
+        "prev": lambda: B.reversed_edges(ahead()),
+        "next-2": lambda: cut(B.neighbour_edges(d, 2), "edges"),
         "tax-up": lambda: cut(B.with_prob(up()), "edges"),
         "tax-dn": lambda: cut(B.with_prob(B.reversed_edges(up())), "edges"),
     }
-    return Graph(lambda: cut(words(), "nodes"), edges, lambda: cut(P.parts(terms()), "parts"))
+    return Graph(lambda: cut(words(), "nodes"), edges, lambda: cut(P.parts(terms()), "parts"), words)
 
 
 def words_of(g: Graph) -> DataFrame:
