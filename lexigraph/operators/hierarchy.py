@@ -5,14 +5,21 @@ tokens of one sentence: terms are adjectives and nouns up to the last noun; verb
 with a verb form (or the modal before it) and take verbs, adverbs and `to`; connectors are
 a preposition or `to` with the articles around it.
 
+`phrases_of` and what is built on it match phrases inside a text's row.
+
 Cases: null and empty texts have no tokens; a null doc_id is a text of its own; repeated
-rows of one doc_id are one text to the window functions, so give each row its own id.
+rows of one doc_id are texts each to `phrases_of`, but one text to the window functions, so give each row its own id there.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lexigraph.functions import text as T
 from lexigraph.operators import build as B
@@ -69,6 +76,46 @@ def connectors(rows: DataFrame) -> DataFrame:
     return _grouped(own.withColumn("has", has).where("has = 1"), "conn", F.lit(True), F.lit(True))
 
 
+# Kinds of phrases as patterns over a text's tags, a letter each: J adjective, N noun, V verb, M modal, I preposition or `to`, R adverb, D article, E the end of a sentence, O other.
+PHRASES = {"term": "[JN]*N", "verb": "M?V(?:[VRT])*", "conn": "D*[IT]D*"}
+TAG_LETTER = """CASE WHEN tag = 'JJ' THEN 'J' WHEN tag IN ('NN', 'NNS', 'NNP') THEN 'N' WHEN tag IN ('VB', 'VBD', 'VBG') THEN 'V' WHEN tag = 'MD' THEN 'M'
+  WHEN tag = 'IN' THEN 'I' WHEN tag = 'TO' THEN 'T' WHEN tag = 'RB' THEN 'R' WHEN tag = 'DT' THEN 'D' ELSE 'O' END"""
+_RUNS = ArrayType(StructType([StructField("name", StringType()), *(StructField(c, IntegerType()) for c in ("sent", "lo", "hi")), StructField("text", StringType())]))
+
+
+def phrases_of(documents: DataFrame, *kinds: str) -> DataFrame:
+    """doc_id and phrases (array of name, sent, lo, hi, text) of each text: its tags are one string in which phrases are matched, and no token leaves its row."""
+    wanted = [(k, re.compile(PHRASES[k])) for k in kinds or PHRASES]
+
+    @F.pandas_udf(_RUNS)
+    def runs(letters: pd.Series, lines: pd.Series) -> pd.Series:
+        def of(t: str, line: str) -> list[dict]:
+            ends, words = [k for k, c in enumerate(t) if c == "E"], line.split("\n")
+            return [{"name": k, "sent": bisect_left(ends, m.start()), "lo": m.start() + 1, "hi": m.end(), "text": " ".join(words[m.start() : m.end()])} for k, p in wanted for m in p.finditer(t)]
+
+        return pd.Series([of(t, line) for t, line in zip(letters, lines, strict=True)], dtype=object)
+
+    rows = documents.select("doc_id", F.transform(T.words(), T.unmarked).alias("w"))
+    letters = F.expr(f"transform(w, x -> CASE WHEN x IN ('.', '?', '!') THEN 'E' ELSE {TAG_LETTER.replace('tag', '(' + T.part_of_speech_sql('x') + ')')} END)")
+    # no token holds a line feed
+    return rows.select("doc_id", runs(F.array_join(letters, ""), F.array_join("w", "\n")).alias("phrases"))
+
+
+def phrases_in(documents: DataFrame, *kinds: str) -> DataFrame:
+    """doc_id, name, sent, lo, hi, text: a row for each phrase; each row of documents is a text of its own."""
+    return phrases_of(documents, *kinds).select("doc_id", F.inline("phrases"))
+
+
+def phrase_counters(documents: DataFrame, kind: str) -> DataFrame:
+    """text, word_cnt, sent_cnt, text_cnt of one kind: distinct phrases are found inside a text, so that all three are plain sums."""
+    p = phrases_of(documents, kind).select("phrases")
+    part = lambda n, s, t, texts: F.struct(F.lit(n).alias("n"), F.lit(s).alias("s"), F.lit(t).alias("t"), texts.alias("texts"))
+    by_sentence = F.transform(F.array_distinct(F.transform("phrases", lambda r: F.struct(r["sent"].alias("sent"), r["text"].alias("text")))), lambda x: x["text"])
+    texts = F.transform("phrases", lambda r: r["text"])
+    each = p.select(F.inline(F.array(part(1, 0, 0, texts), part(0, 1, 0, by_sentence), part(0, 0, 1, F.array_distinct(texts))))).select("n", "s", "t", F.explode("texts").alias("text"))
+    return each.groupBy("text").agg(F.sum("n").alias("word_cnt"), F.sum("s").alias("sent_cnt"), F.sum("t").alias("text_cnt"))
+
+
 def phrase_nodes(phrases: DataFrame) -> DataFrame:
     """name, text, word_cnt, sent_cnt, text_cnt; distinct counts are sums over distinct rows made first, so that a frequent phrase isn't one task's."""
     each = phrases.groupBy("name", "text", "doc_id", "sent").agg(F.count("*").alias("n"))

@@ -528,32 +528,32 @@ NODE_COUNTS = "count(*) AS word_cnt, count(DISTINCT doc_id || '#' || sent) AS se
 
 @query(f"WITH {TOKENS}, {TAGGED}, {TERM_RUNS} SELECT text, {NODE_COUNTS} FROM te GROUP BY text")
 def term_counters(spark, sf):
-    return H.phrase_nodes(H.terms(H.tagged(docs(spark, sf)))).drop("name")
+    return H.phrase_counters(docs(spark, sf), "term")
 
 
 @query(f"WITH {TOKENS}, {TAGGED}, {VERB_RUNS} SELECT text, {NODE_COUNTS} FROM ve GROUP BY text")
 def verb_nodes(spark, sf):
-    return H.phrase_nodes(H.verbs(H.tagged(docs(spark, sf)))).drop("name")
+    return H.phrase_counters(docs(spark, sf), "verb")
 
 
 @query(f"WITH {TOKENS}, {TAGGED}, {CONN_RUNS} SELECT text, {NODE_COUNTS} FROM co GROUP BY text")
 def connector_nodes(spark, sf):
-    return H.phrase_nodes(H.connectors(H.tagged(docs(spark, sf)))).drop("name")
+    return H.phrase_counters(docs(spark, sf), "conn")
 
 
 @query(f"WITH {TOKENS}, {TAGGED}, {TERM_RUNS} SELECT doc_id, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi, text FROM te")
 def term_places(spark, sf):
-    return H.terms(H.tagged(docs(spark, sf))).select("doc_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "text")
+    return H.phrases_in(docs(spark, sf), "term").select("doc_id", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "text")
 
 
 @query(f"WITH {TOKENS}, {TAGGED}, {TERM_RUNS} SELECT text AS i, CAST(doc_id AS VARCHAR) AS j, count(*) AS count FROM te GROUP BY text, doc_id")
 def term_doc_edges(spark, sf):
-    return H.to_text_edges(H.terms(H.tagged(docs(spark, sf))))
+    return H.to_text_edges(H.phrases_in(docs(spark, sf), "term"))
 
 
 @query(f"WITH {TOKENS}, {TAGGED}, {VERB_RUNS} SELECT text AS i, doc_id || '#' || sent AS j, count(*) AS count FROM ve GROUP BY 1, 2")
 def verb_sentence_edges(spark, sf):
-    return H.to_sentence_edges(H.verbs(H.tagged(docs(spark, sf))))
+    return H.to_sentence_edges(H.phrases_in(docs(spark, sf), "verb"))
 
 
 @query(f"""WITH {TOKENS}, {TAGGED}, {TERM_RUNS}, w AS (SELECT doc_id, pos, word FROM tok),

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexigraph.functions import hashing
 from lexigraph.operators import build, nodeset
@@ -60,14 +61,17 @@ def test_registered_queries_match_sql(spark):
     from lexigraph import queries
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for t in ("documents", "pages", "nation", "orders", "customer", "benchmark", "labels"):
+    for t in ("documents", "pages", "nation", "orders", "lineitem", "customer", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("word_nodes", "traverse_next", "intersect_min", "term_counts", "language_confusion", "annotate_numval", "annotate_name", "phrase_edges", "abbreviation_links", "text_functions", "normalised_texts"):
+    empty = []
+    for name, sql in queries.SQL.items():
         rows = queries.QUERIES[name](spark, sf)
         cols = sorted(rows.columns)
         got = sorted(tuple(str(r[c]) for c in cols) for r in rows.collect())
-        want = sorted(tuple(str(x) for x in r) for r in con.execute(f"SELECT {', '.join(cols)} FROM ({queries.SQL[name]})").fetchall())
+        want = sorted(tuple(str(x) for x in r) for r in con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
         assert got == want, name
+        empty += [name] * (not got)
+    assert not empty
 
 
 def test_terms_and_taxonomy(spark):
@@ -209,3 +213,19 @@ def test_saved_graph(spark, tmp_path):
         got_nodes, got = graph_io.load(spark, f"{tmp_path}/{kind}", ["next"], kind)
         assert sorted(map(tuple, got_nodes.collect())) == sorted(map(tuple, nodes.select(got_nodes.columns).collect()))
         assert sorted((r.i, r.j, r["count"], round(r.prob, 9)) for r in got["next"].collect()) == sorted((r.i, r.j, r["count"], round(r.prob, 9)) for r in edges.collect())
+
+
+def test_phrases_inside_rows_equal_those_by_windows(spark):
+    from collections import Counter
+
+    from lexigraph.operators import hierarchy as H
+
+    texts = [(1, "The big old house of the city must have been seen. It is going to the big old house! no"), (2, None), (3, ""), (4, "by the of a to an and"), (5, "Dogs ran quickly. Dogs would bark"), (6, "house " * 5000 + ".")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").withColumn("name", F.lit("x"))
+    tagged = H.tagged(rows)
+    for kind, by in (("term", H.terms), ("verb", H.verbs), ("conn", H.connectors)):
+        want = Counter((r.doc_id, r.sent, r.lo, r.hi, r.text) for r in by(tagged).collect())
+        assert Counter((r.doc_id, r.sent, r.lo, r.hi, r.text) for r in H.phrases_in(rows, kind).collect()) == want and want
+        counts = {(r.text, r.word_cnt, r.sent_cnt, r.text_cnt) for r in H.phrase_nodes(by(tagged)).collect()}
+        assert {(r.text, r.word_cnt, r.sent_cnt, r.text_cnt) for r in H.phrase_counters(rows, kind).collect()} == counts
+    assert H.phrase_counters(rows.where("false"), "term").count() == 0
