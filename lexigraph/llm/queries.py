@@ -111,6 +111,52 @@ OP8_SQL = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coale
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (reply), '')) AS loss_sha256, CAST(sum(CASE WHEN reply OR last THEN stop ELSE 0 END) AS BIGINT) AS formatted_chars, count(*) FILTER (reply OR last) AS n_examples FROM p GROUP BY conv_id"""
 
 
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
+OP11_SQL = f"""WITH RECURSIVE {_CRC_TABLE},
+  runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(translate(coalesce(text, ''), '{spelling.UPPER}', '{spelling.LOWER}'), '{spelling.RUN}')) AS run FROM documents),
+  each AS (SELECT d, run, count(*) AS n, hex(encode(d || ':' || run)) AS hx FROM runs WHERE length(run) >= 7 GROUP BY d, run),
+  sums AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(hx) // 2), lambda k: CAST('0x' || substr(hx, CAST(2 * k + 1 AS BIGINT), 2) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM each, crc),
+  slip AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums),
+  v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slip WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+  cut AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v), gone AS (SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest FROM cut),
+  near AS (SELECT a.word, b.word AS other, b.n AS m FROM gone a JOIN gone b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word UNION SELECT g.word, v.word, v.n FROM gone g JOIN v ON v.word = g.rest UNION SELECT v.word, g.word, g.n FROM gone g JOIN v ON v.word = g.rest),
+  best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS form, max(m) AS m FROM near GROUP BY word),
+  f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 10 * v.n THEN b.form END AS form, CASE WHEN b.m >= 10 * v.n THEN b.m END AS form_n FROM v LEFT JOIN best b USING (word)),
+  way AS (SELECT word, word AS top, 0 AS step FROM f UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN f ON f.word = way.top WHERE f.form IS NOT NULL)
+  SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT word, arg_max(top, step) AS root FROM way GROUP BY word) w USING (word)"""
+
+
+def _manifest_sql(levels: int = 5, over: int = 3) -> str:
+    """Trees of up to 16 ** levels rows a source and 16 ** over sources, each level a step; then each row's way up, with its siblings."""
+    value = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(value.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+    steps = [
+        _CRC_TABLE,
+        f"d AS (SELECT row_number() OVER () AS r, doc_id, source, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} END AS changed FROM documents, crc)",
+        "l0 AS (SELECT r, source, leaf AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d)",
+        "w0 AS (SELECT d.r, l0.source, l0.i, l0.n, '' AS proof, coalesce(d.changed, d.leaf) AS v FROM d JOIN l0 USING (r))",
+    ]
+
+    def up(tree: str, way: str, k: int, out: str) -> list[str]:
+        return [
+            f"{tree}{k + 1} AS (SELECT source, i // 16 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, (n + 15) // 16 AS n FROM {tree}{k} WHERE n > 1 GROUP BY source, i // 16, n UNION ALL SELECT source, i, h, n FROM {tree}{k} WHERE n <= 1)",
+            f"{tree}g{k} AS (SELECT source, i // 16 AS g, list(h ORDER BY i) AS hs FROM {tree}{k} WHERE n > 1 GROUP BY source, i // 16)",
+            f"{out} AS (SELECT r, w.source, CASE WHEN n > 1 THEN i // 16 ELSE i END AS i, (n + 15) // 16 AS n, proof || coalesce(array_to_string(hs[1:i % 16] || hs[i % 16 + 2:], ''), '') AS proof, CASE WHEN n > 1 THEN sha256(array_to_string(hs[1:i % 16] || [v] || hs[i % 16 + 2:], '')) ELSE v END AS v FROM {way}{k} w LEFT JOIN {tree}g{k} g ON g.source IS NOT DISTINCT FROM w.source AND g.g = w.i // 16)",
+        ]
+
+    for k in range(levels):
+        steps += up("l", "w", k, f"w{k + 1}")
+    steps += [
+        f"top AS (SELECT source AS of, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM l{levels})",
+        "s0 AS (SELECT '' AS source, h, i, n FROM top)",
+        f"x0 AS (SELECT r, '' AS source, top.i, top.n, proof, v FROM w{levels} w JOIN top ON top.of IS NOT DISTINCT FROM w.source)",
+    ]
+    for k in range(over):
+        steps += up("s", "x", k, f"x{k + 1}")
+    return f"WITH {', '.join(steps)} SELECT d.doc_id, d.leaf, top.h AS subroot, s.h AS root, sha256(x.proof) AS proof_sha256, x.v AS folded_root, x.v = s.h AS verified FROM d JOIN x{over} x USING (r) JOIN top ON top.of IS NOT DISTINCT FROM d.source, s{over} s"
+
+
 def oracle_sql() -> dict[str, str]:
     """The others have no SQL; tests hold them against brute force, the library or held-out rows."""
-    return {"op7_top_k": OP7_SQL, "op8_chat": OP8_SQL}
+    return {"op7_top_k": OP7_SQL, "op8_chat": OP8_SQL, "op11_spelling": OP11_SQL, "op13_manifest": _manifest_sql()}
