@@ -389,7 +389,7 @@ def test_queries_with_sql(spark):
     from lexigraph.llm import queries
 
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for name in ("embeddings", "conversations"):
+    for name in ("embeddings", "conversations", "documents"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     for name, sql in queries.oracle_sql().items():
         rows = queries.queries()[name](spark, sf)
