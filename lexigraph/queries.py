@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexigraph.functions import confusables as K
 from lexigraph.functions import text as T
 from lexigraph.operators import annotate as A
+from lexigraph.operators import bibliography as Y
 from lexigraph.operators import build as B
 from lexigraph.operators import classify as C
 from lexigraph.operators import expand as X
@@ -865,6 +868,103 @@ def identity_texts(spark, sf):
     return found.where("path is not null").select("name", "text", "word_cnt", "text_cnt")
 
 
+# Characters that look alike: some letters, blanks and dashes of the documents are put as others, and come back.
+_ALIKE = ("ae -", "ае\u00a0–")
+_CONFUSED = {k: v for k, v in K.whole().items() if k != "\0"}
+_FROM, _TO = (q("".join(x)) for x in (_CONFUSED, _CONFUSED.values()))
+
+
+@query(f"""WITH c AS (SELECT doc_id, translate(text, '{_ALIKE[0]}', '{_ALIKE[1]}') AS t FROM documents), n AS (SELECT doc_id, length(t) - length(translate(t, '{_FROM}', '')) AS changed, md5(translate(t, '{_FROM}', '{_TO}')) AS normal FROM c)
+  SELECT doc_id, CAST(changed AS BIGINT) AS changed, normal FROM n WHERE changed > 0""")
+def confusable_characters(spark, sf):
+    """How many characters of each text look like others, and its normal form."""
+    rows = docs(spark, sf).select("doc_id", F.translate("text", *_ALIKE).alias("text"))
+    changed = K.changed(rows).groupBy("doc_id").agg(F.count("*").alias("changed"))
+    return rows.select("doc_id", F.md5(K.normalised()).alias("normal")).join(changed, "doc_id").select("doc_id", "changed", "normal")
+
+
+# References of four kinds, made of orders: articles, papers of conferences, books and web pages; one row in nine is another text.
+_FAMILY = "CASE c % 5 WHEN 0 THEN 'Maier' WHEN 1 THEN 'de la Tour' WHEN 2 THEN 'Ola' WHEN 3 THEN 'Sand-Weiss' ELSE 'Tarn' END"
+_REFERENCE = """CASE k % 4 WHEN 0 THEN '[' || k || '] A. ' || fam || ' and B. Rieu, Parts of order ' || n || ', Trade Letters ' || v || ', ' || w || ' (' || y || ').'
+  WHEN 1 THEN '[' || k || '] ' || fam || ', C. D., Ways of ' || n || ' lines, Proceedings of Trade ' || v || ', pp. ' || v || '-' || (v + 9) || ', ' || y || ', doi:10.1000/' || k || '.'
+  WHEN 2 THEN n || '. ' || fam || ', K. "The ways of ' || n || ' things", North Press, ISBN 978-3-16-' || (w + 100000) || '-0, ' || y || ', https://a.example/' || k
+  ELSE 'Web page of ' || fam || ', Shop News, seen on demand, www.shop.example/' || k END"""
+_ORDERS = "k, y, k % 1700 + 1 AS n, c % 90 + 1 AS v, k % 900 + 1 AS w, {fam} AS fam, CASE WHEN k % 9 = 0 THEN 'text' ELSE 'reference' END AS label"
+_FIELDS = {
+    0: {"reference-number": "k", "authors": "'A. ' || fam || ' and B. Rieu'", "title": "'Parts of order ' || n", "journal": "'Trade Letters'", "volume": "v || ', ' || w", "date": "y"},
+    1: {"reference-number": "k", "authors": "fam || ', C. D'", "title": "'Ways of ' || n || ' lines'", "conference": "'Proceedings of Trade ' || v", "pages": "'pp. ' || v || '-' || (v + 9)", "date": "y", "doi": "'10.1000/' || k"},
+    2: {"reference-number": "n", "authors": "fam || ', K'", "title": "'\"The ways of ' || n || ' things\"'", "publisher": "'North Press'", "isbn": "'ISBN 978-3-16-' || (w + 100000) || '-0'", "date": "y", "url": "'https://a.example/' || k"},
+    3: {"title": "'Web page of ' || fam", "journal": "'Shop News'", "note": "'seen on demand'", "url": "'www.shop.example/' || k"},
+}
+_EACH = " UNION ALL ".join(f"SELECT k AS doc_id, '{label}' AS label, CAST({x} AS VARCHAR) AS name FROM r WHERE k % 4 = {kind} AND label = 'reference'" for kind, own in _FIELDS.items() for label, x in own.items())
+
+
+@query(f"WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS c, year(o_orderdate) AS y FROM orders), r AS (SELECT {_ORDERS.format(fam=_FAMILY)} FROM o) {_EACH}")
+def reference_fields(spark, sf):
+    """The fields of references; its SQL states what each was made of."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("CAST(o_orderkey AS BIGINT) AS k", "CAST(o_custkey AS BIGINT) AS c", "year(o_orderdate) AS y")
+    texts = o.selectExpr(*(x.strip() for x in re.split(r", (?=k %|y|c %|CASE c|CASE WHEN)", _ORDERS.format(fam=_FAMILY)))).selectExpr("k AS doc_id", "label", f"{_REFERENCE} AS text")
+    return Y.references(T.spread(texts)).select("doc_id", "label", "name")
+
+
+# Documents of texts in order: a customer's orders, seven a page, headings and what is between them by the order's key.
+_KIND = '(k * 7 + "at") % 9'
+PAPERS_SQL = f"""o AS (SELECT CAST(o_custkey AS BIGINT) AS doc_id, CAST(o_orderkey AS BIGINT) AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS "at" FROM orders),
+  tx AS (SELECT doc_id, k, "at", "at" // 7 + 1 AS page, {_KIND} AS kind FROM o),
+  x AS (SELECT *, CASE kind WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Abs tract: we sell ' || k WHEN 2 THEN '1 Intro duction' WHEN 3 THEN 'by Ada B. Lovelace, Hans C. Maier' WHEN 4 THEN 'by Ada B. Lovelace, Hans C. Maier' WHEN 5 THEN 'the Institute of Trade' ELSE 'line ' || k END AS text FROM tx),
+  near AS (SELECT * FROM x WHERE page < 2),
+  hd AS (SELECT doc_id, max(CASE WHEN kind IN (0, 1) THEN "at" END) AS ab, max(CASE WHEN kind = 2 THEN "at" END) AS intro FROM near GROUP BY doc_id HAVING ab IS NOT NULL OR intro IS NOT NULL),
+  bd AS (SELECT h.doc_id, ab, intro, coalesce(ab, intro) AS last, coalesce((SELECT min("at") FROM x WHERE x.doc_id = h.doc_id AND kind IN (3, 4, 5) AND "at" >= 1 AND "at" < coalesce(ab, intro)), 0) - 1 AS title FROM hd h),
+  al AS (SELECT x.*, ab, intro, last, title FROM x JOIN bd USING (doc_id))"""
+
+
+def papers(spark, sf) -> DataFrame:
+    o = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("CAST(o_custkey AS BIGINT) AS doc_id", "CAST(o_orderkey AS BIGINT) AS k")
+    x = o.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")) - 1).withColumn("kind", (F.col("k") * 7 + F.col("at")) % 9)
+    text = F.expr("CASE kind WHEN 0 THEN 'Abstract' WHEN 1 THEN 'Abs tract: we sell ' || k WHEN 2 THEN '1 Intro duction' WHEN 3 THEN 'by Ada B. Lovelace, Hans C. Maier' WHEN 4 THEN 'by Ada B. Lovelace, Hans C. Maier' WHEN 5 THEN 'the Institute of Trade' ELSE 'line ' || k END")
+    return x.select("doc_id", "k", "at", (F.floor(F.col("at") / 7) + 1).alias("page"), text.alias("text"), F.when(F.col("kind").isin(3, 4, 5), "meta-data").otherwise("text").alias("label"))
+
+
+@query(f"""WITH {PAPERS_SQL}
+  SELECT doc_id, 'title' AS field, "at", text AS name FROM al WHERE "at" = title
+  UNION ALL SELECT doc_id, 'author', "at", unnest(['Ada B. Lovelace', 'Hans C. Maier']) FROM al WHERE kind IN (3, 4) AND "at" > title AND "at" < last
+  UNION ALL SELECT doc_id, 'affiliation', "at", 'Institute of Trade' FROM al WHERE kind = 5 AND "at" > title AND "at" < last
+  UNION ALL SELECT doc_id, 'abstract', "at", text FROM al WHERE ab IS NOT NULL AND ((intro IS NOT NULL AND "at" >= ab AND "at" < intro) OR (intro IS NULL AND ("at" = ab OR ("at" = ab + 1 AND EXISTS (SELECT 1 FROM x h WHERE h.doc_id = al.doc_id AND h."at" = ab AND h.kind = 0)))))""")
+def metadata_fields(spark, sf):
+    """Titles, authors, affiliations and abstracts of documents."""
+    texts = cut(papers(spark, sf), "papers")
+    found = A.annotate(texts.select(F.col("k").alias("doc_id"), "text"), ["name"]).select(F.col("doc_id").alias("k"), "subtype", "name")
+    return Y.metadata(texts, found.join(texts.select("k", "doc_id", "at"), "k")).select("doc_id", "field", F.col("at").cast("long").alias("at"), "name")
+
+
+# Texts where names and terms compete for the place before a bracket: both at the same tokens, a name inside a term, a term alone, and two brackets without abbreviation.
+_SHORT = "'U' || chr(CAST(65 + k % 26 AS INT)) || 'C'"
+_SPEECH = f"""CASE k % 5 WHEN 0 THEN 'See the Unit Cost (' || {_SHORT} || ') of it.' WHEN 1 THEN 'See the big Unit Cost (' || {_SHORT} || ') of it.' WHEN 2 THEN 'See the big old house (' || {_SHORT} || ') of it.'
+  WHEN 3 THEN 'See the big old house (house) of it.' ELSE 'See the Unit Cost (' || k || ') of it.' END"""
+_BOTH = f"ends AS (SELECT k AS doc_id, k % 5 AS kind, CASE k % 5 WHEN 2 THEN 'big old house' ELSE 'Unit Cost' END AS long, {_SHORT} AS short FROM (SELECT CAST(o_orderkey AS BIGINT) AS k FROM orders) WHERE k % 5 < 3)"
+
+
+def speeches(spark, sf) -> DataFrame:
+    return T.spread(spark.read.parquet(f"{sf}/orders.parquet").selectExpr("CAST(o_orderkey AS BIGINT) AS k").selectExpr("k AS doc_id", f"{_SPEECH} AS text"))
+
+
+@query(f"WITH {_BOTH} SELECT doc_id, 'to-abbreviation' AS name, long AS i, short AS j FROM ends UNION ALL SELECT doc_id, 'from-abbreviation', short, long FROM ends")
+def abbreviation_relations(spark, sf):
+    """Names go before terms."""
+    d = speeches(spark, sf)
+    return R.abbreviations(R.mentions(d), H.phrases_in(d, "term")).select("doc_id", "name", F.col("i_text").alias("i"), F.col("j_text").alias("j"))
+
+
+@query(f"""WITH {_BOTH}, r AS (SELECT 'to-abbreviation' AS name, long AS i, short AS j FROM ends WHERE kind <> 1 UNION ALL SELECT 'from-abbreviation', short, long FROM ends WHERE kind <> 1)
+  SELECT CASE name WHEN 'from-abbreviation' THEN 256 ELSE 257 END AS flavour, i, j, count(*) AS count FROM r GROUP BY 1, 2, 3""")
+def relation_edges(spark, sf):
+    """Edges between the terms at the very places of relations; a name that is part of a longer term has none."""
+    d = speeches(spark, sf)
+    terms = H.phrases_in(d, "term")
+    found = cut(R.abbreviations(R.mentions(d), terms), "relations")
+    return R.relation_edges(found, terms).join(F.broadcast(R.flavours(found)), "name").select("flavour", "i", "j", "count")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
