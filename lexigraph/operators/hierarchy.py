@@ -101,6 +101,37 @@ def phrases_of(documents: DataFrame, *kinds: str) -> DataFrame:
     return rows.select("doc_id", runs(F.array_join(letters, ""), F.array_join("w", "\n")).alias("phrases"))
 
 
+# Enumerations as patterns over letters: J adjective, N, S, P noun (singular, plural, proper), C conjunction, a comma, E the end of a sentence, O other.
+# A list is taken whole, and skipped whole where it doesn't go on: what begins later in it wouldn't either.
+def _listed(x: str, last: str) -> re.Pattern:
+    many = f"{x}++(?:,{x}++)*+"
+    return re.compile(f"(?P<x>{many},?C,?{last})|{many}")
+
+
+ENUMERATIONS = {"enum-term-mark-1": _listed("J", "J++[NS]"), **{f"enum-term-mark-{k}": _listed(x, f"{x}++") for k, x in enumerate("NSP", 2)}}
+ENUM_LETTER = """CASE WHEN tag = 'JJ' THEN 'J' WHEN tag = 'NN' THEN 'N' WHEN tag = 'NNS' THEN 'S' WHEN tag = 'NNP' THEN 'P' WHEN tag = 'CC' THEN 'C' ELSE 'O' END"""
+
+
+def enumerations(documents: DataFrame) -> DataFrame:
+    """doc_id, name, sent, lo, hi, text, tags: listed adjectives before a noun, and listed nouns of one kind, joined by commas and a conjunction.
+
+    Each kind looks at the whole text, so kinds may overlap.  Each row of documents is a text of its own; null and empty texts have no rows.
+    """
+
+    @F.pandas_udf(ArrayType(StructType([*_RUNS.elementType.fields, StructField("tags", StringType())])))
+    def runs(letters: pd.Series, lines: pd.Series) -> pd.Series:
+        def of(t: str, line: str) -> list[dict]:
+            ends, words = [k for k, c in enumerate(t) if c == "E"], line.split("\n")
+            hits = ((k, *m.span("x")) for k, p in ENUMERATIONS.items() for m in p.finditer(t) if m.group("x"))
+            return [{"name": k, "sent": bisect_left(ends, s), "lo": s + 1, "hi": e, "text": " ".join(words[s:e]), "tags": t[s:e]} for k, s, e in hits]
+
+        return pd.Series([of(t, line) for t, line in zip(letters, lines, strict=True)], dtype=object)
+
+    rows = documents.select("doc_id", F.transform(T.words(), T.unmarked).alias("w"))
+    letters = F.expr(f"transform(w, x -> CASE WHEN x IN ('.', '?', '!') THEN 'E' WHEN x = ',' THEN ',' ELSE {ENUM_LETTER.replace('tag', '(' + T.part_of_speech_sql('x') + ')')} END)")
+    return rows.select("doc_id", F.inline(runs(F.array_join(letters, ""), F.array_join("w", "\n"))))
+
+
 def phrases_in(documents: DataFrame, *kinds: str) -> DataFrame:
     """doc_id, name, sent, lo, hi, text: a row for each phrase; each row of documents is a text of its own."""
     return phrases_of(documents, *kinds).select("doc_id", F.inline("phrases"))

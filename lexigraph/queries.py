@@ -965,6 +965,25 @@ def relation_edges(spark, sf):
     return R.relation_edges(found, terms).join(F.broadcast(R.flavours(found)), "name").select("flavour", "i", "j", "count")
 
 
+_LISTS = {"enum-term-mark-1": "(?:J+,)*J+,?C,?J+[NS]"} | {f"enum-term-mark-{k}": f"(?:{x}+,)*{x}+,?C,?{x}+" for k, x in enumerate("NSP", 2)}
+# the documents' own words, with an enumeration behind some of them
+_LISTING = {" la ": " la thermal, active or famous houses ", " of ": " of Ada, Hans and Eva ", " in ": " in house and garden, or tree ", " de ": " de famous and "}
+LISTED_SQL = "text"
+for _word, _list in _LISTING.items():
+    LISTED_SQL = f"replace({LISTED_SQL}, '{_word}', '{_list}')"
+LISTED_TOKENS = TOKENS.replace("FROM documents", f"FROM (SELECT doc_id, {LISTED_SQL} AS text FROM documents)")
+
+
+@query(f"""WITH {LISTED_TOKENS}, tg AS (SELECT doc_id, pos, plain, {T.part_of_speech_sql()} AS tag FROM tok),
+  l AS (SELECT doc_id, string_agg(CASE WHEN plain IN ('.', '?', '!') THEN 'E' WHEN plain = ',' THEN ',' ELSE {H.ENUM_LETTER} END, '' ORDER BY pos) AS t FROM tg GROUP BY doc_id),
+  h AS ({" UNION ALL ".join(f"SELECT doc_id, '{k}' AS name, unnest(regexp_extract_all(t, '{p}', 0)) AS tags FROM l" for k, p in _LISTS.items())})
+  SELECT doc_id, name, tags, count(*) AS n FROM h GROUP BY doc_id, name, tags""")
+def enumerated_terms(spark, sf):
+    """Enumerations in documents, by kind and by their tags."""
+    rows = docs(spark, sf).select("doc_id", F.expr(LISTED_SQL).alias("text"))
+    return H.enumerations(rows).groupBy("doc_id", "name", "tags").agg(F.count("*").alias("n"))
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 

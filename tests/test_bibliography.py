@@ -1,4 +1,4 @@
-"""References, metadata, characters that look alike, abbreviations and edges of relations."""
+"""References, metadata, characters that look alike, abbreviations, edges of relations and enumerations."""
 
 import time
 import unicodedata
@@ -135,3 +135,30 @@ def test_abbreviations_and_relation_edges(spark):
     assert edges == {("to-abbreviation", "Unit Cost", "UC"): 1, ("to-abbreviation", "big old house", "HS"): 1, ("from-abbreviation", "UC", "Unit Cost"): 1, ("from-abbreviation", "HS", "big old house"): 1}
     assert {(r.name, r.flavour) for r in R.flavours(found).collect()} == {("from-abbreviation", 256), ("to-abbreviation", 257)}
     assert R.relation_edges(found.where("false"), terms).count() == R.mentions(rows.where("false")).count() == R.flavours(found.where("false")).count() == 0
+
+
+def test_enumerations_by_plain_patterns():
+    """The patterns that skip lists find what plain ones find, in time in proportion to the text."""
+    import random
+    import re
+
+    plain = {"enum-term-mark-1": "(?:J+,)*J+,?C,?J+[NS]"} | {f"enum-term-mark-{k}": f"(?:{x}+,)*{x}+,?C,?{x}+" for k, x in enumerate("NSP", 2)}
+    rng = random.Random(7)
+    for _ in range(3_000):
+        t = "".join(rng.choices("JNSPC,EO", (6, 6, 3, 3, 5, 5, 1, 1), k=rng.randint(0, 60)))
+        for kind, own in H.ENUMERATIONS.items():
+            assert [m.span("x") for m in own.finditer(t) if m.group("x")] == [m.span() for m in re.finditer(plain[kind], t)], (kind, t)
+    start = time.time()
+    for t in ("J" * 300_000, "J," * 150_000, "JC" * 150_000, "N,NC," * 60_000):
+        assert all(sum(1 for _ in p.finditer(t)) < 200_000 for p in H.ENUMERATIONS.values())
+    assert time.time() - start < 20
+
+
+def test_enumerations_rows(spark):
+    texts = [(1, "The thermal, active or famous house. See Ada, Hans and Eva"), (2, None), (3, ""), (None, "house and garden"), (4, "house and garden"), (4, "house and garden"), (5, "house, garden"), (6, "house, " * 20_000 + "and garden")]
+    rows = spark.createDataFrame([(*t, "x") for t in texts], "doc_id long, text string, name string")
+    found = H.enumerations(rows)
+    got = sorted((str(r.doc_id), r.name, r.sent, r.lo, r.hi, r.text) for r in found.where("doc_id is null or doc_id < 6").collect())
+    assert got == [("1", "enum-term-mark-1", 0, 2, 7, "thermal , active or famous house"), ("1", "enum-term-mark-4", 1, 9, 14, "See Ada , Hans and Eva"), *[("4", "enum-term-mark-2", 0, 1, 3, "house and garden")] * 2, ("None", "enum-term-mark-2", 0, 1, 3, "house and garden")]
+    assert [(r.lo, r.hi) for r in found.where("doc_id = 6").collect()] == [(1, 40_002)]
+    assert H.enumerations(rows.where("false")).count() == 0
