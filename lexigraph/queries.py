@@ -926,7 +926,7 @@ def papers(spark, sf) -> DataFrame:
 
 
 @query(f"""WITH {PAPERS_SQL}
-  SELECT doc_id, 'title' AS field, "at", text AS name FROM al WHERE "at" = title
+  SELECT doc_id, 'title' AS field, "at" AS place, text AS name FROM al WHERE "at" = title
   UNION ALL SELECT doc_id, 'author', "at", unnest(['Ada B. Lovelace', 'Hans C. Maier']) FROM al WHERE kind IN (3, 4) AND "at" > title AND "at" < last
   UNION ALL SELECT doc_id, 'affiliation', "at", 'Institute of Trade' FROM al WHERE kind = 5 AND "at" > title AND "at" < last
   UNION ALL SELECT doc_id, 'abstract', "at", text FROM al WHERE ab IS NOT NULL AND ((intro IS NOT NULL AND "at" >= ab AND "at" < intro) OR (intro IS NULL AND ("at" = ab OR ("at" = ab + 1 AND EXISTS (SELECT 1 FROM x h WHERE h.doc_id = al.doc_id AND h."at" = ab AND h.kind = 0)))))""")
@@ -934,7 +934,7 @@ def metadata_fields(spark, sf):
     """Titles, authors, affiliations and abstracts of documents."""
     texts = cut(papers(spark, sf), "papers")
     found = A.annotate(texts.select(F.col("k").alias("doc_id"), "text"), ["name"]).select(F.col("doc_id").alias("k"), "subtype", "name")
-    return Y.metadata(texts, found.join(texts.select("k", "doc_id", "at"), "k")).select("doc_id", "field", F.col("at").cast("long").alias("at"), "name")
+    return Y.metadata(texts, found.join(texts.select("k", "doc_id", "at"), "k")).select("doc_id", "field", F.col("at").cast("long").alias("place"), "name")
 
 
 # Texts where names and terms compete for the place before a bracket: both at the same tokens, a name inside a term, a term alone, and two brackets without abbreviation.
