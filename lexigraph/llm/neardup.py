@@ -7,16 +7,20 @@ node, and a node of at most `leaf` documents is compared exhaustively, on full
 sets.  A pair of similarity s misses all root nodes with probability
 (1 - s) ** (trees * branch), far below one in a billion at 0.8.
 
-A node that is still large at `depth` holds documents that agree in much.  It is
-dealt to blocks of about `leaf` documents, and the node's `leaders` (its first
-documents by hash, and those with the most frequent minima) are compared with
-every block.  That links most of what is alike, but not all, so the
-nodes whose members then are in several components are gone through again: they
-branch on while that makes fewer pairs, and what stays is compared in all pairs
-of blocks but those inside the node's largest component.  So every two members
-of a node are compared there or in nodes below it, or are linked already.
-Near members share most of their large nodes, so nodes with the same largest component
-are joined into one where that moves fewer rows: a pair meets once, not once a root.
+A large root node holds documents that agree in something.  At first each
+document goes to two of its large nodes alone (its largest and its smallest),
+which are dealt to blocks of about `leaf` documents, and the node's `leaders` (the
+first documents by hash, and those with the most frequent minima) are compared
+with every block.  That links most of what is alike, but not all, so all large
+root nodes whose members then are in several components are gone through.  Near
+members share most of their nodes: what isn't in the largest component of its
+nodes is compared with that component, whole and once, where this moves no
+more rows than the nodes have.  The other nodes branch on while that makes
+fewer pairs, and what stays is compared in all pairs of blocks but those inside
+the node's largest component; nodes with the same largest component are joined
+into one where that moves fewer rows.  So every two members of a large root node
+are compared there, are linked already, or branch on; a pair of similarity 0.8 is
+in none of a root's branches (or not in that root) with probability 0.25 at most.
 
 Documents with one set are one representative; leaves with the same members,
 as other trees find them, are compared once; a leaf's links leave it as a star.
@@ -98,14 +102,16 @@ def sketches(documents: DataFrame, words: int) -> DataFrame:
     return documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, mins array<long>")
 
 
-def pick(k: int) -> Column:
-    """The k-th coordinate by which a node branches."""
-    return F.pmod(F.xxhash64("node", F.lit(k)), F.lit(COORDINATES)).cast("int") + 1
+def roots_of(trees: int, branch: int) -> Column:
+    """The root nodes of a row's mins."""
+    return F.transform(F.sequence(F.lit(0), F.lit(trees * branch - 1)), lambda i: F.xxhash64(i, F.element_at("mins", i + 1)))
 
 
-def branches() -> Column:
-    """The nodes below a row's node that its minima choose."""
-    return F.array(*(F.xxhash64("node", pick(k), F.element_at("mins", pick(k))) for k in (1, 2)))
+def branches(nodes: str) -> Column:
+    """parent, node: the nodes below each of a row's nodes that its minima choose."""
+    pick = lambda node, k: F.pmod(F.xxhash64(node, F.lit(k)), F.lit(COORDINATES)).cast("int") + 1
+    below = lambda node: F.array(*(F.struct(node.alias("parent"), F.xxhash64(node, pick(node, k), F.element_at("mins", pick(node, k))).alias("node")) for k in (1, 2)))
+    return F.array_distinct(F.flatten(F.transform(nodes, below)))
 
 
 def members_of(rows: DataFrame) -> DataFrame:
@@ -114,46 +120,46 @@ def members_of(rows: DataFrame) -> DataFrame:
     return members.select("members").distinct().select(F.xxhash64("members").alias("leaf"), "members")
 
 
-def leaves(sets: DataFrame, trees: int, branch: int, leaf: int, depth: int, leaders: int) -> tuple[DataFrame, DataFrame]:
-    """The groups of representatives to compare first, and node, rep of the nodes still large.  sets: rep, mins."""
-    roots = F.transform(F.sequence(F.lit(0), F.lit(trees * branch - 1)), lambda i: F.xxhash64(i, F.element_at("mins", i + 1)))
+def leaves(sets: DataFrame, roots: Column, leaf: int, leaders: int) -> DataFrame:
+    """The groups of representatives to compare first.  sets: rep, mins."""
     level = cut(sets.select("rep", F.explode(roots).alias("node")), "nodes")
-    found = []
-    for at in range(depth):
-        sizes = level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        met = cut(level.join(sizes, "node"), "nodes")
-        if at == 0:  # how frequent the minima of a representative are
-            heat = met.groupBy("rep").agg(F.sum(F.floor(4 * F.log2("size"))).alias("heat"))
-        found.append(met.where(F.col("size") <= leaf).select("node", "rep"))
-        large = met.where(F.col("size") > leaf)
-        if at + 1 < depth:
-            level = large.join(sets, "rep").select("rep", F.explode(branches()).alias("node")).distinct()
+    met = cut(level.join(level.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node"), "nodes")
+    # of its large nodes a representative goes to its largest and its smallest one; rest() sees to the others
+    at = F.struct("size", "node")
+    each = met.groupBy("rep").agg(F.sum(F.floor(4 * F.log2("size"))).alias("heat"), F.max(F.when(F.col("size") > leaf, at)).alias("most"), F.min(F.when(F.col("size") > leaf, at)).alias("least"))
+    chosen = each.where("most is not null").select("rep", "heat", F.explode(F.array_distinct(F.array("most.node", "least.node"))).alias("node"))
+    chosen = cut(chosen, "chosen")
+    parts = chosen.groupBy("node").agg(F.ceil(F.count("*") / leaf).cast("int").alias("parts"))
     place = F.xxhash64("node", "rep")
-    parts = F.ceil(F.col("size") / leaf).cast("int")
-    first = lambda rows, *order: rows.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(*order))).where(F.col("r") <= leaders).select("node", "rep", "size")
-    heads = first(large, place, "rep").unionByName(first(large.join(heat, "rep"), F.desc("heat"), place, "rep")).distinct().withColumn("parts", parts)
+    first = lambda *order: chosen.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(*order))).where(F.col("r") <= leaders).select("node", "rep")
+    heads = first(place, "rep").unionByName(first(F.desc("heat"), place, "rep")).distinct().join(parts, "node")
     block = lambda part: F.xxhash64("node", part, F.lit("block"))
-    found.append(large.select(block(F.pmod(F.xxhash64("rep", "node"), parts).cast("int")).alias("node"), "rep"))
-    found.append(heads.select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(block(F.col("part")).alias("node"), "rep"))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    return members_of(rows), large.select("node", "rep")
+    rows = met.where(F.col("size") <= leaf).select("node", "rep")
+    rows = rows.unionByName(chosen.join(parts, "node").select(block(F.pmod(F.xxhash64("rep", "node"), "parts").cast("int")).alias("node"), "rep"))
+    rows = rows.unionByName(heads.select("node", "rep", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(block(F.col("part")).alias("node"), "rep"))
+    return members_of(rows)
 
 
-def rest(large: DataFrame, parts: DataFrame, sets: DataFrame, block: int, further: int = 6) -> DataFrame | None:
+def rest(parts: DataFrame, sets: DataFrame, roots: Column, leaf: int, block: int, further: int = 7) -> DataFrame | None:
     """Groups where any two members of a large node meet that are in different components, or below it; None without such nodes.
 
-    large: node, rep; parts: node, component of representatives linked so far.
+    parts: node, component of representatives linked so far; sets: rep, mins.
     """
     label = parts.select(F.col("node").alias("rep"), "component")
+    # one row of each representative is joined with its component, and only counts leave the rows of a node
+    named = sets.join(label, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), roots.alias("nodes"))
+    named = cut(named, "named")
+    rows = named.select("rep", "component", F.explode("nodes").alias("node"))
 
-    def apart(level: DataFrame) -> DataFrame:
-        """Rows of the nodes with several components, with the largest (main), its size and the node's."""
-        named = level.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        each = named.groupBy("node", "component").agg(F.count("*").alias("n"))
-        main = each.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).where("top.n < size")
-        return cut(named.join(main.select("node", "size", F.col("top.n").alias("main_n"), F.col("top.component").alias("main")), "node"), "apart")
+    def mixed(rows: DataFrame) -> DataFrame:
+        """node, main (its largest component), main_n, size of the nodes with several components."""
+        each = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
+        top = each.groupBy("node").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size")).where("top.n < size")
+        return top.select("node", F.col("top.component").alias("main"), F.col("top.n").alias("main_n"), "size")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows of the nodes with several components, with these columns."""
+        return cut(rows.join(mixed(rows), "node"), "apart")
 
     def count(n: Column) -> Column:
         return F.ceil(n / block).cast("int")
@@ -162,35 +168,47 @@ def rest(large: DataFrame, parts: DataFrame, sets: DataFrame, block: int, furthe
         """Rows that the pairs of blocks of a node move."""
         return main * count(size - main) + (size - main) * (count(main) + count(size - main) - 1)
 
+    columns = ("node", "rep", "component", "main", "main_n", "size")
+
     def merged(rows: DataFrame) -> DataFrame:
         """Nodes with one largest component are one node where that moves fewer rows."""
         rows = rows.withColumn("all", F.xxhash64("main"))
-        whole = apart(rows.select(F.col("all").alias("node"), "rep").distinct())
+        whole = apart(rows.select(F.col("all").alias("node"), "rep", "component").distinct())
         cost = lambda rows, key: rows.select(key, "node", "size", "main_n").distinct().groupBy(F.col(key).alias("all")).agg(F.sum(moved(F.col("size"), F.col("main_n"))).alias("cost"))
         fewer = cut(cost(whole, "node").join(cost(rows, "all").withColumnRenamed("cost", "before"), "all").where("cost < before").select("all"), "fewer")
-        columns = ("node", "rep", "component", "main", "main_n", "size")
         return rows.join(fewer, "all", "left_anti").select(*columns).unionByName(whole.join(fewer, F.col("node") == F.col("all"), "left_semi").select(*columns))
 
-    level, ready = apart(large.withColumn("parent", F.lit(0).cast("long"))), []
-    if level.isEmpty():
+    nodes = cut(mixed(rows).where(F.col("size") > leaf), "mixed")
+    if nodes.isEmpty():
         return None
+    # all that isn't in the largest component of its nodes meets that whole component, where this moves no more rows than the nodes have
+    others = cut(rows.join(nodes.select("node", "main"), "node").where("component != main").select("main", "rep", "component").distinct(), "others")
+    mains = named.groupBy(F.col("component").alias("main")).agg(F.count("*").alias("main_n"))
+    whole = nodes.groupBy("main").agg(F.sum("size").alias("rows")).join(others.groupBy("main").agg(F.count("*").alias("others")), "main").join(mains, "main")
+    whole = whole.withColumn("size", F.col("main_n") + F.col("others")).where(moved(F.col("size"), F.col("main_n")) <= F.col("rows"))
+    whole = cut(whole.select(F.xxhash64("main", F.lit("whole")).alias("node"), "main", "main_n", "size"), "whole")
+    inner = named.select("rep", "component", F.col("component").alias("main")).join(whole, "main").select(*columns)
+    met = inner.unionByName(others.join(whole, "main").select(*columns))
+    level = cut(rows.join(nodes.join(whole, "main", "left_anti"), "node"), "apart")
+    ready = []
     for _ in range(further):
         ready.append(level.where(F.col("size") <= block))
         wide = level.where(F.col("size") > block)
         if wide.isEmpty():
             level = wide
             break
-        below = apart(wide.select("node", "rep").join(sets, "rep").select("rep", F.col("node").alias("parent"), F.explode(branches()).alias("node")).distinct())
+        held = wide.groupBy("rep", "component").agg(F.collect_list("node").alias("nodes")).join(sets, "rep")
+        below = apart(held.select("rep", "component", F.explode(branches("nodes")).alias("b")).select("rep", "component", "b.parent", "b.node"))
         # rows times those outside the main component: what the pairs of blocks of a node cost, in its branches and in itself
         after = below.groupBy("parent").agg(F.sum(F.col("size") - F.col("main_n")).alias("after"))
         stay = wide.select("node", "size", "main_n").distinct().join(after.withColumnRenamed("parent", "node"), "node", "left").where(2 * F.coalesce("after", F.lit(0)) >= F.col("size") * (F.col("size") - F.col("main_n"))).select("node")
         stay = cut(stay, "stay")
         ready.append(wide.join(stay, "node", "left_semi"))
         level = below.join(stay.withColumnRenamed("node", "parent"), "parent", "left_anti")
-    rows = level
+    rows = level.select(*columns)
     for more in ready:
-        rows = rows.unionByName(more)
-    rows = merged(cut(rows.select("node", "rep", "component", "main", "main_n", "size"), "large"))
+        rows = rows.unionByName(more.select(*columns))
+    rows = merged(cut(rows, "large")).unionByName(met)
     rows = rows.withColumn("inner", F.col("component") == F.col("main")).withColumn("mains", count(F.col("main_n"))).withColumn("parts", F.col("mains") + count(F.col("size") - F.col("main_n")))
     own = F.when(F.col("inner"), F.pmod(F.xxhash64("rep", "node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("rep", "node"), F.col("parts") - F.col("mains"))).cast("int")
     # a block meets all others but that two of the main component don't meet; its own members meet on the way
@@ -267,14 +285,15 @@ def links_of(documents: DataFrame, sets: DataFrame, groups_to_compare: DataFrame
     return texts.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(compare, "a long, b long")
 
 
-def near_texts(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, branch: int = 2, leaf: int = 48, depth: int = 2, leaders: int = 6, block: int = 192) -> DataFrame:
+def near_texts(documents: DataFrame, words: int = 5, percent: int = 80, trees: int = 8, branch: int = 2, leaf: int = 48, leaders: int = 6, block: int = 192) -> DataFrame:
     """doc_id, text_hash, n_shingles, group, component_id: a row for every document.  Rows of one group are linked; null: linked with nothing."""
     marks = cut(sketches(documents, words), "sketches")
     some = marks.where("n_shingles > 0 and doc_id is not null")
     sets = cut(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mins")).alias("m")).select("h1", "h2", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("doc_id"), F.col("m.mins").alias("mins")), "sets")
-    first, large = leaves(sets.select("rep", "mins"), trees, branch, leaf, depth, leaders)
+    roots = roots_of(trees, branch)
+    first = leaves(sets.select("rep", "mins"), roots, leaf, leaders)
     parts = components(links_of(documents, sets, cut(first, "leaves"), words, percent))
-    more = rest(large, parts, sets.select("rep", "mins"), block)
+    more = rest(parts, sets.select("rep", "mins"), roots, leaf, block)
     if more is not None:
         links = links_of(documents, sets, cut(more, "leaves"), words, percent)
         parts = components(links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))

@@ -296,6 +296,33 @@ def test_near_documents_in_large_nodes(spark):
     assert got == dict(enumerate(want.tolist())) and set(got.values()) == {0, 151}
 
 
+def test_near_documents_of_one_large_group(spark, monkeypatch):
+    """Near copies share nearly all nodes; what is joined and compared grows with them, not with the nodes they share."""
+    rng = np.random.default_rng(17)
+    texts = []
+    for i in range(300):
+        words = [f"w{k}" for k in range(200)]
+        words[rng.integers(0, 200)] = f"e{i}"
+        texts.append((i, " ".join(words)))
+    joined, compared = [], []
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    join, links_of = type(table).join, neardup.links_of
+
+    def counted(self, other, on=None, how=None):
+        if isinstance(on, str) and (on, how) == ("rep", "left"):
+            joined.append(self.count())
+        return join(self, other, on, how)
+
+    def recorded(documents, sets, groups_to_compare, *more):
+        compared.append(groups_to_compare.selectExpr("sum(size(members))").first()[0] or 0)
+        return links_of(documents, sets, groups_to_compare, *more)
+
+    monkeypatch.setattr(type(table), "join", counted)
+    monkeypatch.setattr(neardup, "links_of", recorded)
+    assert neardup.near_documents(table, leaf=16).where("component_id = 0").count() == 300
+    assert joined and max(joined) <= 300 and sum(compared) <= 8 * 300
+
+
 def test_dedup_stage_keeps_texts_that_share_an_id(spark):
     rng = np.random.default_rng(4)
     a, b, c = (" ".join(f"{k}{x}" for x in rng.integers(0, 10_000, 100)) for k in "abc")
