@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +99,24 @@ def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object
         yield now, rows
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[list[pa.RecordBatch]]:
+    """Lists of sorted batches, cut so that each run of equal keys lies in one list; runs that cross batches are kept back till they end."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch.column(key).to_numpy()
+        last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+        if not last and held and held[-1].column(key)[-1].as_py() == keys[0]:
+            held.append(batch)
+            continue
+        if held or last:
+            yield [*held, batch.slice(0, last)] if last else held
+        held = [batch.slice(last)]
+    if held:
+        yield held
+
+
 def wide(df: DataFrame) -> int:
     """Partitions for a shuffle that must stay balanced, as the session says."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

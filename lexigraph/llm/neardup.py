@@ -25,6 +25,11 @@ in none of a root's branches (or not in that root) with probability 0.25 at most
 Documents with one set are one representative; leaves with the same members,
 as other trees find them, are compared once; a leaf's links leave it as a star.
 
+Texts go only to comparisons that can link them.  A linked pair's sizes lie
+within its similarity (exactly so), and it has 8 of the 32 minima in common, but
+for one pair of similarity 0.8 in 1e11.  A group falls into the parts that such
+pairs connect; parts that several groups have are compared once, on full sets.
+
 Cases: null and empty texts, and blank ones, have empty sets and link with
 nothing; fewer words than a shingle make one shingle of all; rows with one
 doc_id and different sets are linked each by its own text, and groups are named
@@ -35,13 +40,14 @@ component null; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, groups
+from .common import blocks, cut, groups, whole_runs
 from .components import components, stars
 
 COORDINATES = 32
@@ -120,6 +126,52 @@ def members_of(rows: DataFrame) -> DataFrame:
     return members.select("members").distinct().select(F.xxhash64("members").alias("leaf"), "members")
 
 
+def agreeing(percent: int) -> int:
+    """How many minima a linked pair has in common; one in 1e11 of those just similar enough has fewer."""
+    below, least = 0.0, 0
+    while least < COORDINATES:
+        below += comb(COORDINATES, least) * (percent / 100) ** least * (1 - percent / 100) ** (COORDINATES - least)
+        if below > 1e-11:
+            break
+        least += 1
+    return least
+
+
+def likely_parts(sizes: np.ndarray, signatures: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Places in a group, by part: those that pairs of fitting sizes and enough equal minima connect."""
+    fit = 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
+    i, j = np.nonzero(np.triu(fit, 1))
+    equal = np.zeros(len(i), np.int64)
+    for k in range(COORDINATES):
+        equal += signatures[i, k] == signatures[j, k]
+    near = equal >= agreeing(percent)
+    if not near.any():
+        return []
+    low = np.arange(len(sizes))
+    node, least = stars(i[near], j[near])
+    low[node] = least
+    order = np.argsort(low, kind="stable")
+    return [part for part in np.split(order, np.flatnonzero(np.diff(low[order])) + 1) if len(part) > 1]
+
+
+def likely(groups_to_compare: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """leaf, members: the distinct parts of the groups that can hold links.  sets: rep, n_shingles, mins."""
+    # seven bits of a minimum tell most apart, and equal ones never
+    signature = F.transform("mins", lambda x: x.bitwiseAND(F.lit(127)).cast("tinyint")).alias("signature")
+    rows = groups_to_compare.select("leaf", F.explode("members").alias("rep")).join(sets.select("rep", "n_shingles", signature), "rep")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs in whole_runs(batches, "leaf"):
+            leaf, rep, sizes = (np.concatenate([b.column(c).to_numpy() for b in runs]) for c in ("leaf", "rep", "n_shingles"))
+            signatures = np.concatenate([b.column("signature").flatten().to_numpy() for b in runs]).reshape(-1, COORDINATES)
+            bounds = [0, *(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]
+            found = [np.sort(rep[lo + part]) for lo, hi in zip(bounds, bounds[1:], strict=False) for part in likely_parts(sizes[lo:hi], signatures[lo:hi], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["members"])
+
+    parts = rows.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(split, "members array<long>").distinct()
+    return parts.select(F.xxhash64("members").alias("leaf"), "members")
+
+
 def leaves(sets: DataFrame, roots: Column, leaf: int, leaders: int) -> DataFrame:
     """The groups of representatives to compare first.  sets: rep, mins."""
     level = cut(sets.select("rep", F.explode(roots).alias("node")), "nodes")
@@ -289,13 +341,13 @@ def near_texts(documents: DataFrame, words: int = 5, percent: int = 80, trees: i
     """doc_id, text_hash, n_shingles, group, component_id: a row for every document.  Rows of one group are linked; null: linked with nothing."""
     marks = cut(sketches(documents, words), "sketches")
     some = marks.where("n_shingles > 0 and doc_id is not null")
-    sets = cut(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "mins")).alias("m")).select("h1", "h2", F.monotonically_increasing_id().alias("rep"), F.col("m.doc_id").alias("doc_id"), F.col("m.mins").alias("mins")), "sets")
+    sets = cut(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "mins")).alias("m")).select("h1", "h2", F.monotonically_increasing_id().alias("rep"), "m.*"), "sets")
     roots = roots_of(trees, branch)
     first = leaves(sets.select("rep", "mins"), roots, leaf, leaders)
-    parts = components(links_of(documents, sets, cut(first, "leaves"), words, percent))
+    parts = components(links_of(documents, sets, cut(likely(first, sets, percent), "leaves"), words, percent))
     more = rest(parts, sets.select("rep", "mins"), roots, leaf, block)
     if more is not None:
-        links = links_of(documents, sets, cut(more, "leaves"), words, percent)
+        links = links_of(documents, sets, cut(likely(more, sets, percent), "leaves"), words, percent)
         parts = components(links.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     of_set = cut(sets.select("h1", "h2", "rep", "doc_id").join(parts, F.col("rep") == F.col("node"), "left").select("h1", "h2", "doc_id", F.coalesce("component", "rep").alias("group")), "groups")
     names = of_set.groupBy("group").agg(F.min("doc_id").alias("set_component"))

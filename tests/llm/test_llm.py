@@ -323,6 +323,34 @@ def test_near_documents_of_one_large_group(spark, monkeypatch):
     assert joined and max(joined) <= 300 and sum(compared) <= 8 * 300
 
 
+def test_near_documents_send_texts_only_where_they_can_link(spark, monkeypatch):
+    """Unlike documents that share some words meet in nodes, but their texts aren't compared; near ones are, where sizes and sketches allow it."""
+    rng = np.random.default_rng(23)
+    common = [f"c{k}" for k in range(30)]
+    texts = [common + [f"u{i}x{k}" for k in range(170)] for i in range(240)]
+    for i in range(0, 240, 12):  # near copies, and one that is too long to be near
+        texts[i + 1] = [*texts[i][:199], f"e{i}"]
+        texts[i + 2] = texts[i] + [f"l{i}x{k}" for k in range(80)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    compared, links_of = [], neardup.links_of
+
+    def recorded(documents, sets, groups_to_compare, *more):
+        compared.append(groups_to_compare.selectExpr("sum(size(members))").first()[0] or 0)
+        return links_of(documents, sets, groups_to_compare, *more)
+
+    monkeypatch.setattr(neardup, "links_of", recorded)
+    got = {r.doc_id: r.component_id for r in neardup.near_documents(table, words=4).collect()}
+    assert got == {i: i - 1 if i % 12 == 1 else i for i in range(240)}
+    assert compared and sum(compared) <= 120
+    assert neardup.agreeing(80) == 8 and neardup.agreeing(100) == neardup.COORDINATES
+    # parts of a group by all its pairs
+    sizes, marks = rng.integers(70, 130, 40), rng.integers(0, 3, (40, neardup.COORDINATES))
+    near = [{j for j in range(40) if 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j]) and (marks[i] == marks[j]).sum() >= 8} for i in range(40)]
+    for part in (parts := neardup.likely_parts(sizes, marks, 80)):
+        assert set().union(*(near[i] for i in part)) == set(part.tolist())
+    assert sorted(np.concatenate(parts).tolist()) == [i for i in range(40) if near[i] - {i}]
+
+
 def test_dedup_stage_keeps_texts_that_share_an_id(spark):
     rng = np.random.default_rng(4)
     a, b, c = (" ".join(f"{k}{x}" for x in rng.integers(0, 10_000, 100)) for k in "abc")
