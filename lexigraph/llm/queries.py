@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, itq, lm, merkle, mixing, neardup, packing, pieces, pii, quality, repeats, spelling, topk
+from . import chat, itq, lm, merkle, mixing, neardup, packing, passages, pieces, pii, quality, repeats, spelling, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,8 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=True)
+    documents = table(spark, sf_dir, "documents")
+    return repeats.remove_repeats(documents, with_text=True, beside=passages.shared_passages(documents))
 
 
 def op6_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,22 +58,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every string of `width` bytes; data holds at most PIECE + 2 * width bytes or so."""
+    """A 64-bit hash of every string of `width` bytes (or of 64-bit codes); data holds at most PIECE + 2 * width of them or so."""
     up, down = powers(PIECE + 4096)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[data] * up[: len(data)], out=sums[1:])
+    codes = BYTE_CODES[data] if data.dtype == np.uint8 else data
+    np.cumsum(codes * up[: len(data)], out=sums[1:])
     h = (sums[width:] - sums[: len(sums) - width]) * down[: len(sums) - width]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all windows of a text, and the first and last window of each."""
-    width = length // 2
+def anchors(text: bytes | np.ndarray, length: int, width: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of all windows of a text (bytes, or codes of its words), and the first and last window of each; anchors are half a window wide, or `width`."""
+    width = width or length // 2
     span = length - width + 1
     if len(text) < length:
         return tuple(np.empty(0, np.int64) for _ in range(4))
-    data = np.frombuffer(text, np.uint8)
+    data = np.frombuffer(text, np.uint8) if isinstance(text, bytes) else text
     found = []
     mask = np.uint64((1 << 20) - 1)
     for lo in range(0, len(data) - length + 1, PIECE):
@@ -255,12 +256,18 @@ def merge_runs(runs: list[np.ndarray]) -> list[np.ndarray]:
     return [twice[np.searchsorted(keys, r)] for r in runs]
 
 
-def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int = 1500, with_text: bool = False) -> DataFrame:
+def with_keys(documents: DataFrame) -> DataFrame:
+    """doc_id, text, and k1 and k2, which name the row."""
+    return documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
+
+
+def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int = 1500, with_text: bool = False, beside: DataFrame | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether a byte goes), and the kept text if `with_text`.
 
     The text is decoded from the kept bytes; a character of which only some bytes stay is left out there.
+    `beside` has a row with k1, k2 and counts for some documents; its counts follow `repeats`, 0 for the others.
     """
-    keyed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"))
+    keyed = with_keys(documents)
     long = keyed.where(F.octet_length("text") >= length)
     twice = cut(anchor_counts(long, length).groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"), "anchors")
     seen = cut(occurrences(long.select("text", "k1", "k2"), length).join(twice, "anchor", "left_semi"), "occurrences")
@@ -369,9 +376,14 @@ def remove_repeats(documents: DataFrame, length: int = 400, shard_contexts: int
                     kept = b"".join([*kept, data[end:]])
                     out.append((len(data), removed, runs, hashlib.sha256(kept).hexdigest(), kept))
                 cols = [pa.array([x[i] for x in out], k) for i, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.string()))] + [pa.array([x[2] > 0 for x in out])]
+                cols += [batch.column(c) for c in more]
                 cols += [pa.array([x[4].decode(errors="ignore") for x in out], pa.string())] * with_text
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *cols], names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"] + ["text"] * with_text
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean" + ", text string" * with_text
-    return keyed.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(final, schema)
+    more = [c for c in beside.columns if c not in ("k1", "k2")] if beside is not None else []
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats", *more] + ["text"] * with_text
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean" + "".join(f", {c} long" for c in more) + ", text string" * with_text
+    rows = keyed.join(spans, ["k1", "k2"], "left")
+    if more:
+        rows = rows.join(beside, ["k1", "k2"], "left")
+    return rows.select("doc_id", "text", "spans", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in more)).mapInArrow(final, schema)

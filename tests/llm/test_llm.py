@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lexigraph.llm import chat, itq, lm, mixing, neardup, pieces, pii, quality, repeats, topk
+from lexigraph.llm import chat, itq, lm, mixing, neardup, passages, pieces, pii, quality, repeats, topk
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, position int, row int"
 
@@ -265,6 +265,37 @@ def test_repeats_match_brute_force(spark, docs, shard):
     assert sorted(got) == sorted(want)
 
 
+def test_shared_passages(spark):
+    """Passages of over 50 words and under 400 bytes, which no 400-byte string shows, by brute force over all runs of 51 words."""
+    rng = np.random.default_rng(23)
+    some = lambda n: [f"w{k}" for k in rng.integers(0, 10**6, n)]
+    short = ["ab", "cd", "e"] * 9 + [f"x{k}" for k in range(28)]
+    assert len(short) == 55 and len(" ".join(short)) < 400
+    base, twice = some(300), some(60)
+    texts = [None, "", "one", " ".join(base), " ".join(base), " ".join([*base[:140], "changed", *base[141:]]), " ".join(twice + some(9) + twice), " ".join(base[100:150]), " ".join(some(60) + base[30:81])]
+    texts += [" ".join(some(40) + short[k:] + some(40)) for k in (0, 0, 3, 4, 5)] + ["\n".join(some(20) + short) + "\t ", " ".join(some(5) + short + some(60) + base[:70]), "y " * 200, "y " * 90]
+    rows = [*enumerate(texts), (9, texts[9]), (None, texts[10]), (100, "z" * 400000 + " " + " ".join(short))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    split = [(t or "").encode().split() for _, t in rows]
+    owners = {}
+    for r, w in zip(rows, split, strict=True):
+        for p in range(len(w) - 50):
+            owners.setdefault(tuple(w[p : p + 51]), set()).add(r)
+    want = []
+    for (d, _), w in zip(rows, split, strict=True):
+        hit = np.zeros(len(w), bool)
+        for p in range(len(w) - 50):
+            if len(owners[tuple(w[p : p + 51])]) > 1:
+                hit[p : p + 51] = True
+        want.append((str(d), int(np.diff(hit.astype(int), prepend=0).clip(0).sum()), int(hit.sum())))
+    found = repeats.remove_repeats(table, beside=passages.shared_passages(table)).collect()
+    assert sorted((str(r.doc_id), r.n_passages, r.passage_words) for r in found) == sorted(want)
+    got = {r.doc_id: (r.n_removed, r.passage_words) for r in found}
+    assert got[11] == (0, 52) and got[14] == (0, 55) and got[6][0] > 0 == got[6][1] and got[7] == (0, 0) and got[12] == (0, 51) and got[13] == (0, 0)
+    plain = repeats.remove_repeats(table)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, spark.createDataFrame(found).select(plain.columns).collect()))
+
+
 def test_near_documents(spark, docs):
     rows = {r.doc_id: r for r in neardup.near_documents(docs).collect()}
     assert rows[5].component_id == rows[6].component_id == 4 and rows[4].kept and not rows[6].kept
