@@ -57,7 +57,7 @@ def test_edges_inside_rows_equal_those_by_windows(spark):
     assert H.short_forms_in(twice).count() == 0 == H.neighbours_in(rows.where("false"), "term").count()
 
 
-@pytest.mark.parametrize("query", ["phrase_edges", "abbreviation_links"])
+@pytest.mark.parametrize("query", ["phrase_edges", "abbreviation_links", "begin_end_edges"])
 def test_queries_stay_inside_rows(spark, query):
     import __spark_entry__ as entry
 
