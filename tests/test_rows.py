@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexigraph.functions import rows as W
 from lexigraph.functions import text as T
 from lexigraph.operators import hierarchy as H
+from lexigraph.operators import relations as R
 
 ODD = [None, "", " ", "▁", "▁a b", " a b\t\n12x. İs Ωσ ΣΑΣ ß ǅ? Cafés", "9 9a a9 ..!", "a  ▁ b ▁", "x y \x0bz_1-2", "The UC (Uc) of (a) (B) to the(C)"]
 
@@ -57,7 +58,19 @@ def test_edges_inside_rows_equal_those_by_windows(spark):
     assert H.short_forms_in(twice).count() == 0 == H.neighbours_in(rows.where("false"), "term").count()
 
 
-@pytest.mark.parametrize("query", ["phrase_edges", "abbreviation_links", "begin_end_edges"])
+def test_relation_edges_inside_rows_equal_those_by_joins(spark):
+    made = ["See the Unit Cost (UAC) of it.", "See the big Unit Cost (UBC) of it.", "big old house (UCC) and big old house (UCC)", "house (house)", "Unit Cost (12)", "Ada Byron (ABC) of Ada Byron (abc)", "(UC)"]
+    rows = texts(spark).unionByName(spark.createDataFrame([*enumerate(made, 1000), (None, made[0])], "doc_id long, text string"))
+    terms = H.phrases_in(rows, "term")
+    found = R.abbreviations(R.mentions(rows), terms)
+    want = Counter({(r.name, r.i, r.j): r["count"] for r in R.relation_edges(found, terms).collect()})
+    got = R.edges_in(rows)
+    assert Counter({(r.name, r.i, r.j): r["count"] for r in got.where("i is not null").collect()}) == want and len(want) > 4
+    assert got.agg(F.sum("count")).first()[0] == found.count() > sum(want.values())
+    no_windows(got)
+
+
+@pytest.mark.parametrize("query", ["phrase_edges", "begin_end_edges", "abbreviation_links", "relation_edges"])
 def test_queries_stay_inside_rows(spark, query):
     import __spark_entry__ as entry
 
