@@ -1,6 +1,7 @@
 """What is found inside a text's row equals what columns and windows find."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.functions import rows as W
 from lexigraph.functions import text as T
+from lexigraph.operators import annotate as A
 from lexigraph.operators import hierarchy as H
 from lexigraph.operators import relations as R
 
@@ -76,3 +78,45 @@ def test_queries_stay_inside_rows(spark, query):
 
     plan = entry.queries()[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window [" not in plan.replace("Window [row_number() windowspecdefinition(name", "") and plan.count("Join") <= (query == "relation_edges")
+
+
+ATOMS = ["1", "7", "10", "1995", "80", "st", "rd", "ies", "'s", "s", "'", "-", "- ", "--", " ", "  ", "\n", ".", ",", "^", "10^", "(", ")", "{", "}", "[", "]", "e", "E", "et", "et al", "of ", "and ", "for ", "Ab", "Hans", "Maier", "A.", "B", "A. ", "Von", "x", "word", "\\", "\\cite{x}", "$", "$$", "/", "@", "''", "'''", '"', "=", "etc.", "...", "no.", "i.e.", "e.g. ", "<a>", "é", "٣", "\0", "(UC)x", "\\begin{a}", "\\end{a}"]
+
+
+def plain_cascade(kind, text):
+    """The patterns as they are written, each over the whole text."""
+    found = []
+    for sub, p in A.PATTERNS[kind]:
+        pattern = re.compile(p)
+        hits = [m.span("x" if "x" in pattern.groupindex else 0) for m in pattern.finditer(text)]
+        found += [(sub, s, e) for s, e in hits]
+        for s, e in hits if kind not in A.PLAIN else ():
+            text = text[:s] + " " * (e - s) + text[e:]
+    return found
+
+
+def test_patterns_find_the_same_in_short_forms():
+    r = random.Random(11)
+    hits = Counter()
+    for _ in range(4000):
+        text = "".join(r.choice(ATOMS) for _ in range(r.randint(1, 40)))
+        known = {k: plain_cascade(k, text) for k in A.PATTERNS if k not in ("quote", "sentence")}
+        for kind, want in known.items():
+            assert A.cascade(kind, text) == want, (kind, text)
+            hits[kind] += len(want)
+        numbers = A._values(text, known["numval"])
+        quotes = sorted(plain_cascade("quote", A._masked(text, [(s, e) for _, s, e in numbers])), key=lambda x: x[1:])
+        assert A.annotations(text, ["quote"]) == [("quote", *x) for x in quotes], text
+        hits["quote"] += len(quotes)
+    assert len(hits) == 7 and min(hits.values()) > 20, hits
+
+
+def test_expressions_and_quotes_run_no_other_model(monkeypatch):
+    """They took most of the time of annotate_expressions, and nothing read them."""
+    ran, own = [], A.cascade
+    monkeypatch.setattr(A, "cascade", lambda kind, *a: ran.append(kind) or own(kind, *a))
+    text = 'On 5 May "Order of the day" by Hans Maier [1] rose--again.'
+    assert [x[:2] for x in A.annotations(text, ["quote", "expression"])][0] == ("quote", "quote") and ran == ["quote", "expression"]
+    ran.clear()
+    A.annotations('the "order 5 of the day"', ["quote"])
+    assert ran == ["numval", "quote"]
