@@ -120,3 +120,10 @@ def test_expressions_and_quotes_run_no_other_model(monkeypatch):
     ran.clear()
     A.annotations('the "order 5 of the day"', ["quote"])
     assert ran == ["numval", "quote"]
+
+
+def test_counts_equal_rows(spark):
+    rows = spark.createDataFrame([(1, "3.5 or 1995 and 7"), (1, "8"), (None, "4 - 5"), (2, None), (3, ""), (4, "none")], "doc_id long, text string")
+    want = Counter((r.doc_id, r.kind, r.subtype) for r in A.annotate(rows, ["numval"], compound=False).collect())
+    assert {tuple(r)[:3]: r.n for r in A.counts(rows, ["numval"], compound=False).collect()} == want and sum(want.values()) == 5
+    assert {r.subtype for r in A.annotate(rows, ["numval"], subtypes=("year",)).collect()} == {"year"}
