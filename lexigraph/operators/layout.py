@@ -9,7 +9,8 @@ follow each other in the main text make a chain, and what hangs below one of a c
 Narrow boxes with a single neighbour above or below are widened to it where that meets no other box, and the
 boxes are hung again.  The order goes down depth first, from the heads on, and visits what stands above a box before it.
 Relations are found by a sweep over a page's boxes with a vector step for each box, so
-a page of n boxes takes memory in proportion to n.
+a page of n boxes takes memory in proportion to n; those of a page of few boxes are found by tables of all pairs.
+Pages come to a task in order, many to a batch.
 
 Captions and broken paragraphs are windows over a document's pages.
 
@@ -20,6 +21,7 @@ equal `at` the order is that of their boxes; texts may be null (no caption, neve
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cmp_to_key
 
 import numpy as np
@@ -39,22 +41,42 @@ def _within(p, lo, hi):
     return (lo <= p) & (p < hi)
 
 
+#: Fixed value: boxes of a page whose pairs are put in tables.
+FEW = 128
+
+
+def _met(axis: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether boxes meet those of another table in x (0) or y (1)."""
+    lo, hi, los, his = one[:, axis, None], one[:, axis + 2, None], two[None, :, axis], two[None, :, axis + 2]
+    return _within(los, lo, hi) | _within(his, lo, hi) | _within(lo, los, his) | _within(hi, los, his)
+
+
 class Page:
     """The boxes of a page in the order of the main text, and which hangs below which."""
 
     def __init__(self, at: np.ndarray, boxes: np.ndarray):
         self.n, self.box = len(at), boxes
+        self.rows: list[list[float]] = boxes.tolist()
         self.right: dict[int, int] = {}
-        for i in range(self.n - 1):
+        following = np.maximum(np.searchsorted(at, at + 1), np.arange(1, self.n + 1)).tolist() if self.n else []
+        for i, j in enumerate(following):
             # the next in the main text, on one line and to the right
-            for j in np.flatnonzero(at[i + 1 :] == at[i] + 1)[:1] + i + 1:
-                a, b = boxes[i], boxes[j]
+            if j < self.n and at[j] == at[i] + 1:
+                a, b = self.rows[i], self.rows[j]
+                if not a[2] < b[0] + SLACK:
+                    continue
                 shared = (min(a[3], b[3]) - max(a[1], b[1])) / max(max(a[3], b[3]) - min(a[1], b[1]), 1e-12)
-                if a[2] < b[0] + SLACK and shared > LINE and self.meets(1, a, b[None])[0]:
-                    self.right[i] = int(j)
+                if shared > LINE and self._pair_meets(1, a, b):
+                    self.right[i] = j
         self.left = {j: i for i, j in self.right.items()}
         up, down = self.hung(boxes)
-        self.up, self.down = self.hung(self.widened(up, down))
+        wide = self.widened(up, down)
+        self.up, self.down = (up, down) if np.array_equal(wide, boxes) else self.hung(wide)
+
+    @staticmethod
+    def _pair_meets(axis: int, a: list[float], b: list[float]) -> bool:
+        lo, hi, los, his = a[axis], a[axis + 2], b[axis], b[axis + 2]
+        return lo <= los < hi or lo <= his < hi or los <= lo < his or los <= hi < his
 
     @staticmethod
     def meets(axis: int, one: np.ndarray, all_: np.ndarray) -> np.ndarray:
@@ -65,6 +87,8 @@ class Page:
     def hung(self, box: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
         """What is right above each box, and what hangs below it."""
         bottom, top = box[:, 1] + SLACK, box[:, 3]
+        if self.n <= FEW:
+            return self._hung(bottom, top, _met(0, box, box))
         # the highest bottom of what a box meets in x and stands above: what this is above has it in between
         below = np.full(self.n, -np.inf)
         for i in range(self.n):
@@ -92,13 +116,50 @@ class Page:
                 up[j].append(i)
         return up, down
 
+    def _hung(self, bottom: np.ndarray, top: np.ndarray, meets: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+        """The same by tables of all pairs."""
+        over = meets & (bottom[:, None] > top[None, :])
+        below = np.where(over, bottom[None, :], -np.inf).max(1, initial=-np.inf)
+        nearest = np.where(over, top[:, None], np.inf).min(0, initial=np.inf)
+        hit = over & ~(bottom[:, None] > nearest[None, :]) & ~(below[:, None] > top[None, :])
+        np.fill_diagonal(hit, False)
+        up: list[list[int]] = [[] for _ in range(self.n)]
+        down: list[list[int]] = [[] for _ in range(self.n)]
+        js, is_ = (x.tolist() for x in np.nonzero(hit.T))
+        hits: list[list[int]] = [[] for _ in range(self.n)]
+        for j, i in zip(js, is_, strict=True):
+            hits[j].append(i)
+        for j, own in enumerate(hits):
+            if j in self.left:
+                i = self.left[j]
+                down[i], up[j] = [j], [i]
+                continue
+            seen = -1
+            for i in own:
+                if i <= seen:
+                    continue
+                while i in self.right:
+                    i = self.right[i]
+                seen = i
+                down[i].append(j)
+                up[j].append(i)
+        return up, down
+
     def widened(self, up: list[list[int]], down: list[list[int]]) -> np.ndarray:
-        out = self.box.copy()
-        for i in range(self.n):
-            box = self.box[i].copy()
+        wide = []
+        for i, row in enumerate(self.rows):
+            x0, y0, x1, y1 = row
             for near in (up[i], down[i]):
                 if len(near) == 1:
-                    box[0], box[2] = min(box[0], self.box[near[0], 0]), max(box[2], self.box[near[0], 2])
+                    x0, x1 = min(x0, self.rows[near[0]][0]), max(x1, self.rows[near[0]][2])
+            wide.append((x0, y0, x1, y1))
+        made = np.array(wide, float).reshape(self.n, 4)
+        if self.n <= FEW:
+            met = _met(0, made, self.box) & _met(1, made, self.box)
+            np.fill_diagonal(met, False)
+            return np.where(met.any(1)[:, None], self.box, made)
+        out = self.box.copy()
+        for i, box in enumerate(made):
             met = self.meets(0, box, self.box) & self.meets(1, box, self.box)
             met[i] = False
             if not met.any():
@@ -107,16 +168,16 @@ class Page:
 
     def _before(self, i: int, j: int) -> int:
         """The order of boxes apart from the graph: from the top if they meet in x, else from the left."""
-        a, b = self.box[i], self.box[j]
-        x = (b[1] - a[1]) if self.meets(0, a, b[None])[0] else (a[0] - b[0])
-        return int(np.sign(x))
+        a, b = self.rows[i], self.rows[j]
+        x = (b[1] - a[1]) if self._pair_meets(0, a, b) else (a[0] - b[0])
+        return (x > 0) - (x < 0)
 
     def order(self) -> list[int]:
         sort = cmp_to_key(self._before)
         heads = sorted((i for i in range(self.n) if not self.up[i]), key=sort)
-        below = [sorted(d, key=sort) for d in self.down]
+        below = [sorted(d, key=sort) if len(d) > 1 else d for d in self.down]
         out: list[int] = []
-        done = np.zeros(self.n, bool)
+        done = [False] * self.n
 
         def visit(k: int) -> None:
             done[k] = True
@@ -143,20 +204,51 @@ class Page:
         return out + [i for i in range(self.n) if not done[i]]
 
 
+def places(at: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """The place of each item of a page, whose items are in order of `at` and boxes."""
+    whole = ~(np.isnan(at) | np.isnan(boxes).any(axis=1))
+    known, rest = np.flatnonzero(whole), np.flatnonzero(~whole)
+    place = np.empty(len(at), np.int64)
+    place[np.r_[known[Page(at[known], boxes[known]).order()], rest]] = np.arange(len(at))
+    return place
+
+
 def reading_order(items: DataFrame) -> DataFrame:
     """items with `place`, their place on the page in reading order (from 0)."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in ("at", *BOX)])
-        at, *box = (rows[c].cast(pa.float64()).to_numpy() for c in ("at", *BOX))
-        boxes = np.column_stack(box)
-        whole = ~np.isnan(np.column_stack([at, boxes])).any(axis=1)
-        known, rest = np.flatnonzero(whole), np.flatnonzero(~whole)
-        place = np.empty(len(at), np.int64)
-        place[np.r_[known[Page(at[known], boxes[known]).order()], rest]] = np.arange(len(at))
-        return rows.append_column("place", pa.array(place))
-
-    return items.groupBy("doc_id", "page").applyInArrow(run, StructType([*items.schema.fields, StructField("place", LongType())]))
+    schema = StructType([*items.schema.fields, StructField("place", LongType())])
+
+    def ordered(rows: pa.RecordBatch, ends: list[int]) -> pa.RecordBatch:
+        """Whole pages; ends: of each page."""
+        columns = [rows.column(rows.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("at", *BOX)]
+        at, boxes = columns[0], np.column_stack(columns[1:])
+        found = [places(at[s:e], boxes[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate(found))], [*rows.schema.names, "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []  # of the page that has begun
+        key = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            # a NaN is itself
+            keys = [*zip(*(["NaN" if x != x else x for x in batch.column(batch.schema.get_field_index(c)).to_pylist()] for c in ("doc_id", "page")), strict=True)]
+            new = [k for k, x in enumerate(keys) if x != (keys[k - 1] if k else key)]
+            if rest and new:
+                own = pa.Table.from_batches([*rest, batch.slice(0, new[0])]).combine_chunks().to_batches()[0]
+                yield ordered(own, [len(own)])
+                rest = []
+            if not new:
+                rest.append(batch)
+                continue
+            if len(new) > 1:
+                yield ordered(batch.slice(new[0], new[-1] - new[0]), [x - new[0] for x in new[1:]])
+            rest, key = [batch.slice(new[-1])], keys[-1]
+        if rest:
+            own = pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            yield ordered(own, [len(own)])
+
+    dealt = items.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", *(F.asc_nulls_last(c) for c in ("at", *BOX)))
+    return dealt.mapInArrow(run, schema)
 
 
 def _starts(kind: str) -> Column:

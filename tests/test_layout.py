@@ -101,3 +101,36 @@ def test_layout_queries_match_sql(spark):
         assert got == want and len(got) > 100, name
     order = queries.QUERIES["reading_order"](spark, "/root/testdata/sf0.001").collect()
     assert len(order) == con.execute("SELECT count(*) FROM lineitem").fetchone()[0] and any(r["at"] % 30 != r.place for r in order)
+
+
+def test_tables_of_pairs_equal_sweeps(monkeypatch):
+    """Pages of few boxes, whose relations are found by tables, and the same by a vector step for each box."""
+    import numpy as np
+
+    r = random.Random(4)
+    for n in (1, 2, 5, 15, 30):
+        for _ in range(30):
+            boxes = np.array([(x, y, x + r.choice([0, 10, 100, 250]), y + r.choice([0, 0.5, 10, 40])) for x, y in ((r.randint(0, 5) * 50, r.randint(0, 20) * 20) for _ in range(n))], float)
+            at = np.sort(np.array([r.randint(0, n) for _ in range(n)], float))
+            monkeypatch.setattr(layout, "FEW", 128)
+            one = layout.Page(at, boxes)
+            monkeypatch.setattr(layout, "FEW", 0)
+            two = layout.Page(at, boxes)
+            assert (one.up, one.down, one.right, one.order()) == (two.up, two.down, two.right, two.order())
+
+
+def test_pages_come_in_batches(spark):
+    """No call for each page: a task reads its pages in order, and a page may end in a later batch."""
+    rows = [item(k, 50 + 250 * (k % 2), 700 - 20 * (k // 2), 290 + 250 * (k % 2), 715 - 20 * (k // 2), page=p, doc=d) for d in (1, 2, None) for p in (1, 2, None) for k in range(40)]
+    table = spark.createDataFrame(rows, ITEMS)
+    assert "FlatMapGroups" not in layout.reading_order(table)._jdf.queryExecution().optimizedPlan().toString()
+    whole = sorted(map(str, layout.reading_order(table).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(str, layout.reading_order(table).collect())) == whole and len(whole) == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pages = {}
+    for r in layout.reading_order(table).collect():
+        pages.setdefault((r.doc_id, r.page), []).append(r.place)
+    assert len(pages) == 9 and all(sorted(x) == list(range(40)) for x in pages.values())
