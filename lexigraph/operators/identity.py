@@ -7,7 +7,10 @@ that reads first) stands for all.  The hash of a word mixes its last letters wea
 nodes (`▁eash` and `▁eauê`); golden values fix the function.
 
 Texts are resolved level by level: paths whose children all have texts get theirs by a join, until no path is
-left or nothing changes (children that are nowhere read `__unknown__`).
+left or nothing changes (children that are nowhere read `__unknown__`).  Where all nodes come from the same texts, `shown_terms` and
+`shown_texts` give the same inside a text's row: only words whose hash another word has read otherwise than they stand there, and these are few
+(if they are more than `ALIKE`, the texts are resolved level by level).  Of different paths with one hash, which chance makes
+once in 2 ** 64 pairs but for modifiers in another order, the first text stands for all there.
 
 Nodes: hash, name, text (of tokens), path (of others), word_cnt, text_cnt.
 
@@ -18,15 +21,19 @@ texts too; a path to itself stays unresolved and ends the loop; an empty table g
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from lexigraph.functions import hashing
+from lexigraph.functions import rows as W
 from lexigraph.functions import text as T
 from lexigraph.operators import build as B
 from lexigraph.tables import cut
@@ -159,3 +166,140 @@ def token_edges(nodes: DataFrame) -> DataFrame:
     """i, j, count: from path nodes to their children, by ids as in `keyed`."""
     each = nodes.where("path is not null").select(F.col("hash").cast("string").alias("i"), F.explode("path").alias("j"), "word_cnt")
     return each.groupBy("i", F.col("j").cast("string").alias("j")).agg(F.sum("word_cnt").alias("count"))
+
+
+#: Fixed value: so many hashes of several words are sent to the tasks at most.
+ALIKE = 100_000
+_known: dict[str, int] = {}
+_letters = W.Letters({"JJ": "J", "NN": "N", "NNS": "N", "NNP": "N"})
+
+
+def _words_hashed(words: set[str]) -> dict[str, int]:
+    """Hashes of words; a process keeps those that it has met."""
+    new = [w for w in words if w not in _known]
+    if len(_known) + len(new) > W.MOST:
+        _known.clear()
+        new = list(words)
+    if new:
+        _known.update(zip(new, hashing.hash_texts([f"__word_token_{w}__" for w in new]).view(np.int64).tolist(), strict=True))
+    return _known
+
+
+def _paths_hashed(paths: list[tuple[int, ...]], name: str) -> list[int]:
+    """`path_hashes`, paths of one length in step."""
+    out, sizes = np.zeros(len(paths), np.uint64), np.fromiter(map(len, paths), np.int64, len(paths))
+    for size in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == size)
+        table = np.array([paths[k] for k in own.tolist()], np.int64).view(np.uint64).reshape(len(own), size)
+        if name == "term":
+            table[:, :-1].sort(axis=1)
+        h = np.repeat(hashing.mix(np.array([size + 1], np.uint64)), len(own))
+        for k in range(size):
+            h = hashing.combine(h, table[:, k])
+        out[own] = hashing.combine(h, np.full(len(own), B.NODE_FLAVOURS[name], np.uint64))
+    return out.view(np.int64).tolist()
+
+
+def _found(documents: DataFrame, of: Callable[[list[list[str]]], Iterator[list]], schema: str) -> DataFrame:
+    """Columns that `of` finds in the words of some texts with tokens at a time."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int64() if c.endswith(" long") else pa.string() for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in W.parts(batches, 200):
+            texts = [[*map(W.marked, p)] for p in map(W.pieces, part.column("text").to_pylist()) if p]
+            if texts:
+                for columns in of(texts):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return documents.select("text").mapInArrow(run, schema)
+
+
+def alike(documents: DataFrame) -> DataFrame:
+    """hash, text: hashes that several words have, and the first of these."""
+
+    def of(texts: list[list[str]]) -> Iterator[list]:
+        words = {w for ws in texts for w in ws}
+        known = _words_hashed(words)
+        yield [[known[w] for w in words], [*words]]
+
+    found = _found(documents, of, "hash long, text string").groupBy("hash").agg(F.min("text").alias("text"), F.max("text").alias("last"))
+    return found.where("text != last").select("hash", "text")
+
+
+def _stands(documents: DataFrame) -> dict[int, str] | None:
+    """The first word of hashes that several words have, if they are few."""
+    found = alike(documents).limit(ALIKE + 1).collect()
+    return {r["hash"]: r["text"] for r in found} if len(found) <= ALIKE else None
+
+
+def _reads(text: str) -> str:
+    return text.replace("▁", " ").strip(" ")
+
+
+def shown_terms(documents: DataFrame) -> DataFrame:
+    """text, word_cnt, text_cnt of the nodes of terms, as `resolved` has them."""
+    first = _stands(documents)
+    if first is None:
+        return resolved(cut(token_nodes(documents), "identity-tokens").unionByName(cut(term_nodes(documents), "identity-terms"))).where("name = 'term'").select("text", "word_cnt", "text_cnt")
+    sent, pattern = documents.sparkSession.sparkContext.broadcast(first), re.compile("[JN]*N")
+
+    def of(texts: list[list[str]]) -> Iterator[list]:
+        own = [[tuple(ws[m.start() : m.end()]) for m in pattern.finditer(_letters.of([w.lstrip("▁") for w in ws]))] for ws in texts]
+        terms = [*{t for ts in own for t in ts}]
+        known, first = _words_hashed({w for t in terms for w in t}), sent.value
+        paths = [tuple([known[w] for w in t]) for t in terms]
+        hashes = dict(zip(terms, _paths_hashed(paths, "term"), strict=True))
+        n: Counter = Counter()
+        texts_: Counter = Counter()
+        for ts in own:
+            hs = [hashes[t] for t in ts]
+            n.update(hs)
+            texts_.update(set(hs))
+        best: dict[int, tuple[str, str | None]] = {}
+        for t, p in zip(terms, paths, strict=True):
+            shown = "".join(t)
+            if (h := hashes[t]) not in best or shown < best[h][0]:
+                best[h] = shown, "".join([first.get(x, w) for x, w in zip(p, t, strict=True)]) if not first.keys().isdisjoint(p) else None
+        if best:
+            yield [[*best], [n[h] for h in best], [texts_[h] for h in best], [x for x, _ in best.values()], [x for _, x in best.values()]]
+
+    rows = _found(documents, of, "hash long, n long, texts long, shown string, text string")
+    nodes = rows.groupBy("hash").agg(F.sum("n").alias("word_cnt"), F.sum("texts").alias("text_cnt"), F.min(F.struct("shown", "text")).alias("best"))
+    return nodes.select(F.trim(F.replace(F.coalesce("best.text", "best.shown"), F.lit("▁"), F.lit(" "))).alias("text"), "word_cnt", "text_cnt")
+
+
+def shown_texts(documents: DataFrame) -> DataFrame:
+    """name, text, word_cnt, text_cnt of the nodes of sentences and texts, as `resolved` has them."""
+    first = _stands(documents)
+    if first is None:
+        return resolved(cut(token_nodes(documents), "identity-tokens").unionByName(cut(sentence_nodes(documents), "identity-sentences"))).where("path is not null").select("name", "text", "word_cnt", "text_cnt")
+    sent = documents.sparkSession.sparkContext.broadcast(first)
+
+    def of(texts: list[list[str]]) -> Iterator[list]:
+        known, first = _words_hashed({w for ws in texts for w in ws}), sent.value
+        paths, spans, shown = [], [], []
+        for ws in texts:
+            hs, at, begun = [known[w] for w in ws], 0, len(paths)
+            read = ws if first.keys().isdisjoint(hs) else [first.get(h, w) for h, w in zip(hs, ws, strict=True)]
+            for k in [*(k for k, w in enumerate(ws) if W.plain(w) in ENDS and k < len(ws) - 1), len(ws) - 1]:
+                paths.append(tuple(hs[at : k + 1]))
+                shown.append("".join(read[at : k + 1]))
+                at = k + 1
+            spans.append((begun, len(paths)))
+        hashes = _paths_hashed(paths, "sentence")
+        n: Counter = Counter(hashes)
+        texts_: Counter = Counter()
+        for a, b in spans:
+            texts_.update(set(hashes[a:b]))
+        best: dict[int, str] = {}
+        for h, x in zip(hashes, shown, strict=True):
+            best[h] = min(best.get(h, x), x)
+        yield [["sentence"] * len(best), [*best], [n[h] for h in best], [texts_[h] for h in best], [_reads(x) for x in best.values()]]
+        wholes = _paths_hashed([tuple(hashes[a:b]) for a, b in spans], "text")
+        count = Counter(wholes)
+        text = {h: _reads("".join(shown[a:b])) for h, (a, b) in zip(wholes, spans, strict=True)}
+        yield [["text"] * len(text), [*text], [count[h] for h in text], [count[h] for h in text], [*text.values()]]
+
+    rows = _found(documents, of, "name string, hash long, n long, texts long, text string")
+    return rows.groupBy("hash", "name").agg(F.sum("n").alias("word_cnt"), F.sum("texts").alias("text_cnt"), F.min("text").alias("text")).select("name", "text", "word_cnt", "text_cnt")

@@ -110,3 +110,19 @@ def test_identity_queries_equal_brute_force(spark):
     signed = {int(np.array(h, np.uint64).view(np.int64)): p for h, (_, _, p) in sentences.items()}
     want = Counter(("sentence", plain(read(p)), a, b) for a, b, p in sentences.values()) + Counter(("text", plain("".join(read(signed[h]) for h in p)), a, b) for a, b, p in texts.values())
     assert Counter(map(tuple, queries.QUERIES["identity_texts"](spark, sf).select("name", "text", "word_cnt", "text_cnt").collect())) == want
+
+
+def test_texts_inside_rows_equal_those_level_by_level(spark, monkeypatch):
+    """Words of one hash read as the first of them, modifiers are in no order, and a node's text is that of its first path."""
+    made = ["A eauê house. A eash house. No", "A eash house. A eauê house", "big old eash house", "old big eauê house", "old big eash house of", "▁ ▁▁a ▁b", "", None, "big old dog? old big dog", "Xeauê eauê"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate([*made, *made[:4]])], "doc_id long, text string")
+    assert {r.text for r in I.alike(d).collect()} == {"▁eash"}
+    rows = lambda table, *c: sorted(tuple(r[x] for x in c) for r in table.collect())
+    terms = rows(I.resolved(I.token_nodes(d).unionByName(I.term_nodes(d))).where("name = 'term'"), "text", "word_cnt", "text_cnt")
+    texts = rows(I.resolved(I.token_nodes(d).unionByName(I.sentence_nodes(d))).where("path is not null"), "name", "text", "word_cnt", "text_cnt")
+    for most in (100_000, 0):
+        monkeypatch.setattr(I, "ALIKE", most)
+        assert rows(I.shown_terms(d), "text", "word_cnt", "text_cnt") == terms and rows(I.shown_texts(d), "name", "text", "word_cnt", "text_cnt") == texts
+    monkeypatch.undo()
+    assert all("Join" not in f(d)._jdf.queryExecution().optimizedPlan().toString() for f in (I.shown_terms, I.shown_texts))
+    assert I.shown_terms(d.where("false")).count() == 0 == I.shown_texts(d.where("text is null")).count()
