@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -171,43 +172,77 @@ def token_edges(nodes: DataFrame) -> DataFrame:
 #: Fixed value: so many hashes of several words are sent to the tasks at most.
 ALIKE = 100_000
 _known: dict[str, int] = {}
-_letters = W.Letters({"JJ": "J", "NN": "N", "NNS": "N", "NNP": "N"})
+_STOPS = frozenset(b + x for x in ENDS for b in ("", " "))
 
 
-def _words_hashed(words: set[str]) -> dict[str, int]:
-    """Hashes of words; a process keeps those that it has met."""
-    new = [w for w in words if w not in _known]
+class _Letters(W.Letters):
+    """Letters by tokens with the blank before them."""
+
+    def __missing__(self, piece: str) -> str:
+        if len(self) >= W.MOST:
+            self.clear()
+        out = self[piece] = self.letters.get(W.part_of_speech(piece.lstrip(" ▁")), "O")
+        return out
+
+
+_letters = _Letters({"JJ": "J", "NN": "N", "NNS": "N", "NNP": "N"})
+
+
+def _combined(sizes: np.ndarray, starts: np.ndarray, numbers: np.ndarray, last: int) -> np.ndarray:
+    """Hashes of paths that lie in one array, `last` behind each: all paths a step at a time, the longest first."""
+    order = np.argsort(-sizes, kind="stable")
+    sizes, starts = sizes[order], starts[order]
+    h = hashing.mix((sizes + 1).astype(np.uint64))
+    alive = np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), side="left").tolist()
+    for k, n in enumerate(alive):
+        h[:n] = hashing.combine(h[:n], numbers[starts[:n] + k])
+    out = np.empty(len(h), np.uint64)
+    out[order] = hashing.combine(h, np.full(len(h), last, np.uint64))
+    return out
+
+
+def _laid(paths: list) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, paths), np.int64, len(paths))
+    return sizes, np.cumsum(sizes) - sizes
+
+
+def _paths_hashed(paths: list[list[int]], name: str) -> list[int]:
+    """`path_hashes`, all in step."""
+    sizes, starts = _laid(paths)
+    numbers = np.fromiter(chain.from_iterable(paths), np.int64, int(sizes.sum())).view(np.uint64)
+    if name == "term":
+        for size in np.unique(sizes[sizes > 2]).tolist():
+            at = starts[sizes == size][:, None] + np.arange(size - 1)
+            numbers[at] = np.sort(numbers[at], axis=1)
+    return _combined(sizes, starts, numbers, B.NODE_FLAVOURS[name]).view(np.int64).tolist()
+
+
+def _words_hashed(pieces: Iterable[str]) -> dict[str, int]:
+    """Hashes of the word tokens of pieces; a process keeps those that it has met."""
+    new = [w for w in pieces if w not in _known]
     if len(_known) + len(new) > W.MOST:
         _known.clear()
-        new = list(words)
+        new = list(pieces)
     if new:
-        _known.update(zip(new, hashing.hash_texts([f"__word_token_{w}__" for w in new]).view(np.int64).tolist(), strict=True))
+        names = [f"__word_token_{W.marked(w)}_" for w in new]
+        whole = "".join(names).encode("utf-16-le")
+        sizes, starts = _laid(names)
+        if len(whole) != 2 * int(sizes.sum()):  # signs of two units
+            hashes = hashing.hash_texts([f"{x}_" for x in names])
+        else:
+            hashes = _combined(sizes, starts, np.frombuffer(whole, np.uint16).astype(np.uint64), ord("_"))
+        _known.update(zip(new, hashes.view(np.int64).tolist(), strict=True))
     return _known
 
 
-def _paths_hashed(paths: list[tuple[int, ...]], name: str) -> list[int]:
-    """`path_hashes`, paths of one length in step."""
-    out, sizes = np.zeros(len(paths), np.uint64), np.fromiter(map(len, paths), np.int64, len(paths))
-    for size in np.unique(sizes).tolist():
-        own = np.flatnonzero(sizes == size)
-        table = np.array([paths[k] for k in own.tolist()], np.int64).view(np.uint64).reshape(len(own), size)
-        if name == "term":
-            table[:, :-1].sort(axis=1)
-        h = np.repeat(hashing.mix(np.array([size + 1], np.uint64)), len(own))
-        for k in range(size):
-            h = hashing.combine(h, table[:, k])
-        out[own] = hashing.combine(h, np.full(len(own), B.NODE_FLAVOURS[name], np.uint64))
-    return out.view(np.int64).tolist()
-
-
 def _found(documents: DataFrame, of: Callable[[list[list[str]]], Iterator[list]], schema: str) -> DataFrame:
-    """Columns that `of` finds in the words of some texts with tokens at a time."""
+    """Columns that `of` finds in the tokens, each with the blank before it, of some texts that have any."""
     names = [c.split()[0] for c in schema.split(", ")]
     types = [pa.int64() if c.endswith(" long") else pa.string() for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.parts(batches, 200):
-            texts = [[*map(W.marked, p)] for p in map(W.pieces, part.column("text").to_pylist()) if p]
+            texts = [p for p in map(W.pieces, part.column("text").to_pylist()) if p]
             if texts:
                 for columns in of(texts):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -219,9 +254,9 @@ def alike(documents: DataFrame) -> DataFrame:
     """hash, text: hashes that several words have, and the first of these."""
 
     def of(texts: list[list[str]]) -> Iterator[list]:
-        words = {w for ws in texts for w in ws}
+        words = set().union(*texts)
         known = _words_hashed(words)
-        yield [[known[w] for w in words], [*words]]
+        yield [[known[w] for w in words], [*map(W.marked, words)]]
 
     found = _found(documents, of, "hash long, text string").groupBy("hash").agg(F.min("text").alias("text"), F.max("text").alias("last"))
     return found.where("text != last").select("hash", "text")
@@ -245,10 +280,12 @@ def shown_terms(documents: DataFrame) -> DataFrame:
     sent, pattern = documents.sparkSession.sparkContext.broadcast(first), re.compile("[JN]*N")
 
     def of(texts: list[list[str]]) -> Iterator[list]:
-        own = [[tuple(ws[m.start() : m.end()]) for m in pattern.finditer(_letters.of([w.lstrip("▁") for w in ws]))] for ws in texts]
-        terms = [*{t for ts in own for t in ts}]
-        known, first = _words_hashed({w for t in terms for w in t}), sent.value
-        paths = [tuple([known[w] for w in t]) for t in terms]
+        # no token of a term stands right behind another, so a term's blanks part its tokens
+        own = [["".join(ws[m.start() : m.end()]) for m in pattern.finditer(_letters.of(ws))] for ws in texts]
+        terms = [*set().union(*own)]
+        words = [[x for x in t.replace(" ", "\n ").split("\n") if x] for t in terms]
+        known, first = _words_hashed({w for ws in words for w in ws}), sent.value
+        paths = [[known[w] for w in ws] for ws in words]
         hashes = dict(zip(terms, _paths_hashed(paths, "term"), strict=True))
         n: Counter = Counter()
         texts_: Counter = Counter()
@@ -257,10 +294,10 @@ def shown_terms(documents: DataFrame) -> DataFrame:
             n.update(hs)
             texts_.update(set(hs))
         best: dict[int, tuple[str, str | None]] = {}
-        for t, p in zip(terms, paths, strict=True):
-            shown = "".join(t)
+        for t, ws, p in zip(terms, words, paths, strict=True):
+            shown = t.replace(" ", "▁")
             if (h := hashes[t]) not in best or shown < best[h][0]:
-                best[h] = shown, "".join([first.get(x, w) for x, w in zip(p, t, strict=True)]) if not first.keys().isdisjoint(p) else None
+                best[h] = shown, "".join([first.get(x, W.marked(w)) for x, w in zip(p, ws, strict=True)]) if first and not first.keys().isdisjoint(p) else None
         if best:
             yield [[*best], [n[h] for h in best], [texts_[h] for h in best], [x for x, _ in best.values()], [x for _, x in best.values()]]
 
@@ -277,15 +314,16 @@ def shown_texts(documents: DataFrame) -> DataFrame:
     sent = documents.sparkSession.sparkContext.broadcast(first)
 
     def of(texts: list[list[str]]) -> Iterator[list]:
-        known, first = _words_hashed({w for ws in texts for w in ws}), sent.value
+        known, first = _words_hashed(set().union(*texts)), sent.value
         paths, spans, shown = [], [], []
         for ws in texts:
             hs, at, begun = [known[w] for w in ws], 0, len(paths)
-            read = ws if first.keys().isdisjoint(hs) else [first.get(h, w) for h, w in zip(hs, ws, strict=True)]
-            for k in [*(k for k, w in enumerate(ws) if W.plain(w) in ENDS and k < len(ws) - 1), len(ws) - 1]:
-                paths.append(tuple(hs[at : k + 1]))
-                shown.append("".join(read[at : k + 1]))
-                at = k + 1
+            read = ws if not first or first.keys().isdisjoint(hs) else [first.get(h, w) for h, w in zip(hs, ws, strict=True)]
+            stops = [k for k, w in enumerate(ws, 1) if w in _STOPS]
+            for k in stops if stops and stops[-1] == len(ws) else [*stops, len(ws)]:
+                paths.append(hs[at:k])
+                shown.append("".join(read[at:k]).replace(" ", "▁"))
+                at = k
             spans.append((begun, len(paths)))
         hashes = _paths_hashed(paths, "sentence")
         n: Counter = Counter(hashes)
@@ -296,7 +334,7 @@ def shown_texts(documents: DataFrame) -> DataFrame:
         for h, x in zip(hashes, shown, strict=True):
             best[h] = min(best.get(h, x), x)
         yield [["sentence"] * len(best), [*best], [n[h] for h in best], [texts_[h] for h in best], [_reads(x) for x in best.values()]]
-        wholes = _paths_hashed([tuple(hashes[a:b]) for a, b in spans], "text")
+        wholes = _paths_hashed([hashes[a:b] for a, b in spans], "text")
         count = Counter(wholes)
         text = {h: _reads("".join(shown[a:b])) for h, (a, b) in zip(wholes, spans, strict=True)}
         yield [["text"] * len(text), [*text], [count[h] for h in text], [count[h] for h in text], [*text.values()]]
