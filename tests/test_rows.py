@@ -11,6 +11,7 @@ from lexigraph.functions import rows as W
 from lexigraph.functions import text as T
 from lexigraph.operators import annotate as A
 from lexigraph.operators import hierarchy as H
+from lexigraph.operators import phrases as P
 from lexigraph.operators import relations as R
 
 ODD = [None, "", " ", "▁", "▁a b", " a b\t\n12x. İs Ωσ ΣΑΣ ß ǅ? Cafés", "9 9a a9 ..!", "a  ▁ b ▁", "x y \x0bz_1-2", "The UC (Uc) of (a) (B) to the(C)"]
@@ -127,3 +128,11 @@ def test_counts_equal_rows(spark):
     want = Counter((r.doc_id, r.kind, r.subtype) for r in A.annotate(rows, ["numval"], compound=False).collect())
     assert {tuple(r)[:3]: r.n for r in A.counts(rows, ["numval"], compound=False).collect()} == want and sum(want.values()) == 5
     assert {r.subtype for r in A.annotate(rows, ["numval"], subtypes=("year",)).collect()} == {"year"}
+
+
+def test_term_nodes_equal_the_columns(spark):
+    rows = texts(spark)
+    got = P.term_nodes(rows.unionByName(rows))
+    want = P.counted(P.term_runs(rows.unionByName(rows)), "terms")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.select("text", "word_cnt", "text_cnt").collect()))
+    assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # no tagger for each token by columns
