@@ -57,3 +57,25 @@ def test_dictionary_hits(spark):
     names = spark.createDataFrame([("New York",), ("Paris",), ("Paris",), (None,), ("",), ("Rio de Janeiro",)], "name string")
     assert {tuple(x) for x in A.dictionary_hits(texts, names).collect()} == {(1, "New York", 2), (1, "Paris", 1), (None, "Paris", 1)}
     assert A.dictionary_hits(texts, names.where("false")).count() == 0
+
+
+def test_only_words_of_questions_are_kept(spark, monkeypatch):
+    kept, own = {}, D.cut
+    monkeypatch.setattr(D, "cut", lambda df, name: kept.setdefault(name, own(df, name)))
+    documents = spark.createDataFrame([(1, "a b c"), (2, "b d"), (2, "b d"), (None, "a")], "doc_id long, text string")
+    found = D.best_documents(documents, spark.createDataFrame([(7, "B a x")], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.rank) for r in found] == [(1, 1), (2, 2)]
+    assert {(r.doc_id, r.w) for r in kept["document-words"].collect()} == {(1, "a"), (1, "b"), (2, "b")}
+
+
+def test_no_text_is_copied_for_each_of_its_words(spark, monkeypatch):
+    from lexigraph import queries
+
+    plans, own = [], queries.cut
+    monkeypatch.setattr(queries, "cut", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df, name))
+    assert {r.k for r in queries.QUERIES["question_recall"](spark, "/root/testdata/sf0.001").collect()} == {1, 3, 9}
+    assert len(plans) == 1 and "Generate explode" in plans[0]
+    generate = next(line for line in plans[0].split("\n") if "Generate explode" in line)
+    assert "text#" not in generate[generate.rindex("[") :]
+    above = plans[0][: plans[0].index("Generate explode")].split("\n")
+    assert not any("Project" in line and ", text#" in line for line in above)

@@ -136,3 +136,12 @@ def test_term_nodes_equal_the_columns(spark):
     want = P.counted(P.term_runs(rows.unionByName(rows)), "terms")
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.select("text", "word_cnt", "text_cnt").collect()))
     assert "MapInArrow" in got._jdf.queryExecution().optimizedPlan().toString()  # no tagger for each token by columns
+
+
+def test_phrases_leave_python_in_parts(spark):
+    """Rows of some texts at a time, not arrays of a whole batch; the tagger isn't run for each token by columns."""
+    rows = texts(spark)
+    plan = H.phrases_in(rows, "term")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "CASE" not in plan
+    shown = lambda table: Counter(map(tuple, table.select("doc_id", "name", "sent", "lo", "hi", "text").collect()))
+    assert shown(H.phrases_in(rows)) == shown(H.phrases_of(rows).select("doc_id", F.inline("phrases")))
